@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import op4_substring, op6_suffix
+from lodeframe.llm import op4_substring, op5_simhash, op6_suffix, op10_katz
 
 QUERIES = {
     "op4_substring_dedup": op4_substring.query,
+    "op5_simhash_dedup": op5_simhash.query,
     "op6_suffix_dedup": op6_suffix.query,
+    "op10_katz_scores": op10_katz.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
