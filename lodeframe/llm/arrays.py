@@ -16,6 +16,8 @@ LOWER_VALUE = BYTE_VALUE.copy()
 LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: For words without punctuation: all ASCII but letters and digits.
+NOT_ALNUM = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
@@ -60,10 +62,10 @@ def window_hashes(values: np.ndarray, size: int, at: np.ndarray | None = None, s
     return mix((c[at + size] - c[at]) * inv[at])
 
 
-def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of words before each document.
     buf: bytes of all documents; offs: their offsets (n + 1)."""
-    word = ~_SPACE[buf]
+    word = ~gaps[buf]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     inner = offs[:-1][offs[:-1] < len(buf)]
@@ -74,13 +76,13 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, and the number of words before each document."""
     table, hashes, counts = LOWER_VALUE if lower else BYTE_VALUE, [], [np.zeros(1, np.int64)]
     before = 0
     for a, b in slices(offs):
         part, rel = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-        starts, ends, n = words_of(part, rel)
+        starts, ends, n = words_of(part, rel, gaps)
         c = prefix_sums(table[part])
         inv = powers(len(part) + 1)[1]
         hashes.append(mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(U64)))
