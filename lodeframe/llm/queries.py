@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import op1_toxicity, op4_substring, op5_simhash, op6_suffix, op10_katz
+from lodeframe.llm import op1_toxicity, op2_packing, op3_pii, op4_substring, op5_simhash, op6_suffix, op10_katz
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.query,
+    "op2_packing": op2_packing.query,
+    "op3_pii": op3_pii.query,
     "op4_substring_dedup": op4_substring.query,
     "op5_simhash_dedup": op5_simhash.query,
     "op6_suffix_dedup": op6_suffix.query,
