@@ -103,25 +103,43 @@ def slices(offs: np.ndarray, size: int = SLICE) -> list[tuple[int, int]]:
 
 
 def squeeze(keys: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit keys as fixed-width differences."""
+    """Sorted unsigned 64-bit keys as differences of a fixed number of half bytes. The
+    largest value stands for a step of that size without a key."""
     if not len(keys):
         return b""
     gaps = np.diff(keys)
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    body = np.ascontiguousarray(gaps).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + keys[:1].tobytes() + body.tobytes()
+    least = max(1, (int(keys[-1] - keys[0]) // max(1, len(gaps))).bit_length() // 4)
+    _, nibbles = min((n * (len(gaps) + int((gaps // U64((1 << 4 * n) - 1)).sum())), n) for n in range(least, min(least + 3, 16) + 1))
+    step = U64((1 << 4 * nibbles) - 1)
+    long = np.flatnonzero(gaps >= step)
+    if len(long):
+        times = (gaps[long] // step).astype(np.int64)
+        gaps[long] %= step
+        gaps = np.insert(gaps, np.repeat(long, times), step)
+    octets = np.ascontiguousarray(gaps).view(np.uint8).reshape(-1, 8)
+    half = b""
+    if nibbles % 2:
+        top = np.append(octets[:, nibbles // 2], np.zeros(len(octets) % 2, np.uint8))
+        half = (top[::2] | top[1::2] << 4).tobytes()
+    return bytes([nibbles]) + np.array([len(gaps)], np.int64).tobytes() + keys[:1].tobytes() + octets[:, : nibbles // 2].tobytes() + half
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, U64)
-    width = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, width)
-    out = np.zeros((len(body) + 1, 8), np.uint8)
-    out[1:, :width] = body
+    nibbles, n = blob[0], int(np.frombuffer(blob, np.int64, 1, 1)[0])
+    whole = nibbles // 2
+    out = np.zeros((n + 1, 8), np.uint8)
+    out[1:, :whole] = np.frombuffer(blob, np.uint8, n * whole, 17).reshape(n, whole)
+    if nibbles % 2:
+        half = np.frombuffer(blob, np.uint8, offset=17 + n * whole)
+        out[1::2, whole] = half[: len(out[1::2])] & 15
+        out[2::2, whole] = half[: len(out[2::2])] >> 4
     out = out.view(U64).ravel()
-    out[0] = np.frombuffer(blob, U64, 1, 1)[0]
-    return np.cumsum(out, dtype=U64)
+    skipped = out == U64((1 << 4 * nibbles) - 1)
+    out[0], skipped[0] = np.frombuffer(blob, U64, 1, 9)[0], False
+    keys = np.cumsum(out, dtype=U64)
+    return keys[~skipped] if skipped.any() else keys
 
 
 def bucket_bounds(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:

@@ -62,14 +62,16 @@ class Blocks:
         return frame.groupBy("block").applyInArrow(run, ASKED)
 
     def answer(self, asked: DataFrame, f: Callable[[list[tuple[int, bytes, bytes]]], Iterator[tuple]], schema: str = "block int, bucket int, body binary, extra binary") -> DataFrame:
-        """f gets a bucket's [(block, body, extra)] by block, and yields (block, body, extra)."""
+        """f gets a bucket's [(block, body, extra)] by block, and yields (block, body, extra).
+        Rows of bucket -1 go back as they are."""
 
         def run(key, table):
             rows = sorted(zip(table["block"].to_pylist(), table["body"].to_pylist(), table["extra"].to_pylist(), strict=True), key=lambda r: r[0])
-            found = list(f(rows))
+            found = list(f(rows)) if key[0].as_py() >= 0 else rows
             return pa.table({"block": pa.array([x[0] for x in found], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(found), pa.int32()), "body": pa.array([x[1] for x in found], pa.binary()), "extra": pa.array([x[2] for x in found], pa.binary())})
 
-        return asked.groupBy("bucket").applyInArrow(run, schema)
+        own = F.when(F.col("bucket") < 0, F.col("block")).otherwise(0)  # rows that go back need not meet
+        return asked.groupBy("bucket", own.alias("own")).applyInArrow(run, schema)
 
     def with_answers(self, answers: DataFrame, f: Callable, schema: str) -> DataFrame:
         """f(block, texts, [(bucket, body, extra)] by bucket) returns an Arrow table of `schema`."""

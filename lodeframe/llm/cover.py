@@ -87,6 +87,23 @@ def anchors_at(offs: np.ndarray, skip: np.ndarray, rule: Rule) -> np.ndarray:
     return np.flatnonzero(on[rel % rule.modulus] & (rel < room))
 
 
+def units_windows(units: Units, runs: np.ndarray, skip: np.ndarray, cut: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, document id and start of every full window that starts in a run (first, end)
+    and fits in a document that isn't skipped."""
+    length, keys, docs, starts = units.rule.length, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b, values, offs, sums in units.parts():
+        base = units.offs[a]
+        lo, hi = np.searchsorted(runs[0], [base, units.offs[b]])
+        sizes = runs[1, lo:hi] - runs[0, lo:hi]
+        start = np.repeat(runs[0, lo:hi] - base - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        doc = np.searchsorted(offs, start, "right") - 1
+        fits = (start + length <= offs[doc + 1]) & ~skip[a:b][doc]
+        keys.append(A.window_hashes(values, length, start[fits], sums) >> cut)
+        docs.append(doc[fits] + a)
+        starts.append(start[fits] + base)
+    return np.concatenate(keys), units.texts.ids[np.concatenate(docs)], np.concatenate(starts)
+
+
 def _join(*blobs: bytes) -> bytes:
     return np.array([len(blobs), *map(len, blobs)], np.int64).tobytes() + b"".join(blobs)
 
@@ -101,7 +118,8 @@ def covered(blocks: Blocks, rule: Rule, finish: Callable, schema: str) -> DataFr
     """finish(texts, units, removed) makes the rows of a block; removed: a flag for each
     unit covered by a window that also starts in a document with a smaller id."""
     buckets, bits = blocks.n, blocks.bits
-    drop = np.uint64(64 - bits)
+    full = min(64, max(48, 2 * blocks.bytes.bit_length() - 4))  # of a window: less than one expected clash
+    drop, cut = np.uint64(64 - bits), np.uint64(64 - full)
 
     def name_anchors(texts: Texts):
         units = Units(texts, rule)
@@ -136,23 +154,18 @@ def covered(blocks: Blocks, rule: Rule, finish: Callable, schema: str) -> DataFr
         if not rows or not len(texts):
             return
         units = Units(texts, rule)
-        shared = A.Membership(np.concatenate([A.unsqueeze(x) for _, x, _ in rows]), bits)
+        shared = A.Membership(np.sort(np.concatenate([A.unsqueeze(x) for _, x, _ in rows])), bits)
         earlier = np.concatenate([A.unsqueeze(x) for _, _, x in rows])
-        skip, keys, docs = units.repeats(units.whole(), earlier), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        skip, runs = units.repeats(units.whole(), earlier), []
         for a, b, values, offs, sums in units.parts():
             at = anchors_at(offs, skip[a:b], rule)
             at = at[shared.hits(A.window_hashes(values, rule.anchor, at, sums) >> drop)[0]]
-            if not len(at):
-                continue
             mark = np.zeros(len(values) + 1, np.int32)
             np.add.at(mark, np.maximum(at + rule.anchor - rule.length, 0), 1)
             np.add.at(mark, at + 1, -1)
-            start = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-            doc = np.searchsorted(offs, start, "right") - 1
-            fits = (start + rule.length <= offs[doc + 1]) & ~skip[a:b][doc]
-            keys.append(A.window_hashes(values, rule.length, start[fits], sums))
-            docs.append(doc[fits] + a)
-        keys, ids = np.concatenate(keys), texts.ids[np.concatenate(docs)]
+            runs.append(np.array(runs_of(np.cumsum(mark)[:-1] > 0)) + units.offs[a])
+        runs = np.concatenate([np.zeros((2, 0), np.int64), *runs], axis=1)
+        keys, ids, _ = units_windows(units, runs, skip, cut)
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
         new = np.ones(len(keys), bool)
@@ -160,51 +173,40 @@ def covered(blocks: Blocks, rule: Rule, finish: Callable, schema: str) -> DataFr
         first = np.flatnonzero(new)
         several = ids[first] != ids[np.append(first[1:], len(ids)) - 1] if len(first) else np.zeros(0, bool)
         keys = keys[first]
-        if len(earlier):
-            yield 0, b"", A.squeeze(earlier)
-        for k, s in by_bucket(keys, buckets, 64):
+        yield -1, _join(A.squeeze(earlier), runs.tobytes()), b""  # for this block's last step
+        for k, s in by_bucket(keys, buckets, full):
             yield k, _join(A.squeeze(keys[s]), np.packbits(several[s]).tobytes()), b""
 
     def rank_windows(rows):
-        """The keys to cover everywhere in a block, and those to cover but in its first document."""
-        own = [(block, *_split(body)) for block, body, _ in rows if body]
-        for block, body, earlier in rows:
-            if not body:
-                yield block, b"", earlier
+        """For each key of a block, in order: whether to cover it everywhere in the block,
+        and whether to cover it but in its first document."""
+        own = [(block, *_split(body)) for block, body, _ in rows]
         keys = [A.unsqueeze(x[1]) for x in own]
-        if not own:
-            return
         every, at = np.unique(np.concatenate(keys), return_index=True)
         first = np.searchsorted(np.cumsum([len(x) for x in keys]), at, "right")
         for n, ((block, _, several), mine) in enumerate(zip(own, keys, strict=True)):
-            lead = first[A.find(mine, every)]
-            several = np.unpackbits(np.frombuffer(several, np.uint8), count=len(mine)).astype(bool)
-            later, here = mine[lead < n], mine[(lead == n) & several]
-            if len(later) or len(here):
-                yield block, _join(A.squeeze(later), A.squeeze(here)), b""
+            lead = first[np.searchsorted(every, mine)]
+            here = np.unpackbits(np.frombuffer(several, np.uint8), count=len(mine)).astype(bool) & (lead == n)
+            yield block, _join(np.packbits(lead < n).tobytes(), np.packbits(here).tobytes()), b""
 
     def cover(block, texts: Texts, rows):
         units = Units(texts, rule)
-        earlier = np.concatenate([np.zeros(0, np.uint64), *(A.unsqueeze(x) for _, _, x in rows)])
-        found = [[A.unsqueeze(y) for y in _split(x)] for _, x, _ in rows if x]
-        later = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)])
-        here = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in found)])
-        wanted = np.sort(np.concatenate([later, here]))
-        among, everywhere = A.Membership(wanted), A.find(wanted, later) >= 0
-        skip = units.repeats(units.whole(), earlier)
-        lead = np.full(len(wanted), np.iinfo(np.int64).max)
-        removed = np.zeros(int(units.offs[-1]), bool)
-        for a, b, values, offs, sums in units.parts():
-            at, key = among.hits(A.window_hashes(values, rule.length, None, sums))
-            doc = np.searchsorted(offs, at, "right") - 1
-            fits = (at + rule.length <= offs[doc + 1]) & ~skip[a:b][doc]
-            at, key, ids = at[fits], key[fits], texts.ids[a:b][doc[fits]]
-            lead[key[::-1]] = np.minimum(lead[key[::-1]], ids[::-1])  # ids ascend: the first one is written last
-            bad = at[everywhere[key] | (ids > lead[key])]
-            mark = np.zeros(len(values) + 1, np.int32)
-            np.add.at(mark, bad, 1)
-            np.add.at(mark, bad + rule.length, -1)
-            removed[units.offs[a] : units.offs[b]] = np.cumsum(mark)[:-1] > 0
+        earlier, runs = next((_split(body) for bucket, body, _ in rows if bucket < 0), (b"", b""))
+        runs = np.frombuffer(runs, np.int64).reshape(2, -1)
+        skip = units.repeats(units.whole(), A.unsqueeze(earlier))
+        keys, ids, starts = units_windows(units, runs, skip, cut)
+        every, which = np.unique(keys, return_inverse=True)
+        flags, answers = np.zeros((2, len(every)), bool), {bucket: body for bucket, body, _ in rows if bucket >= 0}
+        for k, s in by_bucket(every, buckets, full):
+            for flag, bits_of in zip(flags, _split(answers[k]), strict=True):
+                flag[s] = np.unpackbits(np.frombuffer(bits_of, np.uint8), count=s.stop - s.start)
+        lead = np.zeros(len(every), np.int64)
+        lead[which[::-1]] = ids[::-1]  # ids ascend: the first one is written last
+        bad = starts[flags[0][which] | (flags[1][which] & (ids > lead[which]))]
+        mark = np.zeros(int(units.offs[-1]) + 1, np.int32)
+        np.add.at(mark, bad, 1)
+        np.add.at(mark, bad + rule.length, -1)
+        removed = np.cumsum(mark)[:-1] > 0
         for d in np.flatnonzero(skip & (np.diff(units.offs) >= rule.length)).tolist():
             removed[units.offs[d] : units.offs[d + 1]] = True
         return finish(texts, units, removed)
