@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import op1_toxicity, op2_packing, op3_pii, op4_substring, op5_simhash, op6_suffix, op10_katz
+from lodeframe.llm import op1_toxicity, op2_packing, op3_pii, op4_substring, op5_simhash, op6_suffix, op7_chat, op8_decontam, op9_topk, op10_katz
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.query,
@@ -11,7 +11,14 @@ QUERIES = {
     "op4_substring_dedup": op4_substring.query,
     "op5_simhash_dedup": op5_simhash.query,
     "op6_suffix_dedup": op6_suffix.query,
+    "op7_chat_format": op7_chat.query,
+    "op8_decontaminate": op8_decontam.query,
+    "op9_top_k": op9_topk.query,
     "op10_katz_scores": op10_katz.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": op7_chat.ORACLE,
+    "op8_decontaminate": op8_decontam.ORACLE,
+    "op9_top_k": op9_topk.ORACLE,
+}
