@@ -26,9 +26,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeframe.llm import arrays as A
 from lodeframe.llm.blocks import small_batches
 from lodeframe.llm.shared import keep_table
 
@@ -146,10 +147,11 @@ def links_of(fps: np.ndarray, mask: int, first: int, segments: int, budget: int,
 
 
 def link(distinct: DataFrame, budget: int = 3, segments: int = 5, limit: int = 2000) -> DataFrame:
-    """distinct: fp, node (one row per fingerprint). Links (a, b) between nodes whose
-    transitive closure is that of all pairs within the budget."""
+    """distinct: view, fp, node (one row per view and fingerprint). Links (a, b) between
+    nodes whose transitive closure is that of all pairs within the budget in some view."""
     keys = masks(segments, budget)
-    expanded = distinct.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, (_, m) in enumerate(keys)])).alias("x")).select("fp", "node", "x.kind", "x.key")
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, (_, m) in enumerate(keys)]
+    expanded = distinct.select("view", "fp", "node", F.explode(F.array(*kinds)).alias("x")).select("fp", "node", (F.col("view") * len(keys) + F.col("x.kind")).alias("kind"), "x.key")
 
     def run(batches):
         parts = [rb for rb in batches if rb.num_rows]
@@ -157,13 +159,13 @@ def link(distinct: DataFrame, budget: int = 3, segments: int = 5, limit: int = 2
             return
         table = pa.Table.from_batches(parts)
         fp, node, kind, key = (table[c].to_numpy() for c in ("fp", "node", "kind", "key"))
-        order = np.lexsort((fp, key, kind))
+        order = np.lexsort((node, key, kind))  # by node, so that searches start at the smallest
         fp, node, kind, key = fp[order].view(np.uint64), node[order], kind[order], key[order]
         cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0)) + 1
         begin, end = np.append(0, cuts), np.append(cuts, len(key))
         out = []
         for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
-            first, mask = keys[kind[a]]
+            first, mask = keys[kind[a] % len(keys)]
             out += [(int(node[a + i]), int(node[a + j])) for i, j in links_of(fp[a:b], mask, first, segments, budget, limit)]
         if out:
             x = np.array(out, np.int64)
@@ -198,11 +200,75 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, segments
     """doc_id, fp, component_id: the smallest doc_id reachable by links of fingerprints."""
     marked = keep_table(fingerprints(docs, shingle, id_col, text_col))
     distinct = keep_table(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(link(distinct, budget, segments))
+    found = components(link(distinct.withColumn("view", F.lit(0)), budget, segments))
     labelled = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_views(text: bytes, views: int) -> tuple[bytes, np.ndarray]:
+    """A digest of the lower-cased words, and `views` fingerprints of the set of words."""
+    words = text.lower().split()
+    digest = xxhash.xxh128_digest(b" ".join(words))
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
+    out = np.zeros(views, np.uint64)
+    for v in range(views if len(hashes) else 0):
+        mixed = A.mix(hashes * np.uint64(2 * v + 3) + np.uint64(v))
+        sets = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[v] = np.packbits(2 * sets > len(hashes)).view(np.uint64)[0]
+    return digest, out.view(np.int64)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    words = text.lower().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64)).view(np.int64)
+
+
+def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, views: int = 8, budget: int = 3, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of documents whose sets of word shingles have a Jaccard
+    similarity of at least `threshold`, or are reached by such links.
+
+    A text whose shingles change has many changed bits in one fingerprint of them, so the
+    candidates come from `views` independent fingerprints of the set of words: two texts
+    are candidates if any view is within the budget, and links are kept only if the exact
+    similarity passes. Rows that share an id count as one document, with the text that
+    sorts last. Texts with equal words are one node."""
+    chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+
+    def mark(batches):
+        for rb in batches:
+            found = [word_views(t, views) for t in rb.column(1).cast(pa.binary()).to_pylist()]
+            fps = pa.array([f.tolist() for _, f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([d for d, _ in found], pa.binary()), fps], ["doc_id", "words", "fps"])
+
+    def sets(batches):
+        for rb in batches:
+            found = [shingle_set(t, shingle).tolist() for t in rb.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    marked = keep_table(chosen.mapInArrow(mark, "doc_id long, words binary, fps array<long>"))
+    nodes = keep_table(marked.groupBy("words").agg(F.min("doc_id").alias("node"), F.max("fps").alias("fps")))
+    by_view = nodes.select("node", F.posexplode("fps").alias("view", "fp"))
+    distinct = keep_table(by_view.groupBy("view", "fp").agg(F.min("node").alias("node")))
+    same = by_view.join(distinct.withColumnRenamed("node", "b"), ["view", "fp"]).where("node <> b").selectExpr("node as a", "b")
+    pairs = keep_table(link(distinct, budget, segments).union(same).distinct())
+    linked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    known = keep_table(chosen.join(linked, "doc_id").mapInArrow(sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")))
+    both = pairs.join(known.selectExpr("doc_id as a", "shingles as x"), "a").join(known.selectExpr("doc_id as b", "shingles as y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    good = both.where(common / (F.size("x") + F.size("y") - common) >= threshold).select("a", "b")
+    labelled = nodes.join(components(good), "node", "left").select("words", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(labelled, "words").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row for each component: the document with the smallest id, of rows that
+    share it the first by all columns. Rows with a null id stay."""
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    ordered = Window.partitionBy(id_col).orderBy(*docs.columns)
+    first = docs.join(kept, id_col, "left_semi").withColumn("__row", F.row_number().over(ordered)).where("__row = 1").drop("__row")
+    return first.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

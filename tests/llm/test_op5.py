@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodeframe.llm.op5_simhash import components, fingerprint, in_chain_budgets, link, links_of, masks, near_duplicates
+from lodeframe.llm.op5_simhash import components, fingerprint, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, similar_documents
 
 
 def plain_fingerprint(text, n=3):
@@ -96,4 +96,31 @@ def test_documents(spark):
     assert got == want
     assert max(Counter(c for *_, c in got).values()) >= 3
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    assert link(spark.createDataFrame([(1, 1)], "fp long, node long")).collect() == []
+    assert link(spark.createDataFrame([(0, 1, 1)], "view int, fp long, node long")).collect() == []
+
+
+def test_similar_documents(spark):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows, texts = [], {}
+    for d in range(40):
+        t = r.choices(words, k=r.randint(150, 300))
+        copies = [t]
+        for _ in range(3):
+            u = list(t)
+            for _ in range(r.choice([0, 1, 3, 20])):
+                u[r.randrange(len(u))] = r.choice(words)
+            copies.append(u)
+        rows += [(10 * d + k, " ".join(u)) for k, u in enumerate(copies)]
+    rows += [(5000, "tiny"), (5001, "Tiny"), (5002, None), (5003, ""), (5000, "tiny"), (None, "w1")]
+    texts = {i: (t or "").lower().split() for i, t in rows if i is not None}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    linked = [(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = closure(sets, linked)
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similar_documents(df)
+    assert sorted((x.doc_id, x.component_id) for x in got.distinct().collect()) == sorted(want.items())
+    kept = [x.doc_id for x in one_of_each(df, got).collect()]
+    assert sorted(kept, key=str) == sorted([*{*want.values()}, None], key=str)
+    assert similar_documents(df.limit(0)).collect() == []
