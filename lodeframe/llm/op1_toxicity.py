@@ -6,8 +6,9 @@ however often it occurs. FTRL keeps a sum of gradients z and of squared gradient
 each coordinate, so that rates fall per coordinate, and L1 leaves all but clearly useful
 weights at zero.
 
-Training takes at most `max_rows` labelled documents (those whose ids hash lowest), dealt
-over shards of about `shard_rows`. Each shard runs FTRL over its documents, and hands on the coordinates whose
+Training takes about `max_rows` labelled documents at most, chosen by a hash of the id, dealt
+over shards of about `shard_rows`, and leaves out features that only one document of a shard
+has. A shard is written once as one row of a table. Each shard runs FTRL over its documents, and hands on the coordinates whose
 weight isn't zero; their z and n are averaged over the shards and start the next round.
 The weights at the end are few, so they go to every task with the scoring function.
 
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import arrays as A
 from lodeframe.llm.blocks import small_batches
-from lodeframe.llm.shared import keep_table
+from lodeframe.llm.shared import about, keep_table
 
-MAX_ROWS, SHARD_ROWS, ROUNDS, PASSES = 40_000, 4_000, 3, 3
+MAX_ROWS, SHARD_ROWS, ROUNDS, PASSES = 40_000, 2_000, 3, 3
 #: Rate, rate offset, L1, L2, per coordinate.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 0.5
 KEY_BITS = 48
@@ -75,40 +76,47 @@ BIAS = np.uint64(0)
 def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and weights. use: a condition on the labels' doc_id."""
     ids = F.col(id_col).cast("long")
-    chosen = labels.select(ids.alias("id"), F.col(label).cast("double").alias("label")).where("id is not null and label is not null").where(use).orderBy(F.xxhash64("id"), "label").limit(max_rows)
-    chosen = keep_table(chosen)
+    known = labels.select(ids.alias("id"), F.col(label).cast("double").alias("label")).where("id is not null and label is not null").where(use)
+    chosen = keep_table(about(known, max_rows, F.col("id")))
     shards = max(1, round(chosen.count() / shard_rows))
-    # at most max_rows rows of two numbers
-    texts = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"))
+    # at most twice max_rows rows of two numbers
+    texts = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
 
     def extract(batches):
+        found, y = [], []
         for rb in batches:
             keys, doc = features(*joined(rb.column(0)))
-            bounds = np.searchsorted(np.sort(doc), np.arange(rb.num_rows + 1))
-            keys = keys[np.argsort(doc, kind="stable")]
-            found = [np.append(np.unique(keys[a:b]), BIAS).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rb.column(2), rb.column(1), pa.array(found, pa.binary())], ["shard", "label", "keys"])
-
-    rows = keep_table(texts.mapInArrow(extract, "shard int, label double, keys binary"))
+            order = np.argsort(doc, kind="stable")
+            bounds = np.searchsorted(doc[order], np.arange(rb.num_rows + 1))
+            found += [np.unique(keys[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            y += rb.column(1).to_pylist()
+        if not found:
+            return
+        every, counts = np.unique(np.concatenate(found), return_counts=True)
+        every = np.append(BIAS, every[counts > 1])
+        places = [np.append(0, 1 + (k := A.find(f, every[1:]))[k >= 0]).astype(np.int32) for f in found]
+        blobs = [A.squeeze(every), np.concatenate(places).tobytes(), np.array([len(x) for x in places], np.int64).tobytes(), np.array(y, float).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["keys", "places", "sizes", "labels"])
+
+    rows = keep_table(texts.repartition(shards).mapInArrow(extract, "keys binary, places binary, sizes binary, labels binary"))
     keys, z, n = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for _ in range(ROUNDS):
         start = (keys, z, n)
 
-        def train(_, table):
-            data = [np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]
-            order = np.argsort(np.array([x.sum() * np.uint64(A.BASE) for x in data], np.uint64), kind="stable")  # any fixed order
-            every = np.unique(np.concatenate([*data, start[0]]))
-            at = [np.searchsorted(every, data[k]) for k in order]
-            y = table["label"].to_numpy()[order]
-            z, n = np.zeros(len(every)), np.zeros(len(every))
-            known = np.searchsorted(every, start[0])
-            z[known], n[known] = start[1], start[2]
-            for _ in range(PASSES):
-                ftrl_pass(at, y, z, n)
-            kept = np.flatnonzero(weights(z, n))
-            return pa.table({"key": every[kept].astype(np.int64), "z": z[kept], "n": n[kept]})
-
-        merged = rows.groupBy("shard").applyInArrow(train, "key long, z double, n double").groupBy("key").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n"))
+        def train(batches):
+            for rb in batches:
+                for one in rb.to_pylist():
+                    every = A.unsqueeze(one["keys"])
+                    docs = np.split(np.frombuffer(one["places"], np.int32), np.cumsum(np.frombuffer(one["sizes"], np.int64))[:-1])
+                    z, n = np.zeros(len(every)), np.zeros(len(every))
+                    known = A.find(start[0], every)
+                    z[known[known >= 0]], n[known[known >= 0]] = start[1][known >= 0], start[2][known >= 0]
+                    for _ in range(PASSES):
+                        ftrl_pass(docs, np.frombuffer(one["labels"]), z, n)
+                    kept = np.flatnonzero(weights(z, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(every[kept].astype(np.int64)), pa.array(z[kept]), pa.array(n[kept])], ["key", "z", "n"])
+
+        merged = rows.mapInArrow(train, "key long, z double, n double").groupBy("key").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n"))
         found = merged.where(F.abs("z") > L1).toPandas().sort_values("key")  # the model, not data: few coordinates pass L1
         keys, z, n = found["key"].to_numpy().astype(np.uint64), found["z"].to_numpy(float), found["n"].to_numpy(float)
     return keys, weights(z, n)
