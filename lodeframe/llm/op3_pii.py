@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm.blocks import small_batches
+from lodeframe.llm.shared import about
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_UNITS = 40
@@ -280,11 +281,10 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[list[tuple[int, int]
 
 
 def fit_on(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights from at most `rows` texts of up to 20,000 characters that hold a digit or an
-    at-sign, those whose text hashes lowest. The bound covers training alone."""
-    text = F.col(text_col).cast("string")
-    chosen = docs.select(text.alias("text")).where("text rlike '[0-9@]' and length(text) <= 20000").select("text", F.xxhash64("text").alias("h"))
-    return fit([r["text"] for r in chosen.orderBy("h", "text").limit(rows).collect()])
+    """Weights from about `rows` texts at most, of up to 20,000 characters, that hold a
+    digit or an at-sign, chosen by a hash of the text. The bound covers training alone."""
+    chosen = docs.select(F.col(text_col).cast("string").alias("text")).where("text rlike '[0-9@]' and length(text) <= 20000")
+    return fit(sorted(r["text"] for r in about(chosen, rows, F.col("text")).collect()))
 
 
 def render(spans: list[list[tuple[int, int]]]) -> str:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,12 @@ def keep_table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lodeframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def about(df: DataFrame, rows: int, key: Column) -> DataFrame:
+    """All rows of df if it has at most `rows`; else those whose key's hash falls in the
+    share that gives about `rows`, and never over twice as many."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rows / n * (1 << 30))).limit(2 * rows)
