@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.plans import evidence_queries, gold_queries, scalar_queries
+from lodeframe.plans import evidence_queries, gold_queries, scalar_queries, stream_queries
 
-_MODULES = (gold_queries, scalar_queries, evidence_queries)
+_MODULES = (gold_queries, scalar_queries, evidence_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
