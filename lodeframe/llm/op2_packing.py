@@ -9,7 +9,8 @@ however large the corpus, reaches the driver, which plans there:
 2. a linear program over configurations of these few sizes is solved by column generation
    (the knapsack that prices columns is a table over lengths), and rounded down;
 3. actual lengths, in falling order, take the places of their group's size;
-4. whatever is left, and then all small lengths from the largest, go where they fit best.
+4. whatever is left, and then all small lengths from the largest, go where they fit best;
+5. steps 3 and 4 are repeated with a part of each configuration's sequences.
 
 Sequences that hold the same lengths are planned as one class with a count, so the plan is
 a few thousand runs: the pieces of one length with ranks a .. b go to consecutive sequences
@@ -41,6 +42,8 @@ SIZE, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 TWINS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 #: Lengths above size / LARGE are large; they are dealt into GROUPS groups.
 LARGE, GROUPS = 8, 64
+#: Parts of the configurations that are tried.
+SHARES = (1.0, 0.5, 0.25, 0.1, 0.02)
 #: Chunks whose ids a worker remembers, and characters it encodes at once.
 CACHE, AT_ONCE = 600_000, 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -177,8 +180,29 @@ def grouped(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
 
 def plan(counts: dict[int, int], size: int = SIZE, large: int = LARGE, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs (length, first rank, how many, first sequence, offset), and the number of
-    sequences. counts: how many pieces have each length."""
-    left = {k: n for k, n in counts.items() if n}
+    sequences. counts: how many pieces have each length. Rounding up leaves gaps that only
+    small lengths fill, so the configurations are also tried for a part of the sequences,
+    the rest left to best fit; the plan with the fewest sequences counts."""
+    counts = {k: n for k, n in counts.items() if n}
+    runs = grouped({k: n for k, n in counts.items() if k * large > size and k < size}, groups)
+    need: dict[int, int] = {}
+    for r in runs:
+        need[r[0][0]] = need.get(r[0][0], 0) + sum(n for _, n in r)
+    tops = sorted(need, reverse=True)
+    made = [(times, dict(zip(tops, c, strict=True))) for times, c in configurations(tops, [need[t] for t in tops], size)]
+    least, best = -(-sum(k * n for k, n in counts.items()) // size), None
+    for part in SHARES:
+        found = assembled(counts, [(int(times * part), c) for times, c in made], runs, size)
+        if best is None or found[1] < best[1]:
+            best = found
+        if best[1] == least:
+            break
+    return best
+
+
+def assembled(counts: dict[int, int], made: list[tuple[int, dict[int, int]]], runs: list[list[list[int]]], size: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plan that uses each configuration so often, and best fit for the rest."""
+    left = dict(counts)
     classes: dict[int, list[list]] = {}  # free room: [how many sequences, lengths in order]
     done: list[list] = []
 
@@ -188,15 +212,12 @@ def plan(counts: dict[int, int], size: int = SIZE, large: int = LARGE, groups: i
 
     if size in left:
         put(left.pop(size), (size,))
-    runs = grouped({k: n for k, n in left.items() if k * large > size}, groups)
-    tops = [r[0][0] for r in runs]
     merged: dict[int, list[list[int]]] = {}
-    for top, r in zip(tops, runs, strict=True):
-        merged.setdefault(top, []).extend(r)
-    tops = sorted(merged, reverse=True)
-    for times, config in configurations(tops, [sum(n for _, n in merged[t]) for t in tops], size):
+    for r in runs:
+        merged.setdefault(r[0][0], []).extend([*x] for x in r)
+    for times, config in made:
         slots = []
-        for top, n in zip(tops, config, strict=True):
+        for top, n in config.items():
             for _ in range(n):
                 want, slot = times, []
                 while want and merged[top]:
@@ -249,7 +270,7 @@ def plan(counts: dict[int, int], size: int = SIZE, large: int = LARGE, groups: i
 def pack(found: DataFrame, size: int = SIZE) -> DataFrame:
     """found: pieces, with a length from 1 to size. Adds sequence_id and offset."""
     total = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    salts = min(4096, max(16, sum(total.values()) // 200_000))
+    salts = min(512, max(16, sum(total.values()) // 200_000))
     runs = np.array(plan(total, size)[0] or np.zeros((0, 5)), np.int64).reshape(-1, 5)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
