@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodeframe.functions import geo, scalars
+from lodeframe.functions import classify, geo, scalars
 from lodeframe.operators import gold, graph, intervals, quality, retrieval, sampling, survey
 from lodeframe.plans import spec
 
@@ -112,3 +112,20 @@ def test_composites_keep_mass(spark, rows):
     made = gold.composites(df, 5.0).collect()
     assert sum(r.sample_count for r in made) == len(rows)
     assert all(r.min_value - 1e-6 <= r.weighted_avg <= r.max_value + 1e-6 for r in made)
+
+
+def test_labels(spark):
+    one = spark.range(1).select(
+        classify.authority_rank(F.lit("Technical Report")).alias("a"), classify.authority_rank(F.lit(None).cast("string")).alias("b"),
+        classify.uncited(F.lit("It is so [1]. Bare claim. Next. [2] More.")).alias("c"), classify.identifiers(F.lit("hole PLS-22-08 on 74H06, U3O8")).alias("d"),
+        classify.ocr_signals(F.lit("aaaaa word"), F.array(F.lit(0.2), F.lit(0.8)), F.lit(4)).alias("e"),
+    ).first()
+    assert (one.a, one.b) == (1, 3) and one.c == ["Bare claim."] and set(one.d.tokens) == {"PLS-22-08", "74H06", "U3O8"}
+    assert (one.e.mean, one.e.median, one.e.low_share, one.e.coverage, one.e.repeated) == (0.5, 0.5, 0.5, 0.5, 0.5)
+
+
+def test_fuzzy_matches(spark):
+    assert classify.indel_ratio("PLS2208", "PLS2280") == pytest.approx(200 * 6 / 14)
+    assert classify.token_set_ratio("weathered granite", "granite") == 100
+    df = spark.createDataFrame([("PLS2208",), ("zzz",), (None,)], "h string")
+    assert sorted(((r.h, r.match) for r in classify.best_match(df, "h", ["PLS2207", "PLS2209"], 80.0).collect()), key=str) == sorted([("PLS2208", "PLS2207"), ("zzz", None), (None, None)], key=str)
