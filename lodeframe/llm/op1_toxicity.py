@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
 
 
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", name: str = "toxic_score") -> DataFrame:
-    """docs, and the probability of label 1 in a new column `name`."""
-    keys, weight = model
+    """docs, and the probability of label 1 in a new column `name` (in place of one so named)."""
+    docs, (keys, weight) = docs.drop(name), model
     spare = "__whole_text"
     schema = docs.schema.add(name, "double")
 
