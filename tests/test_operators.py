@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeframe.functions import classify, geo, scalars
-from lodeframe.operators import gold, graph, intervals, quality, retrieval, sampling, survey
+from lodeframe.operators import gold, graph, ingest, intervals, quality, retrieval, sampling, survey
 from lodeframe.plans import spec
 
 
@@ -129,3 +129,17 @@ def test_fuzzy_matches(spark):
     assert classify.token_set_ratio("weathered granite", "granite") == 100
     df = spark.createDataFrame([("PLS2208",), ("zzz",), (None,)], "h string")
     assert sorted(((r.h, r.match) for r in classify.best_match(df, "h", ["PLS2207", "PLS2209"], 80.0).collect()), key=str) == sorted([("PLS2208", "PLS2207"), ("zzz", None), (None, None)], key=str)
+
+
+def test_curve_bands(spark):
+    depth = [0.0, 1.0, 2.0, 2.2, 3.0, 4.0, 5.0]
+    df = spark.createDataFrame([(1, {"DEPT": depth, "GR": [10.0, 12.0, 11.0, 90.0, 12.0, 80.0, 85.0]})], "collar_id int, curves map<string, array<double>>")
+    got = sorted((r.lo, r.hi, r.label) for r in ingest.curve_intervals(df, "GR", [(50.0, "clean")], "shale").collect())
+    assert got == [(0.0, 3.0, "clean"), (4.0, 5.0, "shale")]
+
+
+def test_replays_change_nothing(spark):
+    df = spark.createDataFrame([(1, 5), (1, 5), (2, 7)], "bronze_id int, v int")
+    assert ingest.deduplicated(df.union(df), "bronze_id", ["v"]).count() == 2
+    one, two = (ingest.fingerprints(x).first().survey_hash for x in (spark.createDataFrame(r, "collar_id int, depth int, azimuth int, dip int") for r in ([(1, 2, 3, 4), (1, 5, 6, 7)], [(1, 5, 6, 7), (1, 2, 3, 4)])))
+    assert one == two
