@@ -16,6 +16,33 @@ COLLAR_RULES: list[tuple[str, str, str]] = [
     ("collar.missing_azimuth", "INFO", "azimuth is null"),
     ("collar.missing_dip", "INFO", "dip is null"),
 ]
+#: The same for how a collar was placed.
+PLACE_RULES: list[tuple[str, str, str]] = [
+    ("collar.crs_assumed", "WARNING", "georef_method = 'assumed'"),
+    ("collar.crs_low_confidence", "WARNING", "crs_confidence < 0.5"),
+    ("collar.geom_missing_with_coords", "ERROR", "not has_geom and easting is not null and northing is not null"),
+    ("collar.spatial_uncertainty_excessive", "WARNING", "uncertainty_m > 100"),
+]
+# Parts per million that no sample of an element exceeds.
+ELEMENT_CEILINGS = {"AU": 100_000, "AG": 100_000, "PT": 100, "PD": 100, "CU": 500_000, "PB": 500_000, "ZN": 500_000, "NI": 200_000, "CO": 100_000, "FE": 1_000_000, "U": 500_000, "U3O8": 500_000, "MO": 100_000, "W": 200_000, "LI": 50_000, "BE": 50_000, "REE": 200_000}
+QAQC_PASSES = ["pass", "ok", "good", "valid"]
+
+
+def assay_flags(rows: DataFrame) -> DataFrame:
+    """One row per hole and rule, with how many of its assays break it. rows: collar_id,
+    element, value_ppm, qaqc_flag, crm_pass, blank_pass, duplicate_pass, over_detection,
+    under_detection."""
+    ceiling = F.element_at(F.create_map(*[x for k, v in ELEMENT_CEILINGS.items() for x in (F.lit(k), F.lit(float(v)))]), F.upper(F.trim("element")))
+    rules = {
+        "assay.qaqc_flag_failed": F.col("qaqc_flag").isNotNull() & ~F.lower(F.trim("qaqc_flag")).isin(QAQC_PASSES),
+        "assay.crm_failed": ~F.col("crm_pass"),
+        "assay.blank_failed": ~F.col("blank_pass"),
+        "assay.duplicate_failed": ~F.col("duplicate_pass"),
+        "assay.above_ceiling": F.col("value_ppm") > ceiling,
+        "assay.detection_paradox": F.col("over_detection") & F.col("under_detection"),
+    }
+    hit = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
+    return rows.select("collar_id", F.explode(hit).alias("rule_id")).groupBy("collar_id", "rule_id").agg(F.count("*").alias("assays"))
 
 
 def flags(rows: DataFrame, keys: list[str], rules: list[tuple[str, str, str]], version: str = "v1.0") -> DataFrame:

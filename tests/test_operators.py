@@ -143,3 +143,8 @@ def test_replays_change_nothing(spark):
     assert ingest.deduplicated(df.union(df), "bronze_id", ["v"]).count() == 2
     one, two = (ingest.fingerprints(x).first().survey_hash for x in (spark.createDataFrame(r, "collar_id int, depth int, azimuth int, dip int") for r in ([(1, 2, 3, 4), (1, 5, 6, 7)], [(1, 5, 6, 7), (1, 2, 3, 4)])))
     assert one == two
+
+
+def test_assay_flags(spark):
+    df = spark.createDataFrame([(1, "Pt ", 101.0, "OK", True, True, True, False, False), (1, "au", 5.0, "bad", False, None, True, True, True), (2, "xx", 9e9, None, None, None, None, None, None)], "collar_id int, element string, value_ppm double, qaqc_flag string, crm_pass boolean, blank_pass boolean, duplicate_pass boolean, over_detection boolean, under_detection boolean")
+    assert sorted((r.rule_id, r.assays) for r in quality.assay_flags(df).collect()) == [("assay.above_ceiling", 1), ("assay.crm_failed", 1), ("assay.detection_paradox", 1), ("assay.qaqc_flag_failed", 1)]
