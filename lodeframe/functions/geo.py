@@ -110,3 +110,35 @@ def long_section(x: Column, y: Column, x0: float, y0: float, azimuth: float) ->
     """Along and across a reference azimuth."""
     a = math.radians(azimuth)
     return (x - x0) * math.sin(a) + (y - y0) * math.cos(a), (x - x0) * math.cos(a) - (y - y0) * math.sin(a)
+
+
+# WGS 84 and the UTM grid (fixed values).
+SEMI_MAJOR, FLATTENING, SCALE = 6_378_137.0, 1 / 298.257223563, 0.9996
+_N = FLATTENING / (2 - FLATTENING)
+_RECTIFYING = SEMI_MAJOR / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def to_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
+    """Easting and northing (north of the equator) by the third-order series in the third
+    flattening; good to millimetres within a zone."""
+    p, d = F.radians(lat), F.radians(lon - (6 * zone - 183))
+    k = 2 * math.sqrt(_N) / (1 + _N)
+    atanh = lambda x: F.log((1 + x) / (1 - x)) / 2
+    t = F.sinh(atanh(F.sin(p)) - k * atanh(k * F.sin(p)))
+    xi, eta = F.atan2(t, F.cos(d)), atanh(F.sin(d) / F.sqrt(1 + t * t))
+    east = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_FORWARD, 1)), F.lit(0.0))
+    north = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_FORWARD, 1)), F.lit(0.0))
+    return 500_000 + SCALE * _RECTIFYING * east, SCALE * _RECTIFYING * north
+
+
+def from_utm(easting: Column, northing: Column, zone: int) -> tuple[Column, Column]:
+    """Longitude and latitude."""
+    xi, eta = northing / (SCALE * _RECTIFYING), (easting - 500_000) / (SCALE * _RECTIFYING)
+    x = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(_BACK, 1)), F.lit(0.0))
+    e = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(_BACK, 1)), F.lit(0.0))
+    c = F.asin(F.sin(x) / F.cosh(e))
+    lat = c + sum((d * F.sin(2 * j * c) for j, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
+    return 6 * zone - 183 + F.degrees(F.atan2(F.sinh(e), F.cos(x))), F.degrees(lat)

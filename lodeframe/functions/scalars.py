@@ -193,3 +193,21 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all distinct trigrams."""
     x, y = trigrams(a), trigrams(b)
     return F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0))
+
+
+def sentence(template: str, **values: Column) -> Column:
+    """A template with {name} places; a null value leaves out the whole bracketed part it is
+    in, as in `Hole {hole}[ to {depth} m].`"""
+    out = []
+    for k, part in enumerate(template.replace("]", "[").split("[")):
+        bits = [values[b] if i % 2 else F.lit(b) for i, b in enumerate(part.replace("}", "{").split("{"))]
+        text = F.concat(*[b.cast("string") for b in bits])
+        out.append(F.coalesce(text, F.lit("")) if k % 2 else text)
+    return F.concat(*out)
+
+
+def dominant(values: Column, groups: dict[str, str]) -> Column:
+    """The group that most of the values belong to; of equals, the one met first."""
+    mapped = F.filter(F.transform(values, lambda v: lookup(groups, F.lower(F.trim(v)))), lambda g: g.isNotNull())
+    ranked = F.transform(F.array_distinct(mapped), lambda g: F.struct((-F.size(F.filter(mapped, lambda m: m == g))).alias("n"), F.array_position(mapped, g).alias("at"), g.alias("g")))
+    return F.get(F.array_sort(ranked), F.lit(0))["g"]

@@ -148,3 +148,21 @@ def test_replays_change_nothing(spark):
 def test_assay_flags(spark):
     df = spark.createDataFrame([(1, "Pt ", 101.0, "OK", True, True, True, False, False), (1, "au", 5.0, "bad", False, None, True, True, True), (2, "xx", 9e9, None, None, None, None, None, None)], "collar_id int, element string, value_ppm double, qaqc_flag string, crm_pass boolean, blank_pass boolean, duplicate_pass boolean, over_detection boolean, under_detection boolean")
     assert sorted((r.rule_id, r.assays) for r in quality.assay_flags(df).collect()) == [("assay.above_ceiling", 1), ("assay.crm_failed", 1), ("assay.detection_paradox", 1), ("assay.qaqc_flag_failed", 1)]
+
+
+def test_grid_and_back(spark):
+    df = spark.createDataFrame([(-105.0, 50.0), (-103.2, 58.3), (-107.9, 0.5)], "lon double, lat double")
+    e, n = geo.to_utm(F.col("lon"), F.col("lat"), 13)
+    rows = df.withColumns({"e": e, "n": n})
+    lon, lat = geo.from_utm(F.col("e"), F.col("n"), 13)
+    got = rows.withColumns({"x": lon, "y": lat}).collect()
+    assert got[0].e == pytest.approx(500_000, abs=1e-3) and got[0].n == pytest.approx(5_538_630.703, abs=2e-3)
+    assert all(r.x == pytest.approx(r.lon, abs=2e-8) and r.y == pytest.approx(r.lat, abs=2e-8) for r in got)
+
+
+def test_sentences_and_groups(spark):
+    one = spark.range(1).select(
+        scalars.sentence("Hole {h}[ to {d} m][ by {who}].", h=F.lit("A-1"), d=F.lit(12), who=F.lit(None).cast("string")).alias("s"),
+        scalars.dominant(F.array(*map(F.lit, ["Cu", "gold", "Au", "cu ", "x"])), {"cu": "base", "gold": "precious", "au": "precious"}).alias("g"),
+    ).first()
+    assert (one.s, one.g) == ("Hole A-1 to 12 m.", "base")
