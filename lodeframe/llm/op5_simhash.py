@@ -207,59 +207,287 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, segments
     return marked.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_views(text: bytes, views: int) -> tuple[bytes, np.ndarray]:
-    """A digest of the lower-cased words, and `views` fingerprints of the set of words."""
-    words = text.lower().split()
-    digest = xxhash.xxh128_digest(b" ".join(words))
-    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-    out = np.zeros(views, np.uint64)
-    for v in range(views if len(hashes) else 0):
-        mixed = A.mix(hashes * np.uint64(2 * v + 3) + np.uint64(v))
-        sets = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[v] = np.packbits(2 * sets > len(hashes)).view(np.uint64)[0]
-    return digest, out.view(np.int64)
-
-
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    words = text.lower().split()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64)).view(np.int64)
-
-
-def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, views: int = 8, budget: int = 3, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: A group of this many nodes under a key, or fewer, gives all its pairs at once.
+SMALL = 32
+#: Larger groups are dealt into blocks of this many nodes.
+BLOCK = 4096
+#: Texts in the sample that finds frequent shingles, and how often a shingle has to occur.
+SAMPLED, FREQUENT = 4096, 4
+#: As many sets are compared with one set in one place.
+PLACE = 256
+
+
+def shingle_sets(texts: pa.Array, shingle: int):
+    """The sorted distinct hashes of each text's word shingles. A text with fewer words is
+    one shingle."""
+    texts = texts.cast(pa.large_binary())
+    sizes = np.array([len(t) for t in texts.to_pylist()], np.int64)
+    offs = np.concatenate(([0], np.cumsum(sizes)))
+    buf = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+    for a, b in A.slices(offs):
+        values, before = A.word_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], lower=True)
+        sums = A.prefix_sums(values)
+        for k in range(b - a):
+            i, j = int(before[k]), int(before[k + 1])
+            size = min(shingle, j - i)
+            yield np.unique(A.window_hashes(values, size, np.arange(i, max(i, j - size) + 1 if j == i else j - size + 1), sums))
+
+
+def least_common(threshold: float, x, y):
+    """The least number of shingles that sets of these sizes share at the threshold."""
+    return np.ceil(threshold / (1 + threshold) * (x + y) - 1e-9)
+
+
+def prefix_of(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """So many of the rarest shingles that two sets at the threshold share one of them. The
+    order is by hash, then the frequent ones (sorted) by rank; any order of all would do."""
+    n = len(shingles)
+    size = n - int(np.ceil(threshold * n - 1e-9)) + 1
+    at = A.find(shingles, frequent)
+    rare = shingles[at < 0][:size]
+    if len(rare) == size:
+        return rare
+    last = shingles[at >= 0]
+    return np.concatenate((rare, last[np.argsort(rank[at[at >= 0]])][: size - len(rare)]))
+
+
+def parities(shingles: np.ndarray) -> bytes:
+    """512 bits: how many shingles fall into each, modulo two. Sets differ in as many
+    shingles as their parities differ in bits, at least."""
+    return np.packbits(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
+
+
+def fine_parities(shingles: np.ndarray) -> bytes:
+    """Such parities in at least twice as many bits as shingles: long sets fill 512."""
+    bits = max(9, (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1, bitorder="little").tobytes()
+
+
+def fine_distance(x: bytes, y: bytes) -> int:
+    """In how many bits two fine parities differ, the longer one folded to the shorter."""
+    short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(long) > len(short):
+        octets = np.unpackbits(long.view(np.uint8), bitorder="little")
+        long = np.packbits(octets[::2] ^ octets[1::2], bitorder="little").view(np.uint64)
+    return int(np.bitwise_count(short ^ long).sum(dtype=np.int64))
+
+
+def may_reach(threshold: float, sx, sy, different) -> np.ndarray:
+    """Whether sets of these sizes may be that similar; different: XOR of their parities."""
+    most = sx + sy - 2 * least_common(threshold, sx, sy)
+    return np.bitwise_count(different).sum(axis=-1, dtype=np.int64) <= most
+
+
+def small_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs of nodes under equal neighbouring keys whose sizes allow the threshold."""
+    found = [np.zeros((0, 2), np.int64)]
+    for d in range(1, SMALL):
+        i = np.flatnonzero(key[:-d] == key[d:])
+        if not len(i):
+            break
+        i = i[np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]) - 1e-9]
+        a, b = node[i], node[i + d]
+        found.append(np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def group_pairs(size: np.ndarray, parity: np.ndarray, component: np.ndarray, side: np.ndarray | None, threshold: float, all_pairs: bool):
+    """Pairs of a group, sorted by size, that may be similar: a spanning forest of them, or
+    all of them between different components (and sides, where two blocks meet)."""
+    left = np.ones(len(size), bool)
+    reach = np.searchsorted(size, size / threshold + 1e-6, "right")  # up to here sizes allow it
+    low = np.searchsorted(size, size * threshold - 1e-6, "left")
+    if not all_pairs:
+        for start in range(len(size)):
+            if not left[start]:
+                continue
+            left[start], frontier = False, [start]
+            while frontier:
+                here = frontier.pop()
+                rest = low[here] + np.flatnonzero(left[low[here] : reach[here]])
+                rest = rest[may_reach(threshold, size[here], size[rest], parity[rest] ^ parity[here])]
+                left[rest] = False
+                yield here, rest
+                frontier += rest.tolist()
+        return
+    for here in range(len(size)):
+        rest = np.arange(here + 1, reach[here])
+        rest = rest[component[rest] != component[here]]
+        if side is not None:
+            rest = rest[side[rest] != side[here]]
+        if len(rest):
+            yield here, rest[may_reach(threshold, size[here], size[rest], parity[rest] ^ parity[here])]
+
+
+def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of documents whose sets of word shingles have a Jaccard
-    similarity of at least `threshold`, or are reached by such links.
-
-    A text whose shingles change has many changed bits in one fingerprint of them, so the
-    candidates come from `views` independent fingerprints of the set of words: two texts
-    are candidates if any view is within the budget, and links are kept only if the exact
-    similarity passes. Rows that share an id count as one document, with the text that
-    sorts last. Texts with equal words are one node."""
+    similarity of at least `threshold`, or are reached by such links. No pair is missed.
+
+    Equal sets are one node. With the shingles of all sets in one order, two sets at the
+    threshold share a shingle among the first n - threshold * n + 1 of each (prefix
+    filtering), so these are the keys under which nodes meet; shingles that are frequent in a
+    sample come last in the order. A small group gives all its pairs. A large one, in blocks
+    by size, gives a spanning forest of the pairs that sizes and parities allow. Once the
+    exact similarities of one pair a node have made components, all other allowed pairs that
+    are still in different components are tested. Rows that share an id count as one document, with the
+    component of the text whose set is named first."""
     chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    share = SAMPLED / max(SAMPLED, chosen.count())
+
+    def each(batches):
+        for rb in batches:
+            found = pa.array(np.concatenate([*shingle_sets(rb.column(0), shingle), np.zeros(0, np.uint64)]).view(np.int64))
+            for k in range(0, len(found), 1 << 16):
+                yield pa.RecordBatch.from_arrays([found[k : k + (1 << 16)]], ["shingle"])
+
+    texts = chosen.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").distinct()
+    often = texts.mapInArrow(each, "shingle long").groupBy("shingle").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(100_000).toPandas()  # a bounded list
+    frequent = often["shingle"].to_numpy(np.int64).view(np.uint64)
+    rank = -np.arange(len(frequent))
+    rank, frequent = rank[np.argsort(frequent)], np.sort(frequent)
 
     def mark(batches):
         for rb in batches:
-            found = [word_views(t, views) for t in rb.column(1).cast(pa.binary()).to_pylist()]
-            fps = pa.array([f.tolist() for _, f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([d for d, _ in found], pa.binary()), fps], ["doc_id", "words", "fps"])
+            digests, sizes, signs, fines, keys = [], [], [], [], []
+            for s in shingle_sets(rb.column(1), shingle):
+                digests.append(xxhash.xxh128_digest(s.tobytes()))
+                sizes.append(len(s))
+                signs.append(parities(s))
+                fines.append(fine_parities(s))
+                keys.append(prefix_of(s, frequent, rank, threshold).tobytes())
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(fines, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "digest", "size", "parity", "fine", "prefix"])
+
+    def spread(batches):
+        for rb in batches:
+            keys = [np.frombuffer(k, np.int64) for k in rb.column(2).to_pylist()]
+            counts = np.array([len(k) for k in keys], np.int64)
+            node, size = (np.repeat(rb.column(k).to_numpy(), counts) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(node), pa.array(size)], ["key", "node", "size"])
+
+    def meet(batches):
+        parts = [rb for rb in batches if rb.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        key, node, size = (table[c].to_numpy() for c in ("key", "node", "size"))
+        order = np.lexsort((node, size, key))
+        key, node, size = key[order], node[order], size[order].astype(np.int64)
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(begin, len(key)))
+        many = np.repeat(count, count)
+        few = (many > 1) & (many <= SMALL)
+        pairs = small_pairs(key[few], node[few], size[few], threshold)
+        none = np.full(len(pairs), -1, np.int64)
+        yield meeting(none, none, none, none, pairs[:, 0], pairs[:, 1])
+        big = np.flatnonzero(many > SMALL)
+        at = (np.arange(len(key)) - np.repeat(begin, count))[big]
+        yield meeting(key[big], at // BLOCK, (many[big] - 1) // BLOCK + 1, 0 * at, node[big], size[big])
+        last = (at % BLOCK == BLOCK - 1) & (at + 1 < many[big])  # also in the next block, so that blocks can be linked
+        over = big[last]
+        yield meeting(key[over], at[last] // BLOCK + 1, (many[over] - 1) // BLOCK + 1, 0 * at[last] + 1, node[over], size[over])
+
+    def meeting(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "block", "blocks", "guest", "a", "b"])
+
+    def allowed(batches):
+        for rb in batches:
+            sx, x, sy, y = (rb.column(k).to_pylist() for k in range(2, 6))
+            most = np.array(sx, np.int64) + np.array(sy, np.int64)
+            most = most - 2 * least_common(threshold, most, 0)
+            good = pa.array(np.array([fine_distance(p, q) for p, q in zip(x, y, strict=True)], np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([rb.column(k).filter(good) for k in (0, 1)], ["a", "b"])
+
+    def allow(pairs):
+        fine = nodes.select("node", "size", "fine")
+        return pairs.join(fine.toDF("a", "sx", "x"), "a").join(fine.toDF("b", "sy", "y"), "b").select("a", "b", "sx", "x", "sy", "y").mapInArrow(allowed, "a long, b long")
+
+    def within(all_pairs):
+        def run(batches):
+            parts = [rb for rb in batches if rb.num_rows]
+            if not parts:
+                return
+            table = pa.Table.from_batches(parts)
+            key, low, high, block, node, size, component = (table[c].to_numpy() for c in ("key", "low", "high", "block", "node", "size", "component"))
+            order = np.lexsort((node, size, high, low, key))
+            key, low, high, block, node, size, component = (x[order] for x in (key, low, high, block, node, size.astype(np.int64), component))
+            parity = np.frombuffer(b"".join(table["parity"].to_pylist()), np.uint64).reshape(-1, 8)[order]
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                side = block[i:j] if low[i] != high[i] else None
+                out, held = [np.zeros((0, 2), np.int64)], 0
+                for here, rest in group_pairs(size[i:j], parity[i:j], component[i:j], side, threshold, all_pairs):
+                    out.append(np.stack((np.full(len(rest), node[i + here]), node[i + rest]), axis=1))
+                    held += len(rest)
+                    if held > 1 << 20:
+                        yield linked(np.concatenate(out))
+                        out, held = [np.zeros((0, 2), np.int64)], 0
+                yield linked(np.concatenate(out))
+
+        return run
+
+    def linked(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=-1)), pa.array(pairs.min(axis=1, initial=1 << 62))], ["a", "b"])
 
     def sets(batches):
         for rb in batches:
-            found = [shingle_set(t, shingle).tolist() for t in rb.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
-
-    marked = keep_table(chosen.mapInArrow(mark, "doc_id long, words binary, fps array<long>"))
-    nodes = keep_table(marked.groupBy("words").agg(F.min("doc_id").alias("node"), F.max("fps").alias("fps")))
-    by_view = nodes.select("node", F.posexplode("fps").alias("view", "fp"))
-    distinct = keep_table(by_view.groupBy("view", "fp").agg(F.min("node").alias("node")))
-    same = by_view.join(distinct.withColumnRenamed("node", "b"), ["view", "fp"]).where("node <> b").selectExpr("node as a", "b")
-    pairs = keep_table(link(distinct, budget, segments).union(same).distinct())
-    linked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    known = keep_table(chosen.join(linked, "doc_id").mapInArrow(sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")))
-    both = pairs.join(known.selectExpr("doc_id as a", "shingles as x"), "a").join(known.selectExpr("doc_id as b", "shingles as y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    good = both.where(common / (F.size("x") + F.size("y") - common) >= threshold).select("a", "b")
-    labelled = nodes.join(components(good), "node", "left").select("words", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(labelled, "words").select("doc_id", "component_id")
+            _, digests, nodes, centers, salts = (rb.column(k).to_pylist() for k in range(5))
+            out = []
+            for s, digest, node, cs, ss in zip(shingle_sets(rb.column(0), shingle), digests, nodes, centers, salts, strict=True):
+                if xxhash.xxh128_digest(s.tobytes()) == digest:
+                    packed = A.squeeze(s)
+                    out += [(c, k, node, packed) for c, k in zip(cs, ss, strict=True)]
+            for k in range(0, len(out), 500):
+                part = list(zip(*out[k : k + 500], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["center", "salt", "node", "packed"])
+
+    def compare(batches):
+        here, mine = None, None
+        for rb in batches:  # sorted, each center before its nodes
+            out = []
+            for center, salt, node, packed in zip(*(rb.column(k).to_pylist() for k in range(4)), strict=True):
+                found = A.unsqueeze(packed)
+                if node == center:
+                    here, mine = (center, salt), found
+                elif here == (center, salt):
+                    common = len(np.intersect1d(mine, found, assume_unique=True))
+                    if common / (len(mine) + len(found) - common) >= threshold:
+                        out.append((max(node, center), min(node, center)))
+            x = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    def verified(pairs):
+        """The pairs (a, b) at the threshold, by their exact sets. Sets go where b's set is;
+        if that has many pairs, to one of several places."""
+        places = pairs.join(pairs.groupBy("b").agg(F.ceil(F.count("*") / PLACE).alias("places")), "b")
+        routes = places.selectExpr("a as node", "b as center", "pmod(xxhash64(a), places) as salt").union(places.select("b", "places").distinct().selectExpr("b as node", "b as center", "explode(sequence(0L, places - 1)) as salt"))
+        routes = routes.groupBy("node").agg(F.collect_list(F.struct("center", "salt")).alias("x")).selectExpr("node", "x.center as centers", "x.salt as salts")
+        wanted = routes.join(nodes.selectExpr("node", "digest", "first as doc_id"), "node")
+        sent = chosen.join(wanted, "doc_id").select("text", "digest", "node", "centers", "salts").mapInArrow(sets, "center long, salt long, node long, packed binary")
+        return sent.repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("node") != F.col("center")).mapInArrow(compare, "a long, b long").distinct()
+
+    marked = keep_table(chosen.mapInArrow(mark, "doc_id long, digest binary, size int, parity binary, fine binary, prefix binary"))
+    nodes = keep_table(marked.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "parity", "fine"))).withColumn("node", F.monotonically_increasing_id()))
+    named = marked.select("digest", F.col("doc_id").alias("first"), "prefix").join(nodes.select("digest", "first", "node", "size"), ["digest", "first"])
+    rows = named.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size int").repartition("key")
+    met = keep_table(rows.mapInArrow(meet, "key long, block long, blocks long, guest long, a long, b long"))
+    signs = nodes.select("node", "size", "parity")
+    few = met.where("block < 0 and a <> b").select("a", "b").distinct()
+    large = met.where("block >= 0").selectExpr("key", "block", "blocks", "guest", "a as node").join(signs, "node")
+    first = large.selectExpr("*", "block as low", "block as high", "node as component").repartition("key", "low", "high").mapInArrow(within(False), "a long, b long")
+    candidates = keep_table(allow(few.union(first.where("a <> b")).distinct()))
+    good = keep_table(verified(keep_table(candidates.groupBy("a").agg(F.min("b").alias("b")))))
+    found = keep_table(components(good))
+    named = keep_table(large.where("guest = 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    cells = named.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    apart = candidates.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
+    tested = cells.repartition("key", "low", "high").mapInArrow(within(True), "a long, b long").where("a <> b")
+    rest = keep_table(apart.union(allow(tested.distinct())).distinct())
+    if rest.limit(1).count():
+        found = components(good.union(verified(rest)))
+    labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
+    smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    return marked.select("doc_id", "digest").join(labelled.join(smallest, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

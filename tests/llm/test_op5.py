@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodeframe.llm.op5_simhash import components, fingerprint, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, similar_documents
+from lodeframe.llm.op5_simhash import components, fine_distance, fine_parities, fingerprint, group_pairs, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, parities, prefix_of, similar_documents
 
 
 def plain_fingerprint(text, n=3):
@@ -125,3 +125,63 @@ def test_similar_documents(spark):
     kept = [x.doc_id for x in one_of_each(df, got).collect()]
     assert sorted(kept, key=str) == sorted([*{*want.values()}, None], key=str)
     assert similar_documents(df.limit(0)).collect() == []
+
+
+def brute_force(rows):
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return sets, [(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def components_of(spark, rows):
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    return sorted((x.doc_id, x.component_id) for x in got.collect())
+
+
+def test_similar_documents_that_share_their_words(spark):
+    """Copies whose smallest neighbour has their words but is no copy."""
+    r = random.Random(4)
+    rows = []
+    for g in range(6):
+        lines = [" ".join(r.choices([f"w{k}" for k in range(40)], k=8)) for _ in range(30)]
+        for k in range(50 if g == 0 else 3):  # more than a small group
+            r.shuffle(lines)
+            rows += [(1000 * g + 2 * k, "\n".join(lines))] + [(1000 * g + 2 * k + 1, "\n".join(lines) + " end")] * (k > 0)
+    sets, linked = brute_force(rows)
+    want = closure(sets, linked)
+    assert len(set(want.values())) == 50 + 5 * 3
+    assert components_of(spark, rows) == sorted(want.items())
+
+
+def test_group_pairs_lose_none():
+    r, sets = np.random.default_rng(5), []
+    for _ in range(12):
+        base = r.integers(0, 2**64, 60, np.uint64)
+        sets += [np.unique(np.concatenate((base[: r.integers(50, 61)], r.integers(0, 2**64, r.integers(0, 12), np.uint64)))) for _ in range(12)]
+    sets.sort(key=len)
+    size, parity = np.array([len(s) for s in sets]), np.frombuffer(b"".join(map(parities, sets)), np.uint64).reshape(-1, 8)
+    none = np.zeros(0, np.uint64)
+    prefixes = [set(prefix_of(s, none, none, 0.8).tolist()) for s in sets]
+    same = np.arange(len(sets))
+    every = {(a, b) for a, found in group_pairs(size, parity, same, None, 0.8, True) for b in found.tolist()}
+    joined = closure(range(len(sets)), [(a, b) for a, found in group_pairs(size, parity, same, None, 0.8, False) for b in found.tolist()])
+    assert joined == closure(range(len(sets)), every)
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    assert len(near) > 100
+    assert all(p in every and prefixes[p[0]] & prefixes[p[1]] for p in near)
+    side = same % 2
+    across = {(a, b) for a, found in group_pairs(size, parity, same, side, 0.8, True) for b in found.tolist()}
+    assert across == {(a, b) for a, b in every if side[a] != side[b]}
+    parts = np.array(list(joined.values()))
+    assert not [b for _, found in group_pairs(size, parity, parts, None, 0.8, True) for b in found.tolist()]
+
+
+def test_fine_parities_bound_the_difference():
+    r = np.random.default_rng(6)
+    for n, m in ((3, 4), (200, 230), (1000, 1100), (4000, 4100)):
+        x = np.unique(r.integers(0, 2**64, n, np.uint64))
+        y = np.unique(np.concatenate((x[: n - n // 20], r.integers(0, 2**64, m - n, np.uint64))))
+        different = len(np.setxor1d(x, y))
+        assert 0.7 * different <= fine_distance(fine_parities(x), fine_parities(y)) <= different
