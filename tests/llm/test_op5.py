@@ -185,3 +185,16 @@ def test_fine_parities_bound_the_difference():
         y = np.unique(np.concatenate((x[: n - n // 20], r.integers(0, 2**64, m - n, np.uint64))))
         different = len(np.setxor1d(x, y))
         assert 0.7 * different <= fine_distance(fine_parities(x), fine_parities(y)) <= different
+
+
+def test_similar_documents_by_kind_of_edit(spark):
+    r = random.Random(12)
+    words, rows, pairs = [f"w{k}" for k in range(3000)], [], []
+    for g in range(30):
+        t = r.choices(words[:200] if g % 2 else words, k=300)
+        new = lambda n: r.choices(words, k=n)
+        u = {0: t + new(55), 1: new(30) + t, 2: t[:150] + new(40) + t[150:], 3: t[40:], 4: [*t[:50], "x", *t[51:200], "y", *t[201:]]}[g % 5]
+        rows += [(2 * g, " ".join(t)), (2 * g + 1, " ".join(u))]
+    sets, linked = brute_force(rows)
+    assert len(linked) == 30
+    assert components_of(spark, rows) == sorted(closure(sets, linked).items())
