@@ -4,35 +4,27 @@ documents; nothing here knows about Spark."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 #: Windows are hashed in slices of about this many units, to bound memory.
 SLICE = 1 << 20
 
-_RNG = np.random.default_rng(20240229)
-BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-LOWER_VALUE = BYTE_VALUE.copy()
-LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: For words without punctuation: all ASCII but letters and digits.
 NOT_ALNUM = np.array([k < 128 and not chr(k).isalnum() for k in range(256)])
 
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 2**64)
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE + 4096)
-        for k, b in enumerate((BASE, BASE_INV)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Odd factors of the hashes.
+BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Longer spans are hashed one by one.
+LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,21 +37,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """C with C[j] - C[i] = sum of values[k] * BASE**k for i <= k < j."""
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; zeros follow the last byte."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), U64, padded, 0, (1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of buf[start:end] for each span: its length and then its bytes, eight at
+    a time, go through a mixer that isn't linear, so that no texts clash but by chance."""
+    sizes, words = ends - starts, eights(buf)
+    out = mix(sizes.astype(U64) + U64(BASE))
+    left = np.arange(len(starts))
+    for k in range(0, LONG, 8):
+        left = left[(sizes[left] > k) & (sizes[left] <= LONG)]
+        if not len(left):
+            break
+        chunk = words[starts[left] + k] & _MASKS[np.minimum(sizes[left] - k, 8)]
+        out[left] = mix((out[left] ^ chunk) * U64(STEP))
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes())
     return out
 
 
-def window_hashes(values: np.ndarray, size: int, at: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
-    """Hash of values[i:i+size] for every i in `at` (default: every window)."""
-    c = prefix_sums(values) if sums is None else sums
-    inv = powers(len(values) + 1)[1]
-    if at is None:
-        n = len(values) - size + 1
-        return mix((c[size:] - c[:-size]) * inv[:n]) if n > 0 else np.zeros(0, U64)
-    return mix((c[at + size] - c[at]) * inv[at])
+def window_hashes(values: np.ndarray, steps: Sequence[int], at: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the values at i + step, for every i in `at`."""
+    out = np.full(len(at), mix(np.array([len(steps) + (seed << 32)], U64))[0], U64)
+    for step in steps:
+        out ^= values[at + step]
+        out *= U64(STEP)
+        out ^= out >> U64(32)
+    return mix(out)
 
 
 def words_of(buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,14 +86,11 @@ def words_of(buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _SPACE) -> tu
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, and the number of words before each document."""
-    table, hashes, counts = LOWER_VALUE if lower else BYTE_VALUE, [], [np.zeros(1, np.int64)]
-    before = 0
+    hashes, counts, before = [], [np.zeros(1, np.int64)], 0
     for a, b in slices(offs):
         part, rel = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         starts, ends, n = words_of(part, rel, gaps)
-        c = prefix_sums(table[part])
-        inv = powers(len(part) + 1)[1]
-        hashes.append(mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(U64)))
+        hashes.append(span_hashes(LOWER[part] if lower else part, starts, ends))
         counts.append(n[1:] + before)
         before += len(starts)
     return (np.concatenate(hashes) if hashes else np.zeros(0, U64)), np.concatenate(counts)

@@ -21,30 +21,43 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import arrays as A
 
-BLOCK_BYTES = 8 << 20
+#: Blocks grow with the square root of the corpus between these bounds, so that the rows of
+#: a round, one for each block and bucket, grow no faster than the corpus.
+LEAST_BYTES, MOST_BYTES, SQUARE = 8 << 20, 256 << 20, 80_000
+#: A text weighs one more for each so many bytes when blocks are cut.
+WEIGHT = 4096
 #: A map task hands on its texts when it holds this much.
 HELD_BYTES = 24 << 20
 PACKED = "block int, ids binary, sizes binary, texts binary"
 ASKED = "bucket int, block int, body binary, extra binary"
-#: The Arrow batches of whole texts are kept small, since one text may be very long.
-ROWS_PER_BATCH = "1000"
+#: The Arrow batches of whole texts are kept small, since texts may be very long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    """df. The session's Arrow batches hold 1,000 rows and 32 MB at most from here on."""
+    for name, value in BATCH.items():
+        df.sparkSession.conf.set(name, value)
     return df
 
 
+def block_size(total: int) -> int:
+    return min(MOST_BYTES, max(LEAST_BYTES, math.isqrt(total * SQUARE)))
+
+
 class Blocks:
     """Packed documents, and how many blocks and buckets there are.
 
     Rows without an id take no part; a null text counts as empty."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None):
         docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-        self.bytes, self.n = int(total), max(1, math.ceil(total / block_bytes))
-        cuts = docs.approxQuantile("id", [i / self.n for i in range(1, self.n)], min(0.01, 1 / (8 * self.n))) if self.n > 1 else []
+        self.bytes = int(total)
+        self.n = max(1, math.ceil(total / (block_bytes or block_size(self.bytes))))
+        weighed = docs.select("id", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / WEIGHT))).alias("part"))
+        # a number for each block
+        cuts = weighed.approxQuantile("id", [i / self.n for i in range(1, self.n)], min(0.01, max(1e-6, 1 / (8 * self.n)))) if self.n > 1 else []
         edges = np.array(sorted(set(cuts)), np.float64)
         self.packed = docs.mapInArrow(lambda batches: _pack(batches, edges), PACKED).repartition(max(self.n, 2), "block")
 
@@ -53,6 +66,11 @@ class Blocks:
         """Enough bits of a key that a key filter seldom errs at this size of corpus."""
         return min(64, max(24, self.bytes.bit_length() + 8))
 
+    @property
+    def width(self) -> int:
+        """Bits of a name by which texts are held to be equal."""
+        return min(128, max(48, 2 * self.bytes.bit_length()))
+
     def ask(self, frame: DataFrame, f: Callable[[pa.Table], Iterator[tuple]]) -> DataFrame:
         """frame: packed rows. f(texts) yields (bucket, body, extra)."""
 
@@ -71,7 +89,7 @@ class Blocks:
             return pa.table({"block": pa.array([x[0] for x in found], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(found), pa.int32()), "body": pa.array([x[1] for x in found], pa.binary()), "extra": pa.array([x[2] for x in found], pa.binary())})
 
         own = F.when(F.col("bucket") < 0, F.col("block")).otherwise(0)  # rows that go back need not meet
-        return asked.groupBy("bucket", own.alias("own")).applyInArrow(run, schema)
+        return asked.withColumn("own", own).repartition(max(self.n, 2), "bucket", "own").groupBy("bucket", "own").applyInArrow(run, schema)
 
     def with_answers(self, answers: DataFrame, f: Callable, schema: str) -> DataFrame:
         """f(block, texts, [(bucket, body, extra)] by bucket) returns an Arrow table of `schema`."""

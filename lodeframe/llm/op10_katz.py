@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm import arrays as A
-from lodeframe.llm.blocks import BLOCK_BYTES, Blocks, Texts
+from lodeframe.llm.blocks import Blocks, Texts
 
 END, START = A.mix(np.array([0xE17D, 0x57A7], np.uint64))
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -50,7 +50,7 @@ def crc_fold(modulus: int, left_out: int) -> Callable[[int], bool]:
     return lambda i: zlib.crc32(str(i).encode()) % modulus == left_out
 
 
-def katz_scores(docs: DataFrame, held_out: Callable[[int], bool] = crc_fold(7, 2), top: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out: Callable[[int], bool] = crc_fold(7, 2), top: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known (tokens with a training
     count), train_tokens, base_score (add-one unigrams) and score, both log10."""
     blocks = Blocks(docs, id_col, text_col, block_bytes)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.blocks import BLOCK_BYTES, Blocks
+from lodeframe.llm.blocks import Blocks
 from lodeframe.llm.cover import Rule, covered, runs_of, table_of
 
 SCHEMA = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string"
@@ -24,7 +24,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _TYPES = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "spans": _SPAN, "kept": pa.string()}
 
 
-def substring_dedup(docs: DataFrame, length: int = 13, modulus: int = 7, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 13, modulus: int = 7, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, spans (of removed words, end exclusive), kept (the
     other words joined by one space)."""
     return covered(Blocks(docs, id_col, text_col, block_bytes), Rule(length, modulus, words=True), _finish, SCHEMA)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.blocks import BLOCK_BYTES, Blocks
+from lodeframe.llm.blocks import Blocks
 from lodeframe.llm.cover import Rule, covered, runs_of, table_of
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
@@ -28,7 +28,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _TYPES = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": _SPAN, "kept": pa.binary()}
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, modulus: int = 21, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, modulus: int = 21, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs, end exclusive), kept (the
     other bytes)."""
     return covered(Blocks(docs, id_col, text_col, block_bytes), Rule(length, modulus, words=False), _finish, SCHEMA)

@@ -1,8 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from lodeframe.llm.blocks import Blocks
+from lodeframe.llm.cover import Names
 from lodeframe.llm.op4_substring import substring_dedup
 from lodeframe.llm.op6_suffix import suffix_dedup
 
@@ -65,6 +68,52 @@ def test_bytes(spark, seed, block):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == sorted(want)
 
 
+def thue_morse(n=1024):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n)), "".join("ba"[k.bit_count() & 1] for k in range(n))
+
+
+def test_texts_that_clash_modulo_powers_of_two(spark):
+    """Linear hashes modulo 2**64 take one of these for the other, whatever their base."""
+    t, c = thue_morse()
+    rows = [(1, "0123456789" + t), (2, "0123456789" + c), (3, t), (4, c)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: sum(g) for i, _, g in brute(rows, lambda x: x.encode(), 50)}
+    assert got[2] == 1024
+    words = [f"w{k}" for k in range(14)]
+    rows = [(i, " ".join([*words[:6], x, *words[7:]])) for i, x in enumerate((t, c, t))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 14}
+
+
+def test_names_of_more_than_64_bits():
+    r = np.random.default_rng(1)
+    names = Names(r.integers(0, 4, 3000, np.uint64), r.integers(0, 1 << 20, 3000, np.uint64) % np.uint64(40))
+    order, new = names.sorted()
+    every = names[order[new]]
+    pairs = list(zip(every.high.tolist(), every.low.tolist(), strict=True))
+    assert pairs == sorted(set(zip(names.high.tolist(), names.low.tolist(), strict=True)))
+    back = Names.unpacked([every[:50].packed(), every[50:].packed()])
+    assert (back.high == every.high).all() and (back.low == every.low).all()
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_wide_names(spark, monkeypatch, words):
+    monkeypatch.setattr(Blocks, "width", property(lambda self: 90))
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = (substring_dedup if words else suffix_dedup)(df, block_bytes=3000).collect()
+    want = brute(rows, (lambda t: t.split()) if words else (lambda t: t.encode()), 13 if words else 50)
+    assert sorted((r.doc_id, r.n_removed) for r in got) == sorted((i, sum(g)) for i, _, g in want)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, long, "a", 1), (2, "start " + long, "b", 2), (3, long[:400], "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, block int").withColumnsRenamed({"block": "n_removed"})
+    assert [r.n_removed for r in sorted(substring_dedup(df).collect())] == [0, 200_000, 102]
+    assert [r.n_removed for r in sorted(suffix_dedup(df, block_bytes=1 << 20).collect())] == [0, len(long), 400]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup(empty).collect() == [] == suffix_dedup(empty).collect()
