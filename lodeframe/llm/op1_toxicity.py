@@ -6,10 +6,11 @@ however often it occurs. FTRL keeps a sum of gradients z and of squared gradient
 each coordinate, so that rates fall per coordinate, and L1 leaves all but clearly useful
 weights at zero.
 
-Training takes about `max_rows` labelled documents at most, chosen by a hash of the id, dealt
-over shards of about `shard_rows`, and leaves out features that only one document of a shard
-has. A shard is written once as one row of a table. Each shard runs FTRL over its documents, and hands on the coordinates whose
-weight isn't zero; their z and n are averaged over the shards and start the next round.
+Training takes about `max_rows` labelled documents, chosen by a share of hashes of the id,
+dealt over shards of about `shard_rows`. A shard is written once as one row of a table. Each
+shard runs FTRL over its documents, and hands on the coordinates whose weight isn't zero;
+their z are averaged over the shards that have the coordinate at all (one whose weight is
+zero there counts as z = 0), their n over those that handed it on, and start the next round.
 The weights at the end are few, so they go to every task with the scoring function.
 
 Null text: empty. An empty text gets the score of the bias. Null id: scored, never used
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import arrays as A
 from lodeframe.llm.blocks import small_batches
-from lodeframe.llm.shared import about, keep_table
+from lodeframe.llm.shared import about, keep_table, spare
 
 MAX_ROWS, SHARD_ROWS, ROUNDS, PASSES = 40_000, 2_000, 3, 3
 #: Rate, rate offset, L1, L2, per coordinate.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 0.5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 KEY_BITS = 48
 _DROP = np.uint64(64 - KEY_BITS)
 
@@ -41,7 +42,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     words, at = A.word_hashes(buf, offs, lower=True, gaps=A.NOT_ALNUM)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(at))
     keys, docs = [words], [doc]
-    for gap, factor in ((1, A.BASE), (2, A.BASE_INV)):
+    for gap, factor in ((1, A.BASE), (2, A.STEP)):
         same = doc[gap:] == doc[:-gap]
         keys.append(A.mix(words[:-gap][same] * np.uint64(factor) + words[gap:][same]))
         docs.append(doc[gap:][same])
@@ -79,26 +80,26 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
     known = labels.select(ids.alias("id"), F.col(label).cast("double").alias("label")).where("id is not null and label is not null").where(use)
     chosen = keep_table(about(known, max_rows, F.col("id")))
     shards = max(1, round(chosen.count() / shard_rows))
-    # at most twice max_rows rows of two numbers
-    texts = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
+    # about max_rows rows of two numbers
+    texts = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
 
     def extract(batches):
         found, y = [], []
         for rb in batches:
-            keys, doc = features(*joined(rb.column(0)))
+            keys, doc = features(*joined(rb.column(1)))
             order = np.argsort(doc, kind="stable")
             bounds = np.searchsorted(doc[order], np.arange(rb.num_rows + 1))
             found += [np.unique(keys[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            y += rb.column(1).to_pylist()
+            y += rb.column(2).to_pylist()
         if not found:
             return
-        every, counts = np.unique(np.concatenate(found), return_counts=True)
-        every = np.append(BIAS, every[counts > 1])
-        places = [np.append(0, 1 + (k := A.find(f, every[1:]))[k >= 0]).astype(np.int32) for f in found]
+        every = np.append(BIAS, np.unique(np.concatenate(found)))
+        places = [np.append(0, 1 + np.searchsorted(every[1:], f)).astype(np.int32) for f in found]
         blobs = [A.squeeze(every), np.concatenate(places).tobytes(), np.array([len(x) for x in places], np.int64).tobytes(), np.array(y, float).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["keys", "places", "sizes", "labels"])
 
-    rows = keep_table(texts.repartition(shards).mapInArrow(extract, "keys binary, places binary, sizes binary, labels binary"))
+    dealt = texts.repartition(shards, "id").sortWithinPartitions("id", "label", "text")
+    rows = keep_table(dealt.mapInArrow(extract, "keys binary, places binary, sizes binary, labels binary"))
     keys, z, n = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for _ in range(ROUNDS):
         start = (keys, z, n)
@@ -116,16 +117,27 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
                     kept = np.flatnonzero(weights(z, n))
                     yield pa.RecordBatch.from_arrays([pa.array(every[kept].astype(np.int64)), pa.array(z[kept]), pa.array(n[kept])], ["key", "z", "n"])
 
-        merged = rows.mapInArrow(train, "key long, z double, n double").groupBy("key").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n"))
-        found = merged.where(F.abs("z") > L1).toPandas().sort_values("key")  # the model, not data: few coordinates pass L1
+        # the model, not data: few coordinates pass L1
+        found = rows.mapInArrow(train, "key long, z double, n double").groupBy("key").agg(F.sum("z").alias("z"), F.avg("n").alias("n")).toPandas().sort_values("key")
         keys, z, n = found["key"].to_numpy().astype(np.uint64), found["z"].to_numpy(float), found["n"].to_numpy(float)
+        passed = keys
+
+        def seen(batches):
+            for rb in batches:
+                for blob in rb.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(A.find(passed, A.unsqueeze(blob)) >= 0))], ["place"])
+
+        counts = rows.select("keys").mapInArrow(seen, "place long").groupBy("place").count().toPandas()
+        z[counts["place"].to_numpy(int)] /= counts["count"].to_numpy(float)
+        kept = np.abs(z) > L1
+        keys, z, n = keys[kept], z[kept], n[kept]
     return keys, weights(z, n)
 
 
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", name: str = "toxic_score") -> DataFrame:
     """docs, and the probability of label 1 in a new column `name` (in place of one so named)."""
     docs, (keys, weight) = docs.drop(name), model
-    spare = "__whole_text"
+    whole = spare("whole_text", docs)
     schema = docs.schema.add(name, "double")
 
     def run(batches):
@@ -142,7 +154,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col:
             p = 1 / (1 + np.exp(-np.clip(total, -500, 500))) if len(keys) else np.zeros(rb.num_rows)
             yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(p)], [*rb.schema.names[:-1], name])
 
-    return small_batches(docs).withColumn(spare, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return small_batches(docs).withColumn(whole, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
 
 
 def fold(modulus: int, remainder: int, col: str) -> Column:

@@ -1,4 +1,4 @@
-"""Written tables in the folder that the cluster shares."""
+"""Written tables in the folder that the cluster shares, samples, and spare column names."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests on one machine,
-    a new temporary folder is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset on one machine, as in tests, a
+    new temporary folder is set; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,10 +29,28 @@ def keep_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(*tables: DataFrame) -> None:
+    """Deletes tables of `keep_table` once all that was read from them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/lodeframe-" in path:
+                there = spark._jvm.org.apache.hadoop.fs.Path(path)
+                there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+
+
 def about(df: DataFrame, rows: int, key: Column) -> DataFrame:
     """All rows of df if it has at most `rows`; else those whose key's hash falls in the
-    share that gives about `rows`, and never over twice as many."""
+    share that gives about `rows`. Rows with one key stay together."""
     n = df.count()
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rows / n * (1 << 30))).limit(2 * rows)
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
+def spare(name: str, *frames: DataFrame) -> str:
+    """The name, with as many underscores more as no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

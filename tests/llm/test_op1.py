@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodeframe.llm import arrays as A
+from lodeframe.llm import op1_toxicity
 from lodeframe.llm.op1_toxicity import KEY_BITS, features, fit, fold, score_texts, weights
 
 
@@ -58,6 +59,54 @@ def test_held_out(spark):
     assert {r.key for r in got} == {"en", "x", "y", "z"}
 
 
+def test_one_shard_equals_plain_ftrl(spark, monkeypatch):
+    """Against a dictionary-based FTRL, document by document."""
+    monkeypatch.setattr(op1_toxicity, "ROUNDS", 1)
+    docs, labels = corpus(300)
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    keys, weight = fit(df, lab, F.lit(True), shard_rows=1000)
+    z, n, truth = {}, {}, dict(labels)
+
+    def plain_weight(f):
+        big = abs(z.get(f, 0.0)) > op1_toxicity.L1
+        return (np.sign(z[f]) * op1_toxicity.L1 - z[f]) / ((op1_toxicity.BETA + n[f] ** 0.5) / op1_toxicity.ALPHA + op1_toxicity.L2) if big else 0.0
+
+    for _ in range(op1_toxicity.PASSES):
+        for i, t in docs:
+            found = [0, *np.unique(features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]).tolist()]
+            w = {f: plain_weight(f) for f in found}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - truth[i]
+            for f in found:
+                old = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / op1_toxicity.ALPHA * w[f]
+                n[f] = old + g * g
+    want = {f: plain_weight(f) for f in z if plain_weight(f)}
+    assert sorted(want) == keys.tolist() and len(want) >= 3
+    assert np.allclose([want[k] for k in keys.tolist()], weight)
+
+
+def test_a_coordinate_in_few_shards_keeps_its_weight(spark):
+    """Texts about one subject share a shard's words with no other shard's."""
+    docs, labels = corpus(1500)
+    rare = [(i, t + " unseen awful") if y and i % 5 == 1 else (i, t) for (i, t), (_, y) in zip(docs, labels, strict=True)]
+    keys, _ = fit(spark.createDataFrame(rare, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), shard_rows=100)
+    nasty = features(np.frombuffer(b"nasty", np.uint8), np.array([0, 5]))[0]
+    assert nasty[0] in keys
+
+
+def test_clashing_names_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "a nasty " * 100_000, "x", 1.0), (1, None, None, None)], "doc_id long, text string, whole_text string, score double")
+    nasty = features(np.frombuffer(b"nasty", np.uint8), np.array([0, 5]))[0]
+    got = score_texts(df, (nasty, np.array([1.0])), name="score")
+    assert got.columns == ["doc_id", "text", "whole_text", "score"]
+    assert sorted(round(r.score, 3) for r in got.collect()) == [0.5, 0.731]
+
+
+def test_labels_that_disagree(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    fit(df, spark.createDataFrame([(1, 0), (1, 1), (1, None)], "doc_id long, toxic int"), F.lit(True))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = fit(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
