@@ -8,9 +8,11 @@ there is in budget: the differences of segments i .. i+l-1 add up to at most
 floor(l * budget / segments) for every l (the pigeonring principle). With five segments
 and a budget of three that means segment i agrees, and so does at least one of the next
 two; so fingerprints meet under ten keys of 25 or 26 bits, and a pair under a key is
-tested against all chain budgets before its full distance is taken. More segments make
-longer keys and more of them: 10 give 30 keys of 31 to 33 bits, 16 give 80 of 36, which
-keeps chance meetings rare up to tens of billions of fingerprints.
+tested against the chain budgets, one segment more at a time, before the full distance of
+what they leave is taken. A pair in budget that fails the chains from one segment passes
+those from another, where it meets under that segment's key. More segments make longer keys
+and more of them: 10 give 30 keys of 31 to 33 bits, 16 give 80 of 36. Their number follows
+the number of fingerprints, so that chance meetings stay rare.
 
 Fingerprints are made distinct first, so copies cost nothing. Under one key a task needs
 only a spanning forest: it compares each fingerprint with the others of the key in
@@ -20,7 +22,9 @@ budget of three guarantees, so no group is quadratic in a hot key. Components co
 repeated minimum labels over the links, each round a join and a written table.
 
 Null text: no words, so fingerprint zero. Null id: the row takes no part. Repeated rows:
-each is returned, in the same component. Extra columns are ignored. Empty table: no rows.
+each is returned, in the same component. Very long texts: a text is hashed shingle by
+shingle, whole. Ties: a bit set in exactly half of the hashes is 0. Extra columns are
+ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +32,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm import arrays as A
 from lodeframe.llm.blocks import small_batches
-from lodeframe.llm.shared import keep_table
+from lodeframe.llm.shared import drop_table, keep_table, spare
 
 SEED = 42
+#: Fingerprints under keys in one task, on average at most.
+PART_ROWS = 2_000_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -95,35 +101,39 @@ def masks(segments: int, budget: int) -> list[tuple[int, int]]:
 
 
 def in_chain_budgets(different: np.ndarray, first: int, segments: int, budget: int) -> np.ndarray:
-    """Which XORs keep within every chain budget from segment `first`."""
-    at, total, good = ring(segments), np.zeros(different.shape, np.int64), np.ones(different.shape, bool)
-    for n in range(1, segments + 1):
+    """Places of the XORs whose chains from segment `first` keep within every budget but the
+    last, which is that of all segments. Each segment is looked at only for those left."""
+    at, left, total = ring(segments), np.arange(len(different)), np.zeros(len(different), np.int64)
+    for n in range(1, segments):
         k = (first + n - 1) % segments
-        part = (different >> np.uint64(at[k])) & np.uint64((1 << (at[k + 1] - at[k])) - 1)
-        total += np.bitwise_count(part)
-        good &= total <= chain_budget(n, budget, segments)
-    return good
-
-
-def forest(fps: np.ndarray, test, budget: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of fingerprints that `test` and the budget join: each
-    unvisited fingerprint starts a search that compares one frontier at a time."""
-    left, links = np.ones(len(fps), bool), []
+        part = (different[left] >> np.uint64(at[k])) & np.uint64((1 << (at[k + 1] - at[k])) - 1)
+        total = total + np.bitwise_count(part)
+        good = total <= chain_budget(n, budget, segments)
+        left, total = left[good], total[good]
+    return left
+
+
+def forest(fps: np.ndarray, first: int, segments: int, budget: int, seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the fingerprints that the chains from `first` and the
+    budget join: each unvisited fingerprint starts a search that compares one frontier at a
+    time, chains first, and takes the full distance of what they leave. seen: gets the
+    number of pairs met, and of those left by the chains."""
+    unvisited, links = np.ones(len(fps), bool), []
     for start in range(len(fps)):
-        if not left[start]:
+        if not unvisited[start]:
             continue
-        left[start], frontier = False, [start]
+        unvisited[start], frontier = False, [start]
         while frontier:
             here = frontier.pop()
-            rest = np.flatnonzero(left)
+            rest = np.flatnonzero(unvisited)
             if not len(rest):
                 break
             different = fps[rest] ^ fps[here]
-            near = np.bitwise_count(different) <= budget
-            if test is not None:
-                near &= test(different)
-            found = rest[near]
-            left[found] = False
+            left = in_chain_budgets(different, first, segments, budget)
+            if seen is not None:
+                seen += [len(rest), len(left)]
+            found = rest[left[np.bitwise_count(different[left]) <= budget]]
+            unvisited[found] = False
             links += [(here, k) for k in found.tolist()]
             frontier += found.tolist()
     return links
@@ -135,7 +145,7 @@ def links_of(fps: np.ndarray, mask: int, first: int, segments: int, budget: int,
     # A linked pair may fail the chain test under this key but then passes it under another.
     free = [b for b in range(64) if not mask >> b & 1]
     if len(fps) <= limit or len(free) <= budget + 1:
-        return forest(fps, lambda x: in_chain_budgets(x, first, segments, budget), budget)
+        return forest(fps, first, segments, budget)
     found = []
     for part in np.array_split(np.array(free), budget + 1):
         more = sum(1 << int(b) for b in part)
@@ -148,10 +158,20 @@ def links_of(fps: np.ndarray, mask: int, first: int, segments: int, budget: int,
     return found
 
 
-def link(distinct: DataFrame, budget: int = 3, segments: int = 5, limit: int = 2000) -> DataFrame:
+def segments_for(count: int, budget: int) -> int:
+    """The least number of segments whose keys have so many bits that a fingerprint meets
+    few others of `count` by chance; the links are the same with any."""
+    return next((n for n in (5, 7, 10, 16) if count < 4 << min(m.bit_count() for _, m in masks(n, budget))), 16)
+
+
+def link(distinct: DataFrame, budget: int = 3, segments: int | None = None, limit: int = 2000) -> DataFrame:
     """distinct: view, fp, node (one row per view and fingerprint). Links (a, b) between
     nodes whose transitive closure is that of all pairs within the budget in some view."""
+    count = distinct.count()
+    segments = segments or segments_for(count, budget)
     keys = masks(segments, budget)
+    spark = distinct.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * len(keys) // PART_ROWS)
     kinds = [F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, (_, m) in enumerate(keys)]
     expanded = distinct.select("view", "fp", "node", F.explode(F.array(*kinds)).alias("x")).select("fp", "node", (F.col("view") * len(keys) + F.col("x.kind")).alias("kind"), "x.key")
 
@@ -173,7 +193,7 @@ def link(distinct: DataFrame, budget: int = 3, segments: int = 5, limit: int = 2
             x = np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x.max(axis=1)), pa.array(x.min(axis=1))], ["a", "b"])
 
-    return expanded.repartition("kind", "key").mapInArrow(run, "a long, b long").distinct()
+    return expanded.repartition(parts, "kind", "key").mapInArrow(run, "a long, b long").distinct()
 
 
 def _signed(mask: int) -> int:
@@ -193,12 +213,14 @@ def components(links: DataFrame) -> DataFrame:
         hooked = moved.groupBy("old").agg(F.min("label").alias("root")).withColumnRenamed("old", "node")
         best = moved.join(hooked.withColumnRenamed("root", "mine"), "node", "left").join(hooked.selectExpr("node as old", "root as theirs"), "old", "left").selectExpr("node", "old", "least(label, mine, theirs) as label")
         after = keep_table(best)
+        drop_table(labels)
         if after.where("label <> old").limit(1).count() == 0:
+            drop_table(both)
             return after.selectExpr("node", "label as component")
         labels = after.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable by links of fingerprints."""
     marked = keep_table(fingerprints(docs, shingle, id_col, text_col))
     distinct = keep_table(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
@@ -226,11 +248,10 @@ def shingle_sets(texts: pa.Array, shingle: int):
     buf = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
     for a, b in A.slices(offs):
         values, before = A.word_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], lower=True)
-        sums = A.prefix_sums(values)
         for k in range(b - a):
             i, j = int(before[k]), int(before[k + 1])
             size = min(shingle, j - i)
-            yield np.unique(A.window_hashes(values, size, np.arange(i, max(i, j - size) + 1 if j == i else j - size + 1), sums))
+            yield np.unique(A.window_hashes(values, range(size), np.arange(i, j - size + 1)))
 
 
 def least_common(threshold: float, x, y):
@@ -320,7 +341,7 @@ def group_pairs(size: np.ndarray, parity: np.ndarray, component: np.ndarray, sid
 
 
 def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id of documents whose sets of word shingles have a Jaccard
+    """Components of documents whose sets of word shingles have a Jaccard
     similarity of at least `threshold`, or are reached by such links. No pair is missed.
 
     Equal sets are one node. With the shingles of all sets in one order, two sets at the
@@ -329,8 +350,12 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     sample come last in the order. A small group gives all its pairs. A large one, in blocks
     by size, gives a spanning forest of the pairs that sizes and parities allow. Once the
     exact similarities of one pair a node have made components, all other allowed pairs that
-    are still in different components are tested. Rows that share an id count as one document, with the
-    component of the text whose set is named first."""
+    are still in different components are tested.
+
+    A row each for (doc_id, text_key, component_id, component); component tells the components
+    of rows apart that share their smallest id. Null text: empty; texts without words are
+    copies of each other. Null id: the row takes no part. Very long texts: whole. Ties: a
+    similarity of exactly `threshold` links. Empty table: no rows."""
     chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     share = SAMPLED / max(SAMPLED, chosen.count())
 
@@ -355,7 +380,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
                 signs.append(parities(s))
                 fines.append(fine_parities(s))
                 keys.append(prefix_of(s, frequent, rank, threshold).tobytes())
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(fines, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "digest", "size", "parity", "fine", "prefix"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(fines, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "text_key", "digest", "size", "parity", "fine", "prefix"])
 
     def spread(batches):
         for rb in batches:
@@ -465,7 +490,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
         sent = chosen.join(wanted, "doc_id").select("text", "digest", "node", "centers", "salts").mapInArrow(sets, "center long, salt long, node long, packed binary")
         return sent.repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("node") != F.col("center")).mapInArrow(compare, "a long, b long").distinct()
 
-    marked = keep_table(chosen.mapInArrow(mark, "doc_id long, digest binary, size int, parity binary, fine binary, prefix binary"))
+    marked = keep_table(chosen.withColumn("text_key", text_key("text")).mapInArrow(mark, "doc_id long, text_key string, digest binary, size int, parity binary, fine binary, prefix binary"))
     nodes = keep_table(marked.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "parity", "fine"))).withColumn("node", F.monotonically_increasing_id()))
     named = marked.select("digest", F.col("doc_id").alias("first"), "prefix").join(nodes.select("digest", "first", "node", "size"), ["digest", "first"])
     rows = named.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size int").repartition("key")
@@ -475,8 +500,9 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     large = met.where("block >= 0").selectExpr("key", "block", "blocks", "guest", "a as node").join(signs, "node")
     first = large.selectExpr("*", "block as low", "block as high", "node as component").repartition("key", "low", "high").mapInArrow(within(False), "a long, b long")
     candidates = keep_table(allow(few.union(first.where("a <> b")).distinct()))
-    good = keep_table(verified(keep_table(candidates.groupBy("a").agg(F.min("b").alias("b")))))
-    found = keep_table(components(good))
+    tried = keep_table(candidates.groupBy("a").agg(F.min("b").alias("b")))
+    good = keep_table(verified(tried))
+    found = components(good)
     named = keep_table(large.where("guest = 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     cells = named.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
@@ -485,17 +511,26 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     rest = keep_table(apart.union(allow(tested.distinct())).distinct())
     if rest.limit(1).count():
         found = components(good.union(verified(rest)))
+    drop_table(met, candidates, tried, good, named, rest)
     labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    return marked.select("doc_id", "digest").join(labelled.join(smallest, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    rows = marked.select("doc_id", "text_key", "digest").join(labelled.join(smallest, "component").select("digest", "component", "component_id"), "digest")
+    return rows.select("doc_id", "text_key", "component_id", "component")
+
+
+def text_key(name: str) -> Column:
+    """Tells the texts of rows that share an id apart; null is as empty."""
+    return F.md5(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with one row for each component: the document with the smallest id, of rows that
-    share it the first by all columns. Rows with a null id stay."""
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    ordered = Window.partitionBy(id_col).orderBy(*docs.columns)
-    first = docs.join(kept, id_col, "left_semi").withColumn("__row", F.row_number().over(ordered)).where("__row = 1").drop("__row")
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each component of `found` (of similar_documents): the one with
+    the smallest id and, of rows that share it, the smallest text key and hash of all columns.
+    Rows with a null id stay."""
+    key, row, place = (spare(n, docs) for n in ("text_key", "row_hash", "row_place"))
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select(F.col("x.doc_id").alias(id_col), F.col("x.text_key").alias(key))
+    marked = docs.withColumn(key, text_key(text_col)).withColumn(row, F.xxhash64(*docs.columns))
+    first = marked.join(kept, [id_col, key], "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(id_col, key).orderBy(row))).where(F.col(place) == 1)
     return first.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodeframe.llm.op5_simhash import components, fine_distance, fine_parities, fingerprint, group_pairs, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, parities, prefix_of, similar_documents
+from lodeframe.llm.op5_simhash import components, fine_distance, fine_parities, fingerprint, forest, group_pairs, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, parities, prefix_of, segments_for, similar_documents
 
 
 def plain_fingerprint(text, n=3):
@@ -45,7 +45,7 @@ def test_pigeonring_loses_no_pair(segments):
     assert segments != 16 or (len(keys), {m.bit_count() for _, m in keys}) == (80, {36})
     for _ in range(2000):
         x = sum(1 << b for b in r.sample(range(64), r.randint(0, 3)))
-        assert any(not x & m and in_chain_budgets(np.array([x], np.uint64), i, segments, 3)[0] for i, m in keys)
+        assert any(not x & m and len(in_chain_budgets(np.array([x], np.uint64), i, segments, 3)) for i, m in keys)
 
 
 def near(r, base, n):
@@ -66,6 +66,21 @@ def test_links(limit):
     assert closure(range(len(fps)), got) == closure(range(len(fps)), want)
 
 
+def test_chains_prune_before_the_full_distance():
+    r = np.random.default_rng(2)
+    first, mask = masks(5, 3)[0]
+    fps = np.unique((r.integers(0, 2**64, 400, np.uint64) & np.uint64(~mask & (1 << 64) - 1)) | np.uint64(1 << 5))
+    seen = []
+    links = forest(fps, first, 5, 3, seen)
+    met, left = sum(seen[::2]), sum(seen[1::2])
+    assert met == 400 * 399 // 2 and left < met / 50
+    assert len(links) <= left
+
+
+def test_segments_follow_the_number_of_fingerprints():
+    assert [segments_for(n, 3) for n in (0, 10**6, 10**9, 10**11)] == [5, 5, 10, 16]
+
+
 def test_components(spark):
     pairs = [(k + 1, k) for k in range(60)] + [(300, 250), (251, 300), (400, 399)]
     got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -121,12 +136,22 @@ def test_similar_documents(spark):
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = similar_documents(df)
-    assert sorted((x.doc_id, x.component_id) for x in got.distinct().collect()) == sorted(want.items())
+    assert sorted((x.doc_id, x.component_id) for x in got.select("doc_id", "component_id").distinct().collect()) == sorted(want.items())
     kept = [x.doc_id for x in one_of_each(df, got).collect()]
     assert sorted(kept, key=str) == sorted([*{*want.values()}, None], key=str)
     assert similar_documents(df.limit(0)).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    """Different texts under one id are different documents; equal rows are one."""
+    a, b = (" ".join(f"{x}{k}" for k in range(100)) for x in "ab")
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (1, a, "y"), (2, a + " more", "x"), (3, None, "x"), (4, "", "x"), (None, a, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_place string").repartition(3)
+    kept = one_of_each(df, similar_documents(df))
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (3, None), (None, a)], key=str)
+
+
 def brute_force(rows):
     sets = {}
     for i, t in rows:
