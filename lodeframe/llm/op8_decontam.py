@@ -8,16 +8,20 @@ Items are partitioned by how many shingles they have, by powers of two. A partit
 at most u shingles per item keeps the m = u - ceil(threshold * u) + 1 least hashes of
 each item's shingles, a bottom-m MinHash sketch. Whatever document holds the threshold's
 share of the item's shingles holds at least one of any m of them, so probing the sketches
-with every shingle hash of every document loses no pair, however long the document. A
+with every shingle hash of every document loses no pair, however long the document; a
+document with fewer shingles than a partition's least item needs is not probed against it. A
 candidate pair is then verified by the exact share of the item's shingles, compared as
 text, in the whole document.
 
-All of it is DataFrame functions. The sketches go to every task only if they are at most
-BROADCAST_ROWS rows, counted first; otherwise the join shuffles and Spark splits skew.
+All of it is DataFrame functions. Sketches, items and the ids of documents with a candidate
+go to every task only if they were measured and are small; otherwise their join shuffles and
+Spark splits skew. So texts move only where candidates are too many to be sent around, and
+are else read once more instead.
 
 Null text: no words, so contained in nothing and containing nothing. Null ids: the row
 takes no part. Rows that share an id count as the best of them. Repeated items: each is
-reported. Extra columns are ignored. Either table empty: no rows.
+reported. Very long texts: whole. Ties: a share of exactly `threshold` counts. Extra columns
+are ignored. Either table empty: no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeframe.llm.shared import keep_table
+
 SHINGLE, THRESHOLD = 5, 0.8
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -48,16 +54,19 @@ def shingle_hashes(col: str, size: int) -> Column:
     return _windows(col, size, lambda i: F.xxhash64(*[F.get(F.col(col), i + k) for k in range(size)]))
 
 
-def _sized(k: int):
-    return lambda x: x["size"] == k
+def _sender(size: int, most: int):
+    """Broadcasts what was measured and found small enough; leaves the rest to a shuffle."""
+    return F.broadcast if size <= most else (lambda df: df)
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """items: item_id, size, shingles, hashes. (item_id, size, hash) of the sketches."""
+    """items: item_id, size, shingles, hashes. (item_id, size, need, hash) of the sketches;
+    need: as many shingles has a document that contains an item of the partition."""
     n = F.size("hashes")
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("int")
-    keep = F.least(n, upper - F.ceil(F.lit(threshold) * upper).cast("int") + 1)
-    return items.select("item_id", "size", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), keep)).alias("hash"))
+    keep = F.least(n, upper - F.ceil(F.lit(threshold) * upper - 1e-9).cast("int") + 1)
+    need = F.ceil(F.lit(threshold) * (F.floor(upper / 2) + F.when(upper > 1, 1).otherwise(0)) - 1e-9)
+    return items.select("item_id", "size", need.alias("need"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), keep)).alias("hash"))
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -75,25 +84,27 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
     if not sizes:
         return texts.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("containment")).limit(0)
-    items = listed.select("item_id", "size", F.array_distinct(by_size(shingle_texts, "w")).alias("shingles"), F.array_distinct(by_size(shingle_hashes, "h")).alias("hashes"))
-    sketch = sketches(items, threshold)
-    small = sketch.count() <= BROADCAST_ROWS
-    hinted = F.broadcast if small else (lambda x: x)
+    items = keep_table(listed.select("item_id", "size", F.array_distinct(by_size(shingle_texts, "w")).alias("shingles"), F.array_distinct(by_size(shingle_hashes, "h")).alias("hashes")))
+    sketch = keep_table(sketches(items, threshold))
+    size_of = items.agg(F.coalesce(F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s) + 16)), F.lit(0)).alias("n"))
+    send_sketch = _sender(sketch.count(), BROADCAST_ROWS)
+    send_items = _sender(size_of.first()["n"], BROADCAST_BYTES)
 
     hashed = texts.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     found = None
     for k in sizes:
-        probes = hashed.where(F.size("h") >= k).select("doc_id", F.explode(shingle_hashes("h", k)).alias("hash"))
-        hits = probes.join(hinted(sketch.where(F.col("size") == k).select("item_id", "hash")), "hash").select("doc_id", "item_id")
+        probes = hashed.where(F.size("h") >= k).select("doc_id", (F.size("h") - k + 1).alias("n"), F.explode(shingle_hashes("h", k)).alias("hash"))
+        hits = probes.join(send_sketch(sketch.where(F.col("size") == k).select("item_id", "need", "hash")), "hash").where("n >= need").select("doc_id", "item_id")
         found = hits if found is None else found.unionByName(hits)
-    wanted = found.distinct().join(hinted(items.select("item_id", "size", "shingles")), "item_id")
-    wanted = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "size", "shingles")).alias("items"))
-    held = texts.join(wanted, "doc_id").select("doc_id", "items", words(F.col("text")).alias("w"))
+    wanted = keep_table(found.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")))
+    # whole texts move only if the documents with a candidate are too many to send around
+    send_docs = _sender(wanted.agg(F.coalesce(F.sum(F.size("item_ids") + 4), F.lit(0)).alias("n")).first()["n"], 10 * BROADCAST_ROWS)
+    held = texts.join(send_docs(wanted), "doc_id").select("doc_id", "item_ids", words(F.col("text")).alias("w"))
     pairs = None
     for k in sizes:
-        own = held.select("doc_id", F.filter("items", _sized(k)).alias("items"), shingle_texts("w", k).alias("s"))
-        own = own.where("size(items) > 0").select("doc_id", "s", F.explode("items").alias("x"))
-        own = own.select("doc_id", "x.item_id", (F.size(F.array_intersect("x.shingles", "s")) / F.size("x.shingles")).alias("containment"))
+        own = held.select("doc_id", F.explode("item_ids").alias("item_id"), shingle_texts("w", k).alias("s"))
+        own = own.join(send_items(items.where(F.col("size") == k).select("item_id", "shingles")), "item_id")
+        own = own.select("doc_id", "item_id", (F.size(F.array_intersect("shingles", "s")) / F.size("shingles")).alias("containment"))
         pairs = own if pairs is None else pairs.unionByName(own)
     return pairs.where(F.col("containment") >= threshold).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 

@@ -9,7 +9,8 @@ before the shuffle. A query's rows are never together but for k per tile.
 Rows whose vector is null or holds null or non-finite components take no part, nor do rows
 with a null id. Vectors of different lengths meet as if padded with zeros. Rows that share
 a query's id are its own and not its candidates. Ties go to the smaller id. Repeated query
-ids give one list. Extra columns are ignored. Empty table: no rows.
+ids give one list. Very long vectors: a tile holds as many numbers as its rows have. Extra
+columns are ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries of a group, and candidates of a shard at most on average.
-GROUP_ROWS, SHARD_ROWS = 4096, 4096
+#: Queries of a group, and candidates of a shard on average at most: what a task holds at
+#: once. Each query travels to every shard and each candidate to every group, so these are large.
+GROUP_ROWS, SHARD_ROWS = 65_536, 65_536
+#: Scores of a product are at most so many at once.
+SCORES = 1 << 23
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -49,9 +53,10 @@ def best_of_tile(query_ids, queries, ids, vectors, k: int):
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     out = []
-    for a in range(0, len(query_ids), 512):
-        scores = products(queries[a : a + 512], vectors)
-        scores[query_ids[a : a + 512, None] == ids[None, :]] = _LEAST
+    step = max(1, SCORES // max(1, len(ids)))
+    for a in range(0, len(query_ids), step):
+        scores = products(queries[a : a + step], vectors)
+        scores[query_ids[a : a + step, None] == ids[None, :]] = _LEAST
         if len(ids) > k:
             least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
             row, col = np.nonzero((scores >= least[:, None]) & (scores > _LEAST))
