@@ -124,11 +124,12 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
 
         def seen(batches):
             for rb in batches:
-                for blob in rb.column(0).to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(A.find(passed, A.unsqueeze(blob)) >= 0))], ["place"])
+                flags = [np.isin(passed, A.unsqueeze(blob), assume_unique=True) for blob in rb.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())], ["flags"])
 
-        counts = rows.select("keys").mapInArrow(seen, "place long").groupBy("place").count().toPandas()
-        z[counts["place"].to_numpy(int)] /= counts["count"].to_numpy(float)
+        # a bit for each shard and coordinate of the model
+        flags = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(keys)) for r in rows.select("keys").mapInArrow(seen, "flags binary").collect()]
+        z /= np.maximum(1, np.sum(flags, axis=0, dtype=np.int64)) if flags else 1
         kept = np.abs(z) > L1
         keys, z, n = keys[kept], z[kept], n[kept]
     return keys, weights(z, n)
