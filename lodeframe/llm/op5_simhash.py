@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, segments
 
 
 #: A group of this many nodes under a key, or fewer, gives all its pairs at once.
-SMALL = 32
+SMALL = 8
 #: Larger groups are dealt into blocks of this many nodes.
 BLOCK = 4096
 #: Texts in the sample that finds frequent shingles, and how often a shingle has to occur.
@@ -312,32 +312,23 @@ def small_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, threshold:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def group_pairs(size: np.ndarray, parity: np.ndarray, component: np.ndarray, side: np.ndarray | None, threshold: float, all_pairs: bool):
-    """Pairs of a group, sorted by size, that may be similar: a spanning forest of them, or
-    all of them between different components (and sides, where two blocks meet)."""
-    left = np.ones(len(size), bool)
+def group_pairs(size: np.ndarray, parity: np.ndarray, component: np.ndarray, side: np.ndarray | None, threshold: float, nearest: bool):
+    """Pairs of a group, sorted by size, that may be similar and are in different components
+    (and on different sides, where two blocks meet): all of them, or for each node that with
+    the least distance of parities."""
     reach = np.searchsorted(size, size / threshold + 1e-6, "right")  # up to here sizes allow it
     low = np.searchsorted(size, size * threshold - 1e-6, "left")
-    if not all_pairs:
-        for start in range(len(size)):
-            if not left[start]:
-                continue
-            left[start], frontier = False, [start]
-            while frontier:
-                here = frontier.pop()
-                rest = low[here] + np.flatnonzero(left[low[here] : reach[here]])
-                rest = rest[may_reach(threshold, size[here], size[rest], parity[rest] ^ parity[here])]
-                left[rest] = False
-                yield here, rest
-                frontier += rest.tolist()
-        return
     for here in range(len(size)):
-        rest = np.arange(here + 1, reach[here])
+        rest = np.arange(low[here] if nearest else here + 1, reach[here])
         rest = rest[component[rest] != component[here]]
         if side is not None:
             rest = rest[side[rest] != side[here]]
         if len(rest):
-            yield here, rest[may_reach(threshold, size[here], size[rest], parity[rest] ^ parity[here])]
+            different = parity[rest] ^ parity[here]
+            rest = rest[good := may_reach(threshold, size[here], size[rest], different)]
+            if nearest and len(rest):
+                rest = rest[[np.argmin(np.bitwise_count(different[good]).sum(axis=1, dtype=np.int64))]]
+            yield here, rest
 
 
 def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,9 +339,10 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     threshold share a shingle among the first n - threshold * n + 1 of each (prefix
     filtering), so these are the keys under which nodes meet; shingles that are frequent in a
     sample come last in the order. A small group gives all its pairs. A large one, in blocks
-    by size, gives a spanning forest of the pairs that sizes and parities allow. Once the
-    exact similarities of one pair a node have made components, all other allowed pairs that
-    are still in different components are tested.
+    by size, is asked in rounds: each node's most alike node of another component, among those
+    that sizes and parities allow, is tested by the exact sets, and what passes joins
+    components, so that a group of copies costs about a pair a node and round. When a round
+    joins few, all allowed pairs that are still in different components are tested.
 
     A row each for (doc_id, text_key, component_id, component); component tells the components
     of rows apart that share their smallest id. Null text: empty; texts without words are
@@ -419,14 +411,16 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
             sx, x, sy, y = (rb.column(k).to_pylist() for k in range(2, 6))
             most = np.array(sx, np.int64) + np.array(sy, np.int64)
             most = most - 2 * least_common(threshold, most, 0)
-            good = pa.array(np.array([fine_distance(p, q) for p, q in zip(x, y, strict=True)], np.int64) <= most)
-            yield pa.RecordBatch.from_arrays([rb.column(k).filter(good) for k in (0, 1)], ["a", "b"])
+            apart = np.array([fine_distance(p, q) for p, q in zip(x, y, strict=True)], np.int64)
+            good = pa.array(apart <= most)
+            yield pa.RecordBatch.from_arrays([x.filter(good) for x in (rb.column(0), rb.column(1), pa.array(apart))], ["a", "b", "distance"])
 
     def allow(pairs):
+        """The pairs that fine parities allow, and their distance."""
         fine = nodes.select("node", "size", "fine")
-        return pairs.join(fine.toDF("a", "sx", "x"), "a").join(fine.toDF("b", "sy", "y"), "b").select("a", "b", "sx", "x", "sy", "y").mapInArrow(allowed, "a long, b long")
+        return pairs.join(fine.toDF("a", "sx", "x"), "a").join(fine.toDF("b", "sy", "y"), "b").select("a", "b", "sx", "x", "sy", "y").mapInArrow(allowed, "a long, b long, distance long")
 
-    def within(all_pairs):
+    def within(nearest):
         def run(batches):
             parts = [rb for rb in batches if rb.num_rows]
             if not parts:
@@ -440,7 +434,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
                 side = block[i:j] if low[i] != high[i] else None
                 out, held = [np.zeros((0, 2), np.int64)], 0
-                for here, rest in group_pairs(size[i:j], parity[i:j], component[i:j], side, threshold, all_pairs):
+                for here, rest in group_pairs(size[i:j], parity[i:j], component[i:j], side, threshold, nearest):
                     out.append(np.stack((np.full(len(rest), node[i + here]), node[i + rest]), axis=1))
                     held += len(rest)
                     if held > 1 << 20:
@@ -498,20 +492,38 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     signs = nodes.select("node", "size", "parity")
     few = met.where("block < 0 and a <> b").select("a", "b").distinct()
     large = met.where("block >= 0").selectExpr("key", "block", "blocks", "guest", "a as node").join(signs, "node")
-    first = large.selectExpr("*", "block as low", "block as high", "node as component").repartition("key", "low", "high").mapInArrow(within(False), "a long, b long")
-    candidates = keep_table(allow(few.union(first.where("a <> b")).distinct()))
-    tried = keep_table(candidates.groupBy("a").agg(F.min("b").alias("b")))
-    good = keep_table(verified(tried))
-    found = components(good)
-    named = keep_table(large.where("guest = 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    cells = named.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    apart = candidates.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
-    tested = cells.repartition("key", "low", "high").mapInArrow(within(True), "a long, b long").where("a <> b")
-    rest = keep_table(apart.union(allow(tested.distinct())).distinct())
+    candidates = keep_table(allow(few))
+
+    def apart(found):
+        """Candidates between components, and the cells of large groups with several."""
+        pairs = candidates.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b", "distance")
+        named = large.where("guest = 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        cells = named.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        return pairs, cells.repartition("key", "low", "high")
+
+    spark, tried, most = docs.sparkSession, None, 0
+    found = spark.createDataFrame([], "node long, component long")
+    while True:
+        pairs, cells = apart(found)
+        near = allow(cells.mapInArrow(within(True), "a long, b long").where("a <> b").distinct()).union(pairs)
+        best = near.union(near.select("b", "a", "distance")).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x"))
+        pairs = best.select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
+        asked = keep_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        passed = keep_table(verified(asked))
+        tried = asked if tried is None else tried.union(asked)
+        count = passed.count()
+        found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(passed)), found
+        drop_table(before, passed)
+        most = max(most, count)
+        if 10 * count <= most:
+            break
+    pairs, cells = apart(found)
+    every = cells.mapInArrow(within(False), "a long, b long").where("a <> b").distinct()
+    rest = keep_table(allow(every).union(pairs).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        found = components(good.union(verified(rest)))
-    drop_table(met, candidates, tried, good, named, rest)
+        found = components(found.selectExpr("node as a", "component as b").where("a <> b").union(verified(rest)))
+    drop_table(met, candidates, tried, rest)
     labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     rows = marked.select("doc_id", "text_key", "digest").join(labelled.join(smallest, "component").select("digest", "component", "component_id"), "digest")

@@ -190,17 +190,21 @@ def test_group_pairs_lose_none():
     none = np.zeros(0, np.uint64)
     prefixes = [set(prefix_of(s, none, none, 0.8).tolist()) for s in sets]
     same = np.arange(len(sets))
-    every = {(a, b) for a, found in group_pairs(size, parity, same, None, 0.8, True) for b in found.tolist()}
-    joined = closure(range(len(sets)), [(a, b) for a, found in group_pairs(size, parity, same, None, 0.8, False) for b in found.tolist()])
-    assert joined == closure(range(len(sets)), every)
+    every = {(a, b) for a, found in group_pairs(size, parity, same, None, 0.8, False) for b in found.tolist()}
+    distance = lambda a, b: int(np.bitwise_count(parity[a] ^ parity[b]).sum())
+    nearest = {a: b for a, found in group_pairs(size, parity, same, None, 0.8, True) for b in found.tolist()}
+    assert set(nearest) == {x for p in every for x in p}
+    for a, b in nearest.items():
+        assert distance(a, b) == min(distance(*p) for p in every if a in p)
+    joined = closure(range(len(sets)), every)
     near = [(a, b) for b in range(len(sets)) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
     assert len(near) > 100
     assert all(p in every and prefixes[p[0]] & prefixes[p[1]] for p in near)
     side = same % 2
-    across = {(a, b) for a, found in group_pairs(size, parity, same, side, 0.8, True) for b in found.tolist()}
+    across = {(a, b) for a, found in group_pairs(size, parity, same, side, 0.8, False) for b in found.tolist()}
     assert across == {(a, b) for a, b in every if side[a] != side[b]}
     parts = np.array(list(joined.values()))
-    assert not [b for _, found in group_pairs(size, parity, parts, None, 0.8, True) for b in found.tolist()]
+    assert not [b for _, found in group_pairs(size, parity, parts, None, 0.8, False) for b in found.tolist()]
 
 
 def test_fine_parities_bound_the_difference():
