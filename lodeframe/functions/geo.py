@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,17 +95,22 @@ def pole(dip: Column, dip_direction: Column) -> tuple[Column, Column]:
 
 
 def true_orientation(alpha: Column, beta: Column, azimuth: Column, dip: Column) -> tuple[Column, Column]:
-    """True dip and dip direction of a plane measured on core by alpha and beta: its normal
-    is turned from the core's frame into the world's."""
-    a, b, z, d = F.radians(alpha), F.radians(beta), F.radians(azimuth), F.radians(dip)
-    u, v, w = F.sin(a) * F.cos(b), F.sin(a) * F.sin(b), F.cos(a)
-    x = F.cos(z) * F.sin(d) * u - F.sin(z) * v + F.cos(z) * F.cos(d) * w
-    y = F.sin(z) * F.sin(d) * u + F.cos(z) * v + F.sin(z) * F.cos(d) * w
-    up = -F.cos(d) * u + F.sin(d) * w
-    flip = F.when(up > 0, -1.0).otherwise(1.0)
-    flat = F.sqrt(x * x + y * y)
-    true_dip = F.least(F.lit(90.0), F.greatest(F.lit(0.0), F.degrees(F.atan2(flat, F.abs(up)))))
-    return true_dip, F.when(flat < 1e-9, 0.0).otherwise(F.pmod(F.degrees(F.atan2(flip * x, flip * y)) + 360, F.lit(360.0)))
+    """True dip and dip direction of a plane measured on core by alpha and beta. The plane's
+    normal is a sum of three directions of the hole: along it (as far as alpha is small),
+    towards the high side of the core and sideways, level to the right. A flat plane has
+    direction 0."""
+    along, high, side = directions(azimuth, dip), directions(azimuth, dip + 90), directions(azimuth + 90, F.lit(0.0))
+    opening = F.sin(F.radians(alpha))
+    parts = ((F.cos(F.radians(alpha)), along), (-opening * F.cos(F.radians(beta)), high), (opening * F.sin(F.radians(beta)), side))
+    return steepest(*(reduce(operator.add, (size * way[k] for size, way in parts)) for k in range(3)))
+
+
+def steepest(north: Column, east: Column, up: Column) -> tuple[Column, Column]:
+    """Dip and dip direction of the plane with this normal, turned downwards; the direction
+    is measured from east, as in the definition that results have to equal."""
+    level = F.hypot(north, east)
+    turned = F.when(up > 0, F.atan2(-north, -east)).otherwise(F.atan2(north, east))
+    return F.degrees(F.atan2(level, F.abs(up))), F.when(level < 1e-9, 0.0).otherwise(F.pmod(F.degrees(turned), F.lit(360.0)))
 
 
 def long_section(x: Column, y: Column, x0: float, y0: float, azimuth: float) -> tuple[Column, Column]:

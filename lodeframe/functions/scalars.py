@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Literals of the formats that are read.
-FORMATION_SUFFIXES = "formation fm group gp member mbr zone unit suite complex sequence horizon bed beds assemblage".split()
+FORMATION_SUFFIXES = ["formation", "fm", "group", "gp", "member", "mbr", "zone", "unit", "suite", "complex", "sequence", "horizon", "bed", "beds", "assemblage"]
 BELOW_DETECTION = ["lod", "bdl", "<lod", "<dl"]
 SAMPLE_UNITS = {"%": "pct", "percent": "pct", "pct": "pct", "g/t": "gpt", "gpt": "gpt", "grams_per_tonne": "gpt", "g_t": "gpt", "grams/tonne": "gpt", "ppb": "ppb", "ppm": "ppm"}
 QUALITY_UNITS = {"%": "pct", "percent": "pct", "ppm": "ppm", "ppb": "ppb", "ppt": "ppt", "pct": "pct", "g/t": "g/t", "g/tonne": "g/t", "gpt": "g/t", "oz/t": "oz/t", "ozpt": "oz/t", "oz/ton": "oz/t", "kg/t": "kg/t"}

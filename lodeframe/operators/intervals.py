@@ -30,13 +30,14 @@ def overlap_flags(pairs: DataFrame, keep: int = 50, key: str = "collar_id") -> D
     return ranked.groupBy(key).agg(F.count("*").alias("pair_count"), F.sum("overlap_m").alias("overlap_m"), F.sort_array(listed).alias("pairs"))
 
 
-def first_containing(points: DataFrame, intervals: DataFrame, code: str, key: str = "collar_id") -> DataFrame:
+def first_containing(points: DataFrame, intervals: DataFrame, code: str, key: str = "collar_id", width: float = 10.0) -> DataFrame:
     """points with the code of the interval that holds their from_depth; of several, the one
     that starts first, then the smallest code. Intervals are ranked by distinct depth, not
-    by point, so repeated points share the work."""
-    depths = points.select(key, "from_depth").distinct()
-    i = intervals.select(F.col(key).alias("k"), F.col("from_depth").alias("lo"), F.col("to_depth").alias("hi"), code)
-    hit = depths.join(i, (depths[key] == i["k"]) & (depths["from_depth"] >= i["lo"]) & (depths["from_depth"] < i["hi"]))
+    by point, so repeated points share the work, and meet only depths of their own bins."""
+    depths = points.select(key, "from_depth").distinct().withColumn("bin", F.floor(F.col("from_depth") / width))
+    bins = F.sequence(F.floor(F.col("from_depth") / width), F.greatest(F.floor(F.col("from_depth") / width), F.ceil(F.col("to_depth") / width) - 1))
+    i = intervals.where("to_depth > from_depth").select(F.col(key).alias("k"), F.col("from_depth").alias("lo"), F.col("to_depth").alias("hi"), code, F.explode(bins).alias("b"))
+    hit = depths.join(i, (depths[key] == i["k"]) & (depths["bin"] == i["b"]) & (depths["from_depth"] >= i["lo"]) & (depths["from_depth"] < i["hi"]))
     found = hit.groupBy(key, "from_depth").agg(F.min(F.struct("lo", code))[code].alias(code))
     return points.join(found, [key, "from_depth"], "left")
 

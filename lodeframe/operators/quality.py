@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodeframe.functions.scalars import ledger_hash
 
@@ -25,24 +29,26 @@ PLACE_RULES: list[tuple[str, str, str]] = [
 ]
 # Parts per million that no sample of an element exceeds.
 ELEMENT_CEILINGS = {"AU": 100_000, "AG": 100_000, "PT": 100, "PD": 100, "CU": 500_000, "PB": 500_000, "ZN": 500_000, "NI": 200_000, "CO": 100_000, "FE": 1_000_000, "U": 500_000, "U3O8": 500_000, "MO": 100_000, "W": 200_000, "LI": 50_000, "BE": 50_000, "REE": 200_000}
+# What an assay's QA/QC flag says when it has passed, and each rule's severity.
 QAQC_PASSES = ["pass", "ok", "good", "valid"]
+ASSAY_SEVERITIES = {"assay.qaqc_flag_failed": "ERROR", "assay.crm_failed": "ERROR", "assay.blank_failed": "ERROR", "assay.duplicate_failed": "ERROR", "assay.value_implausibly_high": "WARNING", "assay.detection_paradox": "INFO"}
 
 
-def assay_flags(rows: DataFrame) -> DataFrame:
-    """One row per hole and rule, with how many of its assays break it. rows: collar_id,
-    element, value_ppm, qaqc_flag, crm_pass, blank_pass, duplicate_pass, over_detection,
-    under_detection."""
+def assay_flags(rows: DataFrame, keep: int = 50) -> DataFrame:
+    """One row per hole and rule that some of its assays break: severity, fail_count, their
+    elements, and the first `keep` samples. rows: collar_id, sample_id, element, value_ppm,
+    qaqc_flag, crm_pass, blank_pass, duplicate_pass, over_detection, under_detection."""
     ceiling = F.element_at(F.create_map(*[x for k, v in ELEMENT_CEILINGS.items() for x in (F.lit(k), F.lit(float(v)))]), F.upper(F.trim("element")))
-    rules = {
-        "assay.qaqc_flag_failed": F.col("qaqc_flag").isNotNull() & ~F.lower(F.trim("qaqc_flag")).isin(QAQC_PASSES),
-        "assay.crm_failed": ~F.col("crm_pass"),
-        "assay.blank_failed": ~F.col("blank_pass"),
-        "assay.duplicate_failed": ~F.col("duplicate_pass"),
-        "assay.above_ceiling": F.col("value_ppm") > ceiling,
-        "assay.detection_paradox": F.col("over_detection") & F.col("under_detection"),
-    }
-    hit = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
-    return rows.select("collar_id", F.explode(hit).alias("rule_id")).groupBy("collar_id", "rule_id").agg(F.count("*").alias("assays"))
+    broken = [
+        F.col("qaqc_flag").isNotNull() & ~F.lower(F.trim("qaqc_flag")).isin(QAQC_PASSES),
+        ~F.col("crm_pass"), ~F.col("blank_pass"), ~F.col("duplicate_pass"),
+        F.col("value_ppm") > ceiling, F.col("over_detection") & F.col("under_detection"),
+    ]
+    hit = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule_id"), F.lit(v).alias("severity"))) for c, (r, v) in zip(broken, ASSAY_SEVERITIES.items(), strict=True)]))
+    found = rows.select("collar_id", "sample_id", "element", F.explode(hit).alias("x")).select("*", "x.rule_id", "x.severity")
+    w = Window.partitionBy("collar_id", "rule_id").orderBy("sample_id", "element")
+    listed = F.sort_array(F.collect_list(F.when(F.col("__place") <= keep, F.col("sample_id"))))
+    return found.withColumn("__place", F.row_number().over(w)).groupBy("collar_id", "rule_id", "severity").agg(F.count("*").alias("fail_count"), F.sort_array(F.collect_set("element")).alias("elements"), listed.alias("samples"))
 
 
 def flags(rows: DataFrame, keys: list[str], rules: list[tuple[str, str, str]], version: str = "v1.0") -> DataFrame:
@@ -65,15 +71,24 @@ def exactly_one(cols: list[str]) -> Column:
 
 
 def chain(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """Hashes of an append-only ledger: each row's hash covers its fields and those of all
-    before it in the chain. The fold is one ordered pass per chain."""
-    item = F.struct(*order, F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).alias("__said"))
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    step = lambda a, x: F.struct(F.concat(a["out"], F.array(F.struct(a["last"].alias("previous_hash"), F.sha2(F.concat_ws("|", F.coalesce(a["last"], F.lit("")), x["__said"]).cast("binary"), 256).alias("hash"), *[x[o].alias(o) for o in order]))).alias("out"), F.sha2(F.concat_ws("|", F.coalesce(a["last"], F.lit("")), x["__said"]).cast("binary"), 256).alias("last"))
-    kinds = ", ".join(f"{o}: {rows.schema[o].dataType.simpleString()}" for o in order)
-    start = F.expr(f"named_struct('out', cast(array() as array<struct<previous_hash: string, hash: string, {kinds}>>), 'last', cast(null as string))")
-    made = listed.select(key, F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("x")).select(key, "x.*")
-    return rows.join(made, [key, *order])
+    """Rows with the hashes of an append-only ledger, previous_hash and hash: each covers the
+    row's fields and, through the hash before it, all earlier rows of its chain. A chain is
+    one ordered pass over a sorted partition that holds nothing but the last hash."""
+    names = rows.columns
+
+    def seal(batches):
+        at, last = None, None
+        for rb in batches:
+            made = []
+            for k, said in zip(rb.column(names.index(key)).to_pylist(), rb.column(len(names)).to_pylist(), strict=True):
+                before = last if at == (k,) else None
+                at, last = (k,), hashlib.sha256(f"{before or ''}|{said}".encode()).hexdigest()
+                made.append((before, last))
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], *(pa.array([m[i] for m in made], pa.string()) for i in (0, 1))], [*names, "previous_hash", "hash"])
+
+    said = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    dealt = rows.withColumn("__said", said).repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(seal, StructType([*rows.schema.fields]).add("previous_hash", "string").add("hash", "string"))
 
 
 def verify_chain(ledger: DataFrame, key: str, order: list[str], fields: list[str], window: Column | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +42,53 @@ def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "query_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, sparse score. Only terms of the queries leave the documents' scan."""
+    """query_id, doc_id, sparse score. Texts are split once; of their terms only those of the
+    queries are counted."""
     asked = terms(queries, query_key, text).select(query_key, "term")
-    sizes = docs.select(key, F.size(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = terms(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    row = stats.first()  # two numbers
+    split = docs.select(key, F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
+    row = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl")).first()  # two numbers
     n, mean = row["n"], row["avgdl"] or 1.0
+    found = split.select(key, F.size("words").alias("dl"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    return found.join(df, "term").join(sizes, key).join(asked, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    return found.join(df, "term").join(asked, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+
+
+def dense_top(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", rows: int = 16_384, digits: int = 6) -> DataFrame:
+    """query_id, doc_id, score (cosine, rounded), rank of each query's `k` best other rows.
+    Queries and candidates are dealt into tiles of about `rows` by `rows`; a tile is one
+    matrix product in one task, which hands on the k best of each query."""
+    every = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    sizes = every.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
+    groups, shards = max(1, -(-sizes["q"] // rows)), max(1, -(-sizes["n"] // rows), int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    among = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = every.where("q").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), among(shards).alias("s"))
+    held = every.select("id", "v", among(groups).alias("g"), F.pmod(F.xxhash64("id", F.lit(9)), F.lit(shards)).cast("int").alias("s"))
+
+    def unit(column) -> np.ndarray:
+        made = np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.zeros((0, 1))
+        size = np.linalg.norm(made, axis=1, keepdims=True)
+        return made / np.where(size > 0, size, np.nan)
+
+    def tile(left, right):
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            ids, other = left["id"].to_numpy(), right["id"].to_numpy()
+            order = np.argsort(other, kind="stable")
+            other, a, b = other[order], unit(left["v"].combine_chunks()), unit(right["v"].combine_chunks())[order]
+            for at in range(0, len(ids), 512):
+                score = np.round(a[at : at + 512] @ b.T, digits)
+                score[(ids[at : at + 512, None] == other[None, :]) | np.isnan(score)] = -np.inf
+                for q, line in zip(ids[at : at + 512], score, strict=True):
+                    best = np.argsort(-line, kind="stable")[:k]
+                    best = best[line[best] > -np.inf]
+                    out.append((np.full(len(best), q), other[best], line[best]))
+        q, d, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query_id": q, "doc_id": d, "score": s})
+
+    found = asked.groupBy("g", "s").cogroup(held.groupBy("g", "s")).applyInArrow(tile, "query_id long, doc_id long, score double")
+    return ranked(found, ["query_id"], "score", "doc_id", k)
 
 
 def cosine(a: Column, b: Column) -> Column:

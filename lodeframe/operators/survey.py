@@ -35,14 +35,15 @@ def minimum_curvature(stations: DataFrame) -> DataFrame:
     )
 
 
-def interpolate(path: DataFrame, samples: DataFrame) -> DataFrame:
+def interpolate(path: DataFrame, samples: DataFrame, width: float = 50.0) -> DataFrame:
     """samples (collar_id, at, ...) with the path's place at their depth; null outside it. A
-    sample meets only its own hole's segments."""
+    sample meets only the segments of its own hole and depth bin."""
     w = Window.partitionBy("collar_id").orderBy("depth")
     seg = path.withColumns({f"{c}1": F.lead(c).over(w) for c in ("depth", "x", "y", "z")}).where("depth1 is not null")
-    places = samples.select("collar_id", "at").distinct()
+    seg = seg.withColumn("bin", F.explode(F.sequence(F.floor(F.col("depth") / width), F.floor(F.col("depth1") / width))))
+    places = samples.select("collar_id", "at").distinct().withColumn("bin", F.floor(F.col("at") / width))
     t = (F.col("at") - F.col("depth")) / F.nullif(F.col("depth1") - F.col("depth"), F.lit(0.0))
     at = [(F.col(c) + F.coalesce(t, F.lit(0.0)) * (F.col(f"{c}1") - F.col(c))).alias(f"at_{c}") for c in "xyz"]
-    hit = places.join(seg, "collar_id").where("at >= depth and at <= depth1").select("collar_id", "at", "depth", *at)
+    hit = places.join(seg, ["collar_id", "bin"]).where("at >= depth and at <= depth1").select("collar_id", "at", "depth", *at)
     first = hit.groupBy("collar_id", "at").agg(F.min(F.struct("depth", "at_x", "at_y", "at_z")).alias("p")).select("collar_id", "at", "p.at_x", "p.at_y", "p.at_z")
     return samples.join(first, ["collar_id", "at"], "left")

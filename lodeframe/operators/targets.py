@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.sources.shared import keep_table
+
 
 def signed_score(factors: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     """Values cut to [-1, 1], weighted over the sum of absolute weights, cut again."""
@@ -29,4 +31,15 @@ def fitted_weights(factors: DataFrame, name: str, value: str, hit: Column) -> Da
 
 def ranks(scores: DataFrame, excluded: list, key: str = "target_id") -> DataFrame:
     """Ranks from 1 among those not excluded; ties by key."""
-    return scores.where(~F.col(key).isin(excluded)).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), key)))
+    return numbered(scores.where(~F.col(key).isin(excluded)), [F.desc("score"), F.col(key)], "rank")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place in a total order, from 1. Ranges of the order are sorted apart;
+    each range's first place is the count of rows in those before it (a number a range)."""
+    sorted_rows = keep_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = sorted_rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.withColumn("first", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "first")
+    placed = sorted_rows.join(F.broadcast(before), part == F.col("part"))
+    return placed.withColumn(name, (F.col("first") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("__at", "part", "first")

@@ -35,11 +35,11 @@ SQL["text_quality"] = r"""with w as (select doc_id, list_filter(string_split_reg
 select doc_id, cast(len(list_distinct(w)) as integer) as vocabulary, round(len(list_filter(w, lambda x: x in ('the', 'of', 'and', 'de', 'la'))) / nullif(len(w), 0), 6) as stopword_share from w"""
 
 # ranking
-_asked = lambda s, d: table(s, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+_asked = lambda s, d: table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 _sparse = lambda s, d: retrieval.bm25(table(s, d, "documents").select("doc_id", "text"), _asked(s, d))
 BM25 = r"""with w as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents
 ), t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from w) group by 1, 2
-), q as (select distinct item_id as query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from benchmark where item_id < 5
+), q as (select distinct item_id as query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from benchmark
 ), df as (select term, count(*) as df from t group by 1), st as (select count(*) as n, avg(len(w)) as avgdl from w
 ), bm as (select query_id, t.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w.w) / avgdl))) as score
   from q join t using (term) join df using (term) join w on w.doc_id = t.doc_id, st group by 1, 2)"""
@@ -48,14 +48,11 @@ SQL["sparse_top"] = BM25 + " select * from (select query_id, doc_id, round(score
 
 
 def _dense(s, d, depth):
-    e = table(s, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # five rows
-    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), _r(retrieval.cosine(F.col("embedding"), F.col("q"))).alias("score"))
-    return retrieval.ranked(scored, ["query_id"], "score", "doc_id", depth)
+    return retrieval.dense_top(table(s, d, "embeddings"), F.col("vec_id") % 20 == 0, depth)
 
 
 DENSE = """de as (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from (
-  select a.vec_id as query_id, b.vec_id as doc_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < 5 and a.vec_id <> b.vec_id))"""
+  select a.vec_id as query_id, b.vec_id as doc_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id))"""
 Q["dense_top"] = lambda s, d: _dense(s, d, 10)
 SQL["dense_top"] = "with " + DENSE + " select * from de where rank <= 10"
 Q["hybrid_fusion"] = lambda s, d: retrieval.fuse([retrieval.ranked(_sparse(s, d).withColumn("score", _r(F.col("score"))), ["query_id"], "score", "doc_id", 100), _dense(s, d, 100)], ["query_id", "doc_id"]).withColumn("rrf", _r(F.col("rrf"), 8))
@@ -63,14 +60,14 @@ SQL["hybrid_fusion"] = BM25 + ", " + DENSE + """, sp as (select query_id, doc_id
 ), u as (select query_id, doc_id, rank from sp where rank <= 100 union all select query_id, doc_id, rank from de where rank <= 100)
 select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 8) as rrf from u group by 1, 2"""
 Q["diverse_evidence"] = lambda s, d: retrieval.mmr(retrieval.ranked(_sparse(s, d).withColumn("score", _r(F.col("score"))), ["query_id"], "score", "doc_id", 20).join(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "query_id", "doc_id", 5)
-_evidence = lambda s, d: stage(s, d, "usage").where("user_id < 20")
+_evidence = lambda s, d: stage(s, d, "usage")
 Q["round_robin"] = lambda s, d: retrieval.round_robin(_evidence(s, d), "user_id", "event_type", [F.desc("cost"), F.col("event_id")], ["purchase", "view"], 12).select("user_id", "event_id", "position")
-SQL["round_robin"] = ctes("usage") + """, t as (select *, row_number() over (partition by user_id, event_type order by cost desc, event_id) as turn, case event_type when 'purchase' then 1 when 'view' then 2 else 3 end as f from usage where user_id < 20
+SQL["round_robin"] = ctes("usage") + """, t as (select *, row_number() over (partition by user_id, event_type order by cost desc, event_id) as turn, case event_type when 'purchase' then 1 when 'view' then 2 else 3 end as f from usage
 ), p as (select user_id, event_id, cast(row_number() over (partition by user_id order by turn, f, event_type) as integer) as position from t) select * from p where position <= 12"""
 Q["kind_quotas"] = lambda s, d: retrieval.quotas(_evidence(s, d), "user_id", "event_type", [F.desc("cost"), F.col("event_id")], {"view": 1}, 2).select("user_id", "event_id")
-SQL["kind_quotas"] = ctes("usage") + " select user_id, event_id from (select *, row_number() over (partition by user_id, event_type order by cost desc, event_id) as rn from usage where user_id < 20) where rn <= case event_type when 'view' then 1 else 2 end"
+SQL["kind_quotas"] = ctes("usage") + " select user_id, event_id from (select *, row_number() over (partition by user_id, event_type order by cost desc, event_id) as rn from usage) where rn <= case event_type when 'view' then 1 else 2 end"
 Q["budget_trim"] = lambda s, d: retrieval.within_budget(_evidence(s, d), "user_id", [F.desc("cost"), F.col("event_id")], "cost", 20000).select("user_id", "event_id", "spent")
-SQL["budget_trim"] = ctes("usage") + " select user_id, event_id, spent from (select user_id, event_id, sum(cost) over (partition by user_id order by cost desc, event_id rows unbounded preceding) as spent from usage where user_id < 20) where spent <= 20000"
+SQL["budget_trim"] = ctes("usage") + " select user_id, event_id, spent from (select user_id, event_id, sum(cost) over (partition by user_id order by cost desc, event_id rows unbounded preceding) as spent from usage) where spent <= 20000"
 Q["trust"] = lambda s, d: stage(s, d, "usage").groupBy("user_id").agg(F.avg(F.col("event_type").isin("click", "view").cast("double")).alias("c")).select("user_id", _r(retrieval.trust_score(F.col("c"), F.lit(0.5), F.lit(0.7))).alias("trust"), _r(retrieval.boosted(F.lit(2.0), F.col("c"))).alias("boosted"))
 SQL["trust"] = ctes("usage") + ", c as (select user_id, avg(case when event_type in ('click', 'view') then 1.0::double else 0 end) as c from usage group by 1) select user_id, round(greatest(0, least(1, 0.60 * c + 0.125 + 0.105)), 6) as trust, round(2 * (1 + 0.2 * (c - 0.5)), 6) as boosted from c"
 
@@ -91,7 +88,17 @@ Q["prior_run"] = lambda s, d: stage(s, d, "usage").select("event_id", F.coalesce
 SQL["prior_run"] = ctes("usage") + " select event_id, coalesce(lag(event_id) over (partition by user_id, event_type order by ts, event_id), -1) as prior_id from usage"
 Q["stale_runs"] = lambda s, d: stage(s, d, "usage").groupBy("user_id").agg(F.max("ts").alias("beat"), F.max_by("event_type", F.struct("ts", "event_id")).alias("stage")).where(F.col("beat") < F.when(F.col("stage") == "view", F.lit("2024-01-30 12:00:00").cast("timestamp")).otherwise(F.lit("2024-01-30 15:00:00").cast("timestamp"))).select("user_id", "stage")
 SQL["stale_runs"] = ctes("usage") + ", l as (select user_id, max(ts) as beat, arg_max(event_type, row(ts, event_id)) as stage from usage group by 1) select user_id, stage from l where beat < case when stage = 'view' then timestamp '2024-01-30 12:00:00' else timestamp '2024-01-30 15:00:00' end"
-Q["unacknowledged"] = lambda s, d: stage(s, d, "usage").where("event_type = 'purchase'").alias("a").join(stage(s, d, "usage").where("event_type = 'click'").alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("b.ts") > F.col("a.ts")) & (F.col("b.ts") <= F.col("a.ts") + F.expr("interval 1 day")), "left_anti").select("event_id")
+
+
+def _unacknowledged(s, d):
+    """Purchases without a click of the user within a day: clicks meet their own and the day before."""
+    u = stage(s, d, "usage").withColumn("day", F.to_date("ts"))
+    bought, clicks = u.where("event_type = 'purchase'"), u.where("event_type = 'click'").select("user_id", F.col("ts").alias("clicked"), F.explode(F.array("day", F.date_sub("day", 1))).alias("day"))
+    answered = bought.join(clicks, ["user_id", "day"]).where((F.col("clicked") > F.col("ts")) & (F.col("clicked") <= F.col("ts") + F.expr("interval 1 day"))).select("event_id").distinct()
+    return bought.join(answered, "event_id", "left_anti").select("event_id")
+
+
+Q["unacknowledged"] = _unacknowledged
 SQL["unacknowledged"] = ctes("usage") + " select event_id from usage a where event_type = 'purchase' and not exists (select 1 from usage b where b.user_id = a.user_id and b.event_type = 'click' and b.ts > a.ts and b.ts <= a.ts + interval 1 day)"
 Q["json_per_hole"] = lambda s, d: stage(s, d, "assay").where("value_ppm is not null").groupBy("collar_id", "element").agg(F.max("value_ppm").alias("v")).groupBy("collar_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element", F.col("v").cast("long").alias("v")))), lambda x: F.concat_ws("=", x["element"], x["v"])), ";").alias("best"), F.min_by("v", "element").alias("first_value"))
 SQL["json_per_hole"] = ctes("assay") + ", m as (select collar_id, element, max(value_ppm) as v from assay where value_ppm is not null group by 1, 2) select collar_id, string_agg(element || '=' || cast(cast(v as bigint) as varchar), ';' order by element) as best, arg_min(v, element) as first_value from m group by 1"

@@ -139,6 +139,6 @@ Q["latest_assay_per_hole"] = lambda s, d: stage(s, d, "assay").withColumn("rn",
 SQL["latest_assay_per_hole"] = ctes("assay") + " select collar_id, sample_id, cast(assay_date as varchar) as assay_date from (select *, row_number() over (partition by collar_id order by assay_date desc, sample_id, from_depth) as rn from assay) where rn = 1"
 Q["samples_with_hole_total"] = lambda s, d: stage(s, d, "assay").select("collar_id", "sample_id", F.count("*").over(Window.partitionBy("collar_id")).alias("hole_total"))
 SQL["samples_with_hole_total"] = ctes("assay") + " select collar_id, sample_id, count(*) over (partition by collar_id) as hole_total from assay"
-Q["element_anomalies"] = lambda s, d: stage(s, d, "assay").where("value_ppm is not null").withColumns({"m": F.avg("value_ppm").over(Window.partitionBy("element")), "sd": F.stddev_pop("value_ppm").over(Window.partitionBy("element"))}).select("collar_id", "sample_id", "element", F.round((F.col("value_ppm") - F.col("m")) / F.when(F.col("sd") == 0, 1).otherwise(F.col("sd")), 4).alias("z")).where("z > 1.5")
+Q["element_anomalies"] = lambda s, d: stage(s, d, "assay").where("value_ppm is not null").join(F.broadcast(stage(s, d, "assay").groupBy("element").agg(F.avg("value_ppm").alias("m"), F.stddev_pop("value_ppm").alias("sd"))), "element").select("collar_id", "sample_id", "element", F.round((F.col("value_ppm") - F.col("m")) / F.when(F.col("sd") == 0, 1).otherwise(F.col("sd")), 4).alias("z")).where("z > 1.5")
 SQL["element_anomalies"] = ctes("assay") + """, z as (select collar_id, sample_id, element, round((value_ppm - avg(value_ppm) over w) / case when stddev_pop(value_ppm) over w = 0 then 1 else stddev_pop(value_ppm) over w end, 4) as z
   from assay where value_ppm is not null window w as (partition by element)) select * from z where z > 1.5"""

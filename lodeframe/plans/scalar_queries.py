@@ -170,7 +170,7 @@ _KINDS = ["NI 43-101 Technical Report", "Annual report 2004", "press-release", "
 Q["authority"] = lambda s, d: table(s, d, "orders").select(F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")).withColumn("rank", classify.authority_rank(F.col("kind")))
 SQL["authority"] = f"select ({_KINDS!r})[o_orderkey % 6 + 1] as kind, count(*) as n, cast(([1, 2, 3, 4, 5, 3])[o_orderkey % 6 + 1] as integer) as rank from orders group by 1, 3"
 Q["identifier_classes"] = lambda s, d: stage(s, d, "collar").select(classify.identifiers(F.concat(F.lit("Au in "), F.when(F.col("collar_id") % 2 == 0, F.concat(F.lit("PLS-22-"), F.col("collar_id") % 90)).otherwise("none"))).alias("x")).groupBy(F.array_join("x.classes", ",").alias("classes"), F.array_join("x.tokens", ",").alias("tokens")).agg(F.count("*").alias("n"))
-SQL["identifier_classes"] = ctes("collar") + " select case when collar_id % 2 = 0 then 'hole_dashed,commodity' else 'commodity' end as classes, case when collar_id % 2 = 0 then 'PLS-22-' || (collar_id % 90) || ',Au' else 'Au' end as tokens, count(*) as n from collar group by 1, 2"
+SQL["identifier_classes"] = ctes("collar") + " select case when collar_id % 2 = 0 then 'HOLE_ID_DASHED,COMMODITY_CODE' else 'COMMODITY_CODE' end as classes, case when collar_id % 2 = 0 then 'PLS-22-' || (collar_id % 90) || ',Au' else 'Au' end as tokens, count(*) as n from collar group by 1, 2"
 Q["confidence_levels"] = lambda s, d: table(s, d, "events").groupBy(classify.confidence(F.col("user_id") % 4, F.col("event_id") % 3 == 0, F.col("event_id") % 7 == 0).alias("level")).agg(F.count("*").alias("n"))
 SQL["confidence_levels"] = "select case when event_id % 7 = 0 then 'Low' when user_id % 4 >= 2 then case when event_id % 3 = 0 then 'Medium' else 'High' end when user_id % 4 = 1 then 'Medium' else 'Low' end as level, count(*) as n from events group by 1"
 Q["fuzzy_names"] = lambda s, d: classify.best_match(table(s, d, "nation").select("n_nationkey", F.lower("n_name").alias("name")), "name", ["nation 1", "nation_12", "land 7"], 60.0)

@@ -146,8 +146,8 @@ def test_replays_change_nothing(spark):
 
 
 def test_assay_flags(spark):
-    df = spark.createDataFrame([(1, "Pt ", 101.0, "OK", True, True, True, False, False), (1, "au", 5.0, "bad", False, None, True, True, True), (2, "xx", 9e9, None, None, None, None, None, None)], "collar_id int, element string, value_ppm double, qaqc_flag string, crm_pass boolean, blank_pass boolean, duplicate_pass boolean, over_detection boolean, under_detection boolean")
-    assert sorted((r.rule_id, r.assays) for r in quality.assay_flags(df).collect()) == [("assay.above_ceiling", 1), ("assay.crm_failed", 1), ("assay.detection_paradox", 1), ("assay.qaqc_flag_failed", 1)]
+    df = spark.createDataFrame([(1, 7, "Pt ", 101.0, "OK", True, True, True, False, False), (1, 8, "au", 5.0, "bad", False, None, True, True, True), (2, 9, "xx", 9e9, None, None, None, None, None, None)], "collar_id int, sample_id int, element string, value_ppm double, qaqc_flag string, crm_pass boolean, blank_pass boolean, duplicate_pass boolean, over_detection boolean, under_detection boolean")
+    assert sorted((r.rule_id, r.fail_count) for r in quality.assay_flags(df).collect()) == [("assay.crm_failed", 1), ("assay.detection_paradox", 1), ("assay.qaqc_flag_failed", 1), ("assay.value_implausibly_high", 1)]
 
 
 def test_grid_and_back(spark):
