@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm.blocks import small_batches
-from lodeframe.llm.shared import keep_table
+from lodeframe.llm.shared import keep_table, spare
 
 SIZE, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 #: The same vocabulary as ranks, for a library that encodes short strings faster.
@@ -270,15 +270,16 @@ def assembled(counts: dict[int, int], made: list[tuple[int, dict[int, int]]], ru
 def pack(found: DataFrame, size: int = SIZE) -> DataFrame:
     """found: pieces, with a length from 1 to size. Adds sequence_id and offset."""
     total = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
-    salts = min(512, max(16, sum(total.values()) // 200_000))
+    salts = max(16, sum(total.values()) // 200_000)
+    salt, rank, before, n = (spare(x, found) for x in ("salt", "rank", "before", "n"))
     runs = np.array(plan(total, size)[0] or np.zeros((0, 5)), np.int64).reshape(-1, 5)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"])  # at most size x salts rows
-    names = [n for n in found.columns]
+    salted = found.withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    earlier = counts.select("length", salt, (F.sum(n).over(Window.partitionBy("length").orderBy(salt)) - F.col(n)).alias(before))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = ranked.join(earlier, ["length", salt])  # both are dealt by these; at most size x salts rows
+    names = list(found.columns)
     place = 1 << 40
 
     def run(batches):
@@ -289,7 +290,7 @@ def pack(found: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])], [*names, "sequence_id", "offset"])
 
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*names, (F.col("rank") + F.col("before")).cast("long").alias("rank")).mapInArrow(run, schema)
+    return ranked.select(*names, (F.col(rank) + F.col(before)).cast("long").alias(rank)).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -6,7 +6,8 @@ number of digits) are dropped and not retried. Base spans always stay.
 
 The semi-CRF works on regions: the white-space-delimited tokens that hold a digit, an `@`
 or a spelled-out one, with two tokens before and one after. A region is cut into units (runs of digits,
-runs of letters, single other characters). Every run of up to MAX_UNITS units that begins
+runs of letters, single other characters). Every run of up to MAX_UNITS units and
+MAX_DIGITS digits that begins
 and ends well and holds enough digits or one at-sign is a candidate segment; features of
 the whole segment (digit count, Luhn sum, shape, what touches it, a cue word before it)
 score it under each kind, a unit outside any segment scores 0, and a dynamic program over
@@ -19,7 +20,9 @@ which spans are rewritten in forms the base patterns miss (no plus sign, a spell
 dots in a card number). Texts and labels are not otherwise used.
 
 Null text: empty. Null id: the row is kept. Repeated rows: each is scanned. Extra columns
-are ignored (by ``scan``) or kept (by ``redact``). Empty table: no rows.
+are ignored (by ``scan``) or kept (by ``redact``). Very long texts: scanned whole, region by
+region. Ties: of equal segmentations the one found first, of equal kinds the first listed.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -36,9 +39,13 @@ from lodeframe.llm.blocks import small_batches
 from lodeframe.llm.shared import about
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_UNITS = 40
+#: A segment has so many units and digits at most: none of the kinds is longer.
+MAX_UNITS, MAX_DIGITS = 40, 30
 #: Documents that training looks at, passes, and the step.
 SAMPLE_ROWS, PASSES, RATE = 1500, 12, 0.15
+#: Training, which runs on the driver, leaves out longer texts (in characters) and regions (in
+#: units); scanning leaves out nothing.
+SAMPLE_LENGTH, SAMPLE_UNITS = 20_000, 400
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -135,7 +142,7 @@ class Region:
             for e in range(s + 1, min(n, s + MAX_UNITS) + 1):
                 d, at = digits[e] - digits[s], ats[e] - ats[s]
                 last = text[self.ends[e - 1] - 1]
-                if at > 1 or d > 30 or text[self.starts[e - 1]] in "\n\r":
+                if at > 1 or d > MAX_DIGITS or text[self.starts[e - 1]] in "\n\r":
                     break
                 if (at or d >= 4) and last.isascii() and last.isalnum() and (x := self.features(text, s, e, at)):
                     segments.append((s, e))
@@ -253,7 +260,7 @@ def fit(texts: list[str], seed: int = 7) -> np.ndarray:
             data.append((Region(part), set(own)))
             if own:
                 data.append((lambda x: (Region(x[0]), x[1]))(rewritten(part, own, r)))
-    data = [(x, truth) for x, truth in data if x.segments and x.n < 400]
+    data = [(x, truth) for x, truth in data if x.segments and x.n < SAMPLE_UNITS]
     w = np.zeros((len(KINDS), len(FEATURES)))
     w[:, 0] = -2.0
     squares = np.full(w.shape, 1e-6)
@@ -280,10 +287,10 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[list[tuple[int, int]
     return base, [sorted(x) for x in every]
 
 
-def fit_on(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights from about `rows` texts at most, of up to 20,000 characters, that hold a
-    digit or an at-sign, chosen by a hash of the text. The bound covers training alone."""
-    chosen = docs.select(F.col(text_col).cast("string").alias("text")).where("text rlike '[0-9@]' and length(text) <= 20000")
+def fit_on(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, length: int = SAMPLE_LENGTH) -> np.ndarray:
+    """Weights from about `rows` texts, of up to `length` characters, that hold a digit or an
+    at-sign, chosen by a hash of the text. The bounds cover training alone."""
+    chosen = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= length))
     return fit(sorted(r["text"] for r in about(chosen, rows, F.col("text")).collect()))
 
 
