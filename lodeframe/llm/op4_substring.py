@@ -51,3 +51,16 @@ def _finish(texts, units, removed) -> pa.Table:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents where doc_id is not null
+), win as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d)
+), lead as (select s, min(doc_id) as first from win group by s
+), gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from win join lead using (s) where first < doc_id
+), word as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as word from d
+), kept as (select doc_id, string_agg(word, ' ' order by p) as kept from word anti join gone using (doc_id, p) group by doc_id
+), n as (select doc_id, count(*) as n from gone group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept using (doc_id) left join n using (doc_id)
+"""

@@ -52,3 +52,17 @@ def _finish(texts, units, removed) -> pa.Table:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n from documents where doc_id is not null
+), win as (select doc_id, i, substring(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as i from d)
+), lead as (select s, min(doc_id) as first from win group by s
+), bad as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from win join lead using (s) where first < doc_id
+), run as (select doc_id, i, sum(case when i <= before + 50 then 0 else 1 end) over (partition by doc_id order by i rows unbounded preceding) as run from bad
+), gone as (select doc_id, min(i) as a, max(i) + 50 as b from run group by doc_id, run
+), part as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from gone
+), kept as (select doc_id, count(*) as spans, cast(sum(b - a) as bigint) as removed, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head, max(b) as stop from part join d using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(removed, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(stop, 0) + 1))) as kept_sha256
+from d left join kept using (doc_id)
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": op4_substring.ORACLE,
+    "op6_suffix_dedup": op6_suffix.ORACLE,
     "op7_chat_format": op7_chat.ORACLE,
     "op8_decontaminate": op8_decontam.ORACLE,
     "op9_top_k": op9_topk.ORACLE,
