@@ -1,5 +1,6 @@
 """Hand-made frames with values worked out by hand, and properties."""
 
+import hashlib
 import math
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeframe.functions import classify, geo, scalars
-from lodeframe.operators import gold, graph, ingest, intervals, quality, retrieval, sampling, survey
+from lodeframe.operators import gold, graph, ingest, intervals, quality, reports, retrieval, sampling, survey, targets, tiles
 from lodeframe.plans import spec
 
 
@@ -166,3 +167,43 @@ def test_sentences_and_groups(spark):
         scalars.dominant(F.array(*map(F.lit, ["Cu", "gold", "Au", "cu ", "x"])), {"cu": "base", "gold": "precious", "au": "precious"}).alias("g"),
     ).first()
     assert (one.s, one.g) == ("Hole A-1 to 12 m.", "base")
+
+
+def test_simplified_lines_stay_near(spark):
+    """Ends stay, vertices on a straight stretch go, corners stay."""
+    line = [(1, k, float(k * 10), 0.5 * (k % 2)) for k in range(9)] + [(1, 9 + k, 80.0, float((k + 1) * 50)) for k in range(4)] + [(2, 0, 0.0, 0.0), (2, 1, 3.0, 0.0)]
+    got = sorted(tiles.simplified(spark.createDataFrame(line, "id int, k int, x double, y double"), "id", "k", "x", "y", 5.0).collect())
+    assert [(r.id, r.k) for r in got if r.id == 2] == [(2, 0), (2, 1)]
+    kept = {r.k for r in got if r.id == 1}
+    assert {0, 8, 12} <= kept and len(kept) < 8
+    assert [tiles.tolerance(z) for z in (7, 8, 11, 12)] == [100.0, 25.0, 25.0, 5.0]
+
+
+def test_a_line_over_three_tiles(spark):
+    side = 2 * tiles.HALF / (1 << 10)
+    rows = [(1, 0, 0.5 * side, -0.5 * side), (1, 1, 2.5 * side, -0.5 * side), (2, 0, 0.25 * side, -0.25 * side), (2, 1, 0.25 * side, -0.75 * side)]
+    got = {(r.id, r.tile_x, r.tile_y): r.metres / side for r in tiles.line_tiles(spark.createDataFrame(rows, "id int, k int, x double, y double"), "id", "k", "x", "y", 10).collect()}
+    edge = tiles.BUFFER / tiles.EXTENT
+    assert {k: round(v, 6) for k, v in got.items()} == {(1, 512, 512): round(0.5 + edge, 6), (1, 513, 512): round(1 + 2 * edge, 6), (1, 514, 512): round(0.5 + edge, 6), (2, 512, 512): 0.5}
+
+
+def test_promotion_gate_only_warns_unless_blocking(spark):
+    totals, sets = spark.createDataFrame([(3, 9)], "failed int, regressed int"), spark.createDataFrame([("a", 2), ("b", 1), (None, 9)], "name string, regressed int")
+    for blocking in (False, True):
+        r = reports.gate(totals, sets, 3, 5, {"a": 1, "b": 1}, blocking).first()
+        assert (r.reasons, r.would_block, r.blocks) == (["regressed", "set:a"], True, blocking)
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(0, 5000, 1, 7).selectExpr("id as target_id", "id % 13 as score").repartition(9)
+    got = sorted((r["rank"], r.target_id) for r in targets.ranks(df, [3]).collect())
+    want = sorted(((k % 13, k) for k in range(5000) if k != 3), key=lambda x: (-x[0], x[1]))
+    assert got == [(n + 1, k) for n, (_, k) in enumerate(want)]
+
+
+def test_ledger_chain_in_order(spark):
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (None, 1, "x"), (2, 1, None), (1, 3, "c")], "w int, k int, v string")
+    got = {(r.w, r.k): (r.previous_hash, r.hash) for r in quality.chain(df, "w", ["k"], ["k", "v"]).collect()}
+    assert got[1, 1][0] is None and got[1, 2][0] == got[1, 1][1] and got[1, 3][0] == got[1, 2][1]
+    assert got[2, 1] == (None, hashlib.sha256(b"|1|").hexdigest()) and got[None, 1][0] is None
+    assert quality.verify_chain(quality.chain(df, "w", ["k"], ["k", "v"]), "w", ["k"], ["k", "v"]).count() == 0
