@@ -228,3 +228,17 @@ Q["data_versions"] = lambda s, d: reports.bumped(table(s, d, "nation").select(F.
 SQL["data_versions"] = "select n_nationkey as workspace, cast(3 + count(*) filter (where c_custkey % 3 > 0) as bigint) as version from nation left join customer on c_nationkey = n_nationkey group by 1"
 Q["row_of_window"] = lambda s, d: stage(s, d, "usage").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))).where("rn between 2 and 3").select("user_id", "event_id", "rn")
 SQL["row_of_window"] = ctes("usage") + " select * from (select user_id, event_id, cast(row_number() over (partition by user_id order by ts desc, event_id) as integer) as rn from usage) where rn between 2 and 3"
+
+DOCUMENT_SAMPLES = [
+    ("ni43-101_gold.pdf", "Press Release", "NI 43-101", 0.95, "filename"), ("42.pdf", "ANNUAL REPORT 2020", "Annual Report", 0.85, "title"), ("mail.eml", "", "Email", 0.95, "filename"),
+    ("a.pdf", "x" * 300 + " The Assessment work performed here", "Assessment Report", 0.70, "body"), ("b.pdf", "x" * 300 + " Forward-looking statements\nand securities", "Press Release", 0.70, "body"),
+    ("project_fs2.pdf", "nothing", "Unknown", 0.0, "default"), ("pea-2.pdf", "Memorandum", "PEA", 0.95, "filename"), (None, "A memorandum", "Internal Memo", 0.85, "title"), ("field_notes3.txt", None, "Field Note", 0.95, "filename"),
+]
+Q["document_classes"] = lambda s, d: s.createDataFrame([(k, f, t) for k, (f, t, *_) in enumerate(DOCUMENT_SAMPLES)], "k int, f string, t string").select("k", classify.document_class(F.col("f"), F.col("t")).alias("x")).select("k", "x.*")
+SQL["document_classes"] = "select * from (values " + ", ".join(f"({k}, '{c}', {p}::double, '{w}')" for k, (*_, c, p, w) in enumerate(DOCUMENT_SAMPLES)) + ") v(k, document_class, confidence, signal)"
+_TOPICS = [("viz", ["plot", "fence-diagram"], ["show me a"]), ("spatial", ["hole", "within"], ["cross section"]), ("computation", ["grade"], ["cut off grade"])]
+_asked = lambda: F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ["Plot the", "Show me a", "Is the", "Draw a fence-diagram of"])), (F.col("o_orderkey") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ["holes", "hole", "grades", "grade", "Cross section"])), (F.col("o_orderkey") % 5 + 1).cast("int")))
+Q["query_topics"] = lambda s, d: table(s, d, "orders").select(_asked().alias("q")).groupBy("q").agg(F.count("*").alias("n")).withColumn("topic", classify.topic(F.col("q"), _TOPICS))
+SQL["query_topics"] = r"""with q as (select (['Plot the', 'Show me a', 'Is the', 'Draw a fence-diagram of'])[o_orderkey % 4 + 1] || ' ' || (['holes', 'hole', 'grades', 'grade', 'Cross section'])[o_orderkey % 5 + 1] as q from orders)
+select q, count(*) as n, case when list_has_any(regexp_extract_all(lower(q), '[\w-]+'), ['plot', 'fence-diagram']) or lower(q) like '%show me a%' then 'viz' when list_has_any(regexp_extract_all(lower(q), '[\w-]+'), ['hole', 'within']) or lower(q) like '%cross section%' then 'spatial'
+  when list_has_any(regexp_extract_all(lower(q), '[\w-]+'), ['grade']) then 'computation' else 'unknown' end as topic from q group by 1"""
