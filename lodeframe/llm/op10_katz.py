@@ -21,7 +21,7 @@ in each and then scores its tokens recursively, bigram to unigram. The first blo
 holds a bigram adds it to its history's sums, so no history's bigrams are ever gathered.
 Keys have twice the bits of the number of tokens: less than one expected clash.
 
-Null text: empty, so one end token. Null id: the row takes no part. Rows that share an
+Null text: empty, so one end token. Very long texts: whole, in a block of their own. Null id: the row takes no part. Rows that share an
 id, and equal texts, are each counted and scored. Extra columns are ignored. Empty
 table: no rows. No training documents: N = V = 0 and every token has probability one.
 """

@@ -5,7 +5,7 @@ words that also starts in a document with a smaller id. Words are maximal runs
 without ASCII white space, compared unchanged. Anchors of 7 words at the positions
 1, 2, 4 modulo 7 suffice for windows of 13 (see ``cover``).
 
-Null text: no words. Null id: the row takes no part. Rows that share an id do not
+Null text: no words. Very long texts: whole, in a block of their own. Null id: the row takes no part. Rows that share an id do not
 judge each other; each is returned. Extra columns are ignored. Empty table: no rows.
 """
 

@@ -1,15 +1,13 @@
-"""Suffix-array dedup by bytes, built block by block from a difference-cover sample.
+"""Dedup of byte strings that documents share, from a difference-cover sample of suffixes.
 
-Only suffixes that can share a prefix of `length` bytes with another document's are
-sorted. The cover sample (positions 3, 6, 7, 12, 14 modulo 21, 30 bytes each) is
-named first: equal strings get equal names, and names that occur once rule out every
-suffix near them. The remaining suffixes go to suffix buckets; each bucket is sorted
-on its own, and equal entries are ranked by the first block that has them, so memory
-is bounded by a bucket, never by the corpus. Names order the suffixes by a hash of
-their first `length` bytes rather than by the bytes themselves: repeats end up
-adjacent, which is what removal needs, at six bytes a suffix.
+This keeps the cover sample of a blockwise suffix-array construction and leaves out its byte
+order: suffixes are named, not sorted (README has the figures that rule the order out). The
+cover sample (positions 3, 6, 7, 12, 14 modulo 21, 30 bytes each) is named first; names that
+occur once rule out every suffix near them. What is left is named by a hash of the first
+`length` bytes, sent to buckets by ranges of names, and matched bucket by bucket, each name
+with the first block that has it, so memory is bounded by a bucket, never by the corpus.
 
-Null text: empty. Null id: the row takes no part. Rows that share an id do not judge
+Null text: empty. Very long texts: whole, in a block of their own. Null id: the row takes no part. Rows that share an id do not judge
 each other; each is returned. Extra columns are ignored. Empty table: no rows.
 """
 
