@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.functions import geo, scalars
+from lodeframe.functions import geo, mentions, scalars
 
 
 def resolved(rows: DataFrame, parents: DataFrame, hole: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -97,3 +97,99 @@ def graph_frames(collars: DataFrame, assays: DataFrame) -> tuple[DataFrame, Data
     nodes = collars.select(hole.alias("id"), F.lit("Hole").alias("label")).unionByName(collars.select(project.alias("id"), F.lit("Project").alias("label"))).unionByName(found.select(element.alias("id"), F.lit("Element").alias("label")))
     edges = collars.select(project.alias("src"), hole.alias("dst"), F.lit("HAS_HOLE").alias("kind")).unionByName(found.select(hole.alias("src"), element.alias("dst"), F.lit("ASSAYED_FOR").alias("kind")))
     return nodes.distinct(), edges.distinct()
+
+
+def survey_lines(points: DataFrame, line: str, order: str, x: str, y: str, channels: list[str], most: int = 1000) -> DataFrame:
+    """One row per survey line: its points, how many of them are stored, least, greatest and
+    mean value of each channel over all of them, and the line as WKT through at most `most`
+    evenly spaced points. Lines with fewer than two places are left out."""
+    named = points.withColumn("__line", F.coalesce(F.col(line).cast("string"), F.lit("unknown")))
+    stats = [f(c).alias(f"{c}_{n}") for c in channels for n, f in (("min", F.min), ("max", F.max), ("mean", lambda v: F.round(F.avg(v), 6)))]
+    whole = named.groupBy("__line").agg(F.count("*").alias("points"), *stats)
+    w = Window.partitionBy("__line").orderBy(order)
+    placed = named.select("__line", order, x, y, (F.row_number().over(w) - 1).alias("__at")).join(whole.select("__line", "points"), "__line")
+    step = F.greatest(F.col("points") / most, F.lit(1.0))
+    # the first point at or after each multiple of the step
+    kept = placed.where(F.floor(F.ceil(F.col("__at") / step) * step) == F.col("__at")).where(F.ceil(F.col("__at") / step) < most)
+    place = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct("__at", F.concat_ws(" ", x, y).alias("p")))
+    drawn = kept.groupBy("__line").agg(F.count("*").alias("stored"), F.array_sort(F.collect_list(place)).alias("__p")).where(F.size("__p") > 1)
+    wkt = F.concat(F.lit("LINESTRING("), F.array_join(F.transform("__p", lambda p: p["p"]), ", "), F.lit(")"))
+    return whole.join(drawn.select("__line", "stored", wkt.alias("wkt")), "__line").withColumnRenamed("__line", line)
+
+
+def curve_rows(logs: DataFrame, keys: list[str], depth: str = "DEPT") -> DataFrame:
+    """One row per curve of a log: depths and values where there is a value, how many, from and
+    to which depth, and the usual step."""
+    made = logs.select(*keys, F.col("curves")[depth].alias("__d"), F.explode("curves").alias("curve", "__v")).where(F.col("curve") != depth)
+    held = F.filter(F.arrays_zip(F.col("__d").alias("depth"), F.col("__v").alias("value")), lambda p: p["depth"].isNotNull() & p["value"].isNotNull())
+    made = made.select(*keys, "curve", F.array_sort(held).alias("p"))
+    depths = F.transform("p", lambda p: p["depth"])
+    step = F.when(F.size("p") > 1, (F.array_max(depths) - F.array_min(depths)) / (F.size("p") - 1))
+    return made.select(*keys, "curve", depths.alias("depths"), F.transform("p", lambda p: p["value"]).alias("values"), F.size("p").alias("n"), F.array_min(depths).alias("min_depth"), F.array_max(depths).alias("max_depth"), step.alias("step"))
+
+
+def sections(reports: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """One row per section of a JSON object of texts."""
+    return reports.select(*keys, F.explode(F.from_json(column, "map<string,string>")).alias("section", "text"))
+
+
+def mined_structures(notes: DataFrame, present: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Measurements in notes that aren't there yet, once each. present: keys, structure_type,
+    alpha_angle, beta_angle, true_dip, true_dip_dir; nulls are alike."""
+    same = [*keys, "structure_type", "alpha_angle", "beta_angle", "true_dip", "true_dip_dir"]
+    found = mentions.attitudes(notes, keys, text).groupBy(*same).agg(F.min("notes").alias("notes"))
+    old = present.select(*[F.col(c).alias(f"__{c}") for c in same])
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]
+    return found.join(old, on, "left_anti")
+
+
+def filled(rows: DataFrame, found: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """rows with each empty column filled by the first name of its kind. found: key, kind,
+    place, name. columns: column to kind."""
+    firsts = found.groupBy(key).agg(*[F.min_by("name", F.when(F.col("kind") == kind, F.col("place"))).alias(f"__{c}") for c, kind in columns.items()])
+    made = rows.join(firsts, key, "left")
+    return made.withColumns({c: F.coalesce(scalars.blank_to_null(F.col(c)), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
+def assay_passages(assays: DataFrame, by: list[str], hole: Column, project: Column, lab: Column, method: Column) -> DataFrame:
+    """One sentence per sample with all its elements. assays: by (sample_id, from_depth and
+    to_depth among them), element, value, unit, and optionally below and above detection."""
+    flag = lambda c, words: F.when(F.coalesce(F.col(c), F.lit(False)), words) if c in assays.columns else F.lit(None)
+    said = F.trim(F.concat(F.concat_ws(" ", "element", F.col("value").cast("string"), F.coalesce("unit", F.lit(""))), F.coalesce(flag("below", " (below detection)"), flag("above", " (above detection)"), F.lit(""))))
+    line = F.when(F.col("value").isNull(), F.concat("element", F.lit(" ND"))).otherwise(said)
+    made = assays.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element", line.alias("l")))), lambda x: x["l"]), ", ").alias("__e"))
+    known = lambda c, other: F.coalesce(scalars.blank_to_null(c.cast("string")), F.lit(other))
+    text = F.concat(
+        F.lit("Assay sample "), F.col("sample_id").cast("string"), F.lit(" from drillhole "), known(hole, "(unknown hole)"), F.lit(" ("), known(project, "(unknown project)"), F.lit(" project), interval "),
+        F.col("from_depth").cast("string"), F.lit(" to "), F.col("to_depth").cast("string"), F.lit(" m. Results: "), F.col("__e"), F.lit(". Analytical method "), known(method, "unspecified method"), F.lit(" at "), known(lab, "unspecified lab"), F.lit("."),
+    )
+    return made.select(*by, text.alias("text"))
+
+
+def pending(passages: DataFrame, indexed: DataFrame, key: str, text: str) -> DataFrame:
+    """Passages that the index lacks or holds with another text. indexed: key, text_hash."""
+    hashed = passages.withColumn("text_hash", F.sha2(F.col(text).cast("binary"), 256))
+    there = indexed.select(F.col(key), F.col("text_hash"))
+    return hashed.join(there, (hashed[key] == there[key]) & hashed["text_hash"].eqNullSafe(there["text_hash"]), "left_anti")
+
+
+def linked(documents: DataFrame, entities: DataFrame, patterns: dict[str, str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, kind, entity_id of each entity whose number a text names, once for each text.
+    patterns: kind to a pattern with the number in its first group; leading zeros don't count.
+    entities: kind, number, entity_id."""
+    trim = lambda c: F.regexp_replace(c, r"^0+(?=.)", "")
+
+    def named_by(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda n: F.struct(F.lit(kind).alias("kind"), trim(n).alias("number")))
+
+    each = [named_by(kind, pattern) for kind, pattern in patterns.items()]
+    named = documents.select(key, F.explode(F.array_distinct(F.concat(*each))).alias("x")).select(key, "x.*")
+    known = entities.select("kind", trim(F.col("number").cast("string")).alias("number"), "entity_id").groupBy("kind", "number").agg(F.min("entity_id").alias("entity_id"))
+    return named.join(known, ["kind", "number"]).select(key, "kind", "entity_id")
+
+
+def changed_counts(upstream: DataFrame, held: DataFrame, by: str) -> DataFrame:
+    """Groups whose number of rows upstream isn't that of the rows held, with both."""
+    one, two = upstream.groupBy(by).agg(F.count("*").alias("upstream")), held.groupBy(by).agg(F.count("*").alias("held"))
+    made = one.join(two, by, "full").fillna(0, ["upstream", "held"])
+    return made.where("upstream <> held")

@@ -29,6 +29,15 @@ def fitted_weights(factors: DataFrame, name: str, value: str, hit: Column) -> Da
     return made.withColumn("weight", F.abs("difference") / F.nullif(F.sum(F.abs("difference")).over(Window.partitionBy(F.lit(1))), F.lit(0.0)))  # a row per factor
 
 
+def blended(scores: DataFrame, linear: str, learned: str, weights: tuple[float, float] = (0.6, 0.4), least: float = 0.4) -> DataFrame:
+    """Both scores, how far apart they are, and what is shown: their blend, or the linear one
+    where they are too far apart for its size."""
+    apart = F.abs(F.col(linear) - F.col(learned))
+    agree = F.greatest(F.lit(0.0), 1 - apart / F.greatest(F.abs(linear), F.lit(1.0)))
+    shown = F.when(agree < least, F.col(linear)).otherwise(weights[0] * F.col(linear) + weights[1] * F.col(learned))
+    return scores.withColumns({"divergence": apart, "fell_back": agree < least, "shown": shown})
+
+
 def ranks(scores: DataFrame, excluded: list, key: str = "target_id") -> DataFrame:
     """Ranks from 1 among those not excluded; ties by key."""
     return numbered(scores.where(~F.col(key).isin(excluded)), [F.desc("score"), F.col(key)], "rank")

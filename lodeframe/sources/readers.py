@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -29,6 +29,72 @@ SURVEY_FIELDS = [("hole_id", "string", True, ["holeid", "bhid"]), ("depth", "dou
 LITHOLOGY_FIELDS = [("hole_id", "string", True, ["holeid", "bhid"]), ("from_depth", "double", True, ["from"]), ("to_depth", "double", True, ["to"]), ("rock_code", "string", True, ["lithology", "lith", "code"])]
 ASSAY_FIELDS = [("hole_id", "string", True, ["holeid", "bhid"]), ("sample_id", "string", False, ["sampleid", "sample"]), ("from_depth", "double", True, ["from"]), ("to_depth", "double", True, ["to"])]
 
+GEOCHRONOLOGY_FIELDS = [
+    ("sample_id", "string", True, ["sampleid", "sample", "samplename"]),
+    ("project_id", "string", False, ["projectid", "project"]),
+    ("rock_type", "string", False, ["rocktype", "lithology", "rock", "host"]),
+    ("isotopic_system", "string", True, ["isotopicsystem", "system", "methodsystem"]),
+    ("mineral_dated", "string", False, ["mineral", "mineraldated", "phase"]),
+    ("age_ma", "double", False, ["agema", "age"]),
+    ("age_uncertainty_ma", "double", False, ["ageuncertainty", "ageuncma", "uncertaintyma", "errorma", "sigmama", "2sigmama"]),
+    ("uncertainty_kind", "string", False, ["uncertaintykind", "sigmakind", "sigma", "errorkind"]),
+    ("analytical_method", "string", False, ["analyticalmethod", "method", "technique", "instrument"]),
+    ("laboratory", "string", False, ["lab", "labname", "facility"]),
+    ("publication_ref", "string", False, ["reference", "doi", "citation", "publication", "reportid"]),
+    ("latitude", "double", False, ["lat", "y"]),
+    ("longitude", "double", False, ["lon", "long", "x"]),
+]
+# Isotope systems and kinds of uncertainty, with other spellings.
+ISOTOPE_SYSTEMS = {"U-Pb": ["u-pb", "upb", "u/pb"], "Pb-Pb": ["pb-pb", "pbpb"], "Ar-Ar": ["ar-ar", "arar", "ar/ar", "40ar/39ar"], "K-Ar": ["k-ar", "kar"], "Re-Os": ["re-os", "reos"], "Rb-Sr": ["rb-sr", "rbsr"], "Sm-Nd": ["sm-nd", "smnd"], "Lu-Hf": ["lu-hf", "luhf"], "other": ["other"]}
+UNCERTAINTIES = {"2sigma": ["2sigma", "2σ", "2s", "2sd"], "1sigma": ["1sigma", "1σ", "1s", "1sd"], "unknown": ["unknown", "?", "n/a"]}
+
+
+def with_vendor(fields, aliases: dict[str, list[str]]):
+    """The fields with a vendor's own headers before the common ones."""
+    plain = lambda a: "".join(x for x in a.lower() if x.isalnum())
+    return [(name, kind, need, [*map(plain, aliases.get(name, [])), *known]) for name, kind, need, known in fields]
+
+
+def spelled(text: Column, spellings: dict[str, list[str]]) -> Column:
+    """The name that a text spells, whatever the case; null if none."""
+    plain = F.lower(F.trim(text))
+    return F.coalesce(*[F.when(plain.isin(*ways), F.lit(name)) for name, ways in spellings.items()])
+
+
+def decimal_commas(raw: DataFrame, sample: int = 200) -> list[str]:
+    """Columns of text whose sampled cells are all whole numbers or numbers with a decimal
+    comma, at least one of these, and none with a point."""
+    head = raw.limit(sample)
+    cells = {c: F.trim(F.col(f"`{c}`")) for c, kind in raw.dtypes if kind == "string"}
+    if not cells:
+        return []
+    comma = lambda x: x.rlike(r"^-?\d+,\d+$")
+    made = head.agg(*[(F.coalesce(F.bool_and((x == "") | comma(x) | x.rlike(r"^-?\d+$")) & F.bool_or(comma(x)), F.lit(False))).alias(f"c{k}") for k, x in enumerate(cells.values())]).first()
+    return [c for k, c in enumerate(cells) if made[k]]
+
+
+def with_points(raw: DataFrame) -> DataFrame:
+    """raw with points for decimal commas in the columns that write numbers so."""
+    return raw.withColumns({c: F.regexp_replace(F.col(f"`{c}`"), ",", ".") for c in decimal_commas(raw)})
+
+
+def checked_ages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of geochronology with spelled-out names and a point, and rejected ones with the
+    first reason."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    system, kind = spelled(F.col("isotopic_system"), ISOTOPE_SYSTEMS), spelled(F.col("uncertainty_kind"), UNCERTAINTIES)
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    reason = (
+        F.when(blank(F.col("sample_id")) | blank(F.col("isotopic_system")), "missing_required")
+        .when(system.isNull(), "invalid_isotopic_system")
+        .when(~blank(F.col("uncertainty_kind")) & kind.isNull(), "invalid_uncertainty_kind")
+        .when((F.col("age_ma") < 0) | (F.col("age_uncertainty_ma") < 0), "numeric_cast_failed")
+        .when(~lat.between(-90, 90) | ~lon.between(-180, 180), F.when(lat.isNotNull() & lon.isNotNull(), "latlon_out_of_range"))
+    )
+    made = rows.withColumn("reason", reason)
+    point = F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit("POINT("), lon, F.lit(" "), lat, F.lit(")")))
+    return made.where("reason is null").drop("reason").withColumns({"isotopic_system": system, "uncertainty_kind": kind, "geom_wkt": point}), made.where("reason is not null")
+
 
 def canonical_headers(columns: list[str], fields) -> dict[str, str]:
     """Header to canonical field: by name first, then by alias; the first header wins."""
@@ -53,7 +119,7 @@ def sniff(sample: str) -> str:
 def read_table(spark: SparkSession, path: str, fields, ranges: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted rows with canonical, typed columns, and rejected ones with reasons."""
     head = "\n".join(r.value for r in spark.read.text(path).limit(50).collect())
-    raw = spark.read.csv(path, header=True, sep=sniff(head), mode="PERMISSIVE")
+    raw = with_points(spark.read.csv(path, header=True, sep=sniff(head), mode="PERMISSIVE"))
     named = canonical_headers(raw.columns, fields)
     missing = [n for n, _, need, _ in fields if need and n not in named.values()]
     if missing:
