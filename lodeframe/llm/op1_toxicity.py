@@ -86,10 +86,12 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
     def extract(batches):
         found, y = [], []
         for rb in batches:
-            keys, doc = features(*joined(rb.column(1)))
-            order = np.argsort(doc, kind="stable")
-            bounds = np.searchsorted(doc[order], np.arange(rb.num_rows + 1))
-            found += [np.unique(keys[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            buf, offs = joined(rb.column(1))
+            for first, last in A.slices(offs):
+                keys, doc = features(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
+                order = np.argsort(doc, kind="stable")
+                bounds = np.searchsorted(doc[order], np.arange(last - first + 1))
+                found += [np.unique(keys[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             y += rb.column(2).to_pylist()
         if not found:
             return
@@ -98,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
         blobs = [A.squeeze(every), np.concatenate(places).tobytes(), np.array([len(x) for x in places], np.int64).tobytes(), np.array(y, float).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["keys", "places", "sizes", "labels"])
 
-    dealt = texts.repartition(shards, "id").sortWithinPartitions("id", "label", "text")
+    dealt = small_batches(texts).repartition(shards, "id").sortWithinPartitions("id", "label", "text")
     rows = keep_table(dealt.mapInArrow(extract, "keys binary, places binary, sizes binary, labels binary"))
     keys, z, n = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for _ in range(ROUNDS):
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
 
         def seen(batches):
             for rb in batches:
-                flags = [np.isin(passed, A.unsqueeze(blob), assume_unique=True) for blob in rb.column(0).to_pylist()]
+                flags = [A.find(passed, A.unsqueeze(blob)) >= 0 for blob in rb.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())], ["flags"])
 
         # a bit for each shard and coordinate of the model
