@@ -31,11 +31,11 @@ HELD_BYTES = 24 << 20
 PACKED = "block int, ids binary, sizes binary, texts binary"
 ASKED = "bucket int, block int, body binary, extra binary"
 #: The Arrow batches of whole texts are kept small, since texts may be very long.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df. The session's Arrow batches hold 1,000 rows and 32 MB at most from here on."""
+    """df. The session's Arrow batches hold 1,000 rows and 8 MB at most from here on."""
     for name, value in BATCH.items():
         df.sparkSession.conf.set(name, value)
     return df
