@@ -32,12 +32,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm import arrays as A
 from lodeframe.llm.blocks import small_batches
-from lodeframe.llm.shared import drop_table, keep_table, spare
+from lodeframe.llm.components import components
+from lodeframe.llm.shared import keep_table, spare
+from lodeframe.llm.similar import shingle_sets, similar_sets, text_key
 
 SEED = 42
 #: Fingerprints under keys in one task, on average at most.
@@ -200,26 +202,6 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: a, b. (node, component) of every node with a link; component: the smallest
-    node it reaches. Each round joins every link to the smallest label next to it, then
-    follows labels to their own label; the rounds are logarithmic in a chain's length."""
-    both = keep_table(links.selectExpr("a", "b").union(links.selectExpr("b", "a")))
-    labels = keep_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels.selectExpr("node as b", "label as seen"), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        moved = labels.join(near.selectExpr("a as node", "seen"), "node", "left").selectExpr("node", "label as old", "least(label, seen) as label")
-        # hooking: the smallest label seen next to any member goes to that member's old label too
-        hooked = moved.groupBy("old").agg(F.min("label").alias("root")).withColumnRenamed("old", "node")
-        best = moved.join(hooked.withColumnRenamed("root", "mine"), "node", "left").join(hooked.selectExpr("node as old", "root as theirs"), "old", "left").selectExpr("node", "old", "least(label, mine, theirs) as label")
-        after = keep_table(best)
-        drop_table(labels)
-        if after.where("label <> old").limit(1).count() == 0:
-            drop_table(both)
-            return after.selectExpr("node", "label as component")
-        labels = after.select("node", "label")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable by links of fingerprints."""
     marked = keep_table(fingerprints(docs, shingle, id_col, text_col))
@@ -229,34 +211,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, segments
     return marked.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
-#: A group of this many nodes under a key, or fewer, gives all its pairs at once.
-SMALL = 8
-#: Larger groups are dealt into blocks of this many nodes.
-BLOCK = 4096
 #: Texts in the sample that finds frequent shingles, and how often a shingle has to occur.
 SAMPLED, FREQUENT = 4096, 4
-#: As many sets are compared with one set in one place.
-PLACE = 256
-
-
-def shingle_sets(texts: pa.Array, shingle: int):
-    """The sorted distinct hashes of each text's word shingles. A text with fewer words is
-    one shingle."""
-    texts = texts.cast(pa.large_binary())
-    sizes = np.array([len(t) for t in texts.to_pylist()], np.int64)
-    offs = np.concatenate(([0], np.cumsum(sizes)))
-    buf = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
-    for a, b in A.slices(offs):
-        values, before = A.word_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], lower=True)
-        for k in range(b - a):
-            i, j = int(before[k]), int(before[k + 1])
-            size = min(shingle, j - i)
-            yield np.unique(A.window_hashes(values, range(size), np.arange(i, j - size + 1)))
-
-
-def least_common(threshold: float, x, y):
-    """The least number of shingles that sets of these sizes share at the threshold."""
-    return np.ceil(threshold / (1 + threshold) * (x + y) - 1e-9)
 
 
 def prefix_of(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
@@ -272,83 +228,20 @@ def prefix_of(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, thre
     return np.concatenate((rare, last[np.argsort(rank[at[at >= 0]])][: size - len(rare)]))
 
 
-def parities(shingles: np.ndarray) -> bytes:
-    """512 bits: how many shingles fall into each, modulo two. Sets differ in as many
-    shingles as their parities differ in bits, at least."""
-    return np.packbits(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
-
-
-def fine_parities(shingles: np.ndarray) -> bytes:
-    """Such parities in at least twice as many bits as shingles: long sets fill 512."""
-    bits = max(9, (2 * len(shingles) - 1).bit_length())
-    return np.packbits(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1, bitorder="little").tobytes()
-
-
-def fine_distance(x: bytes, y: bytes) -> int:
-    """In how many bits two fine parities differ, the longer one folded to the shorter."""
-    short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-    while len(long) > len(short):
-        octets = np.unpackbits(long.view(np.uint8), bitorder="little")
-        long = np.packbits(octets[::2] ^ octets[1::2], bitorder="little").view(np.uint64)
-    return int(np.bitwise_count(short ^ long).sum(dtype=np.int64))
-
-
-def may_reach(threshold: float, sx, sy, different) -> np.ndarray:
-    """Whether sets of these sizes may be that similar; different: XOR of their parities."""
-    most = sx + sy - 2 * least_common(threshold, sx, sy)
-    return np.bitwise_count(different).sum(axis=-1, dtype=np.int64) <= most
-
-
-def small_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs of nodes under equal neighbouring keys whose sizes allow the threshold."""
-    found = [np.zeros((0, 2), np.int64)]
-    for d in range(1, SMALL):
-        i = np.flatnonzero(key[:-d] == key[d:])
-        if not len(i):
-            break
-        i = i[np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]) - 1e-9]
-        a, b = node[i], node[i + d]
-        found.append(np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0))
-    return np.unique(np.concatenate(found), axis=0)
-
-
-def group_pairs(size: np.ndarray, parity: np.ndarray, component: np.ndarray, side: np.ndarray | None, threshold: float, nearest: bool):
-    """Pairs of a group, sorted by size, that may be similar and are in different components
-    (and on different sides, where two blocks meet): all of them, or for each node that with
-    the least distance of parities."""
-    reach = np.searchsorted(size, size / threshold + 1e-6, "right")  # up to here sizes allow it
-    low = np.searchsorted(size, size * threshold - 1e-6, "left")
-    for here in range(len(size)):
-        rest = np.arange(low[here] if nearest else here + 1, reach[here])
-        rest = rest[component[rest] != component[here]]
-        if side is not None:
-            rest = rest[side[rest] != side[here]]
-        if len(rest):
-            different = parity[rest] ^ parity[here]
-            rest = rest[good := may_reach(threshold, size[here], size[rest], different)]
-            if nearest and len(rest):
-                rest = rest[[np.argmin(np.bitwise_count(different[good]).sum(axis=1, dtype=np.int64))]]
-            yield here, rest
-
-
 def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents whose sets of word shingles have a Jaccard
-    similarity of at least `threshold`, or are reached by such links. No pair is missed.
-
-    Equal sets are one node. With the shingles of all sets in one order, two sets at the
-    threshold share a shingle among the first n - threshold * n + 1 of each (prefix
-    filtering), so these are the keys under which nodes meet; shingles that are frequent in a
-    sample come last in the order. A small group gives all its pairs. A large one, in blocks
-    by size, is asked in rounds: each node's most alike node of another component, among those
-    that sizes and parities allow, is tested by the exact sets, and what passes joins
-    components, so that a group of copies costs about a pair a node and round. When a round
-    joins few, all allowed pairs that are still in different components are tested.
+    """Components of documents whose sets of word shingles have a Jaccard similarity of at
+    least `threshold` (in whole percent), or are reached by such links. No pair is missed.
+
+    With the shingles of all sets in one order, two sets at the threshold share a shingle
+    among the first n - threshold * n + 1 of each (prefix filtering), so these are the keys
+    under which sets meet (`similar`); shingles that are frequent in a sample come last in the
+    order.
 
     A row each for (doc_id, text_key, component_id, component); component tells the components
     of rows apart that share their smallest id. Null text: empty; texts without words are
     copies of each other. Null id: the row takes no part. Very long texts: whole. Ties: a
     similarity of exactly `threshold` links. Empty table: no rows."""
-    chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    chosen = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
     share = SAMPLED / max(SAMPLED, chosen.count())
 
     def each(batches):
@@ -362,177 +255,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     frequent = often["shingle"].to_numpy(np.int64).view(np.uint64)
     rank = -np.arange(len(frequent))
     rank, frequent = rank[np.argsort(frequent)], np.sort(frequent)
-
-    def mark(batches):
-        for rb in batches:
-            digests, sizes, signs, fines, keys = [], [], [], [], []
-            for s in shingle_sets(rb.column(1), shingle):
-                digests.append(xxhash.xxh128_digest(s.tobytes()))
-                sizes.append(len(s))
-                signs.append(parities(s))
-                fines.append(fine_parities(s))
-                keys.append(prefix_of(s, frequent, rank, threshold).tobytes())
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(fines, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "text_key", "digest", "size", "parity", "fine", "prefix"])
-
-    def spread(batches):
-        for rb in batches:
-            keys = [np.frombuffer(k, np.int64) for k in rb.column(2).to_pylist()]
-            counts = np.array([len(k) for k in keys], np.int64)
-            node, size = (np.repeat(rb.column(k).to_numpy(), counts) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(node), pa.array(size)], ["key", "node", "size"])
-
-    def meet(batches):
-        parts = [rb for rb in batches if rb.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        key, node, size = (table[c].to_numpy() for c in ("key", "node", "size"))
-        order = np.lexsort((node, size, key))
-        key, node, size = key[order], node[order], size[order].astype(np.int64)
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(np.append(begin, len(key)))
-        many = np.repeat(count, count)
-        few = (many > 1) & (many <= SMALL)
-        pairs = small_pairs(key[few], node[few], size[few], threshold)
-        none = np.full(len(pairs), -1, np.int64)
-        yield meeting(none, none, none, none, pairs[:, 0], pairs[:, 1])
-        big = np.flatnonzero(many > SMALL)
-        at = (np.arange(len(key)) - np.repeat(begin, count))[big]
-        yield meeting(key[big], at // BLOCK, (many[big] - 1) // BLOCK + 1, 0 * at, node[big], size[big])
-        last = (at % BLOCK == BLOCK - 1) & (at + 1 < many[big])  # also in the next block, so that blocks can be linked
-        over = big[last]
-        yield meeting(key[over], at[last] // BLOCK + 1, (many[over] - 1) // BLOCK + 1, 0 * at[last] + 1, node[over], size[over])
-
-    def meeting(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "block", "blocks", "guest", "a", "b"])
-
-    def allowed(batches):
-        for rb in batches:
-            sx, x, sy, y = (rb.column(k).to_pylist() for k in range(2, 6))
-            most = np.array(sx, np.int64) + np.array(sy, np.int64)
-            most = most - 2 * least_common(threshold, most, 0)
-            apart = np.array([fine_distance(p, q) for p, q in zip(x, y, strict=True)], np.int64)
-            good = pa.array(apart <= most)
-            yield pa.RecordBatch.from_arrays([x.filter(good) for x in (rb.column(0), rb.column(1), pa.array(apart))], ["a", "b", "distance"])
-
-    def allow(pairs):
-        """The pairs that fine parities allow, and their distance."""
-        fine = nodes.select("node", "size", "fine")
-        return pairs.join(fine.toDF("a", "sx", "x"), "a").join(fine.toDF("b", "sy", "y"), "b").select("a", "b", "sx", "x", "sy", "y").mapInArrow(allowed, "a long, b long, distance long")
-
-    def within(nearest):
-        def run(batches):
-            parts = [rb for rb in batches if rb.num_rows]
-            if not parts:
-                return
-            table = pa.Table.from_batches(parts)
-            key, low, high, block, node, size, component = (table[c].to_numpy() for c in ("key", "low", "high", "block", "node", "size", "component"))
-            order = np.lexsort((node, size, high, low, key))
-            key, low, high, block, node, size, component = (x[order] for x in (key, low, high, block, node, size.astype(np.int64), component))
-            parity = np.frombuffer(b"".join(table["parity"].to_pylist()), np.uint64).reshape(-1, 8)[order]
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                side = block[i:j] if low[i] != high[i] else None
-                out, held = [np.zeros((0, 2), np.int64)], 0
-                for here, rest in group_pairs(size[i:j], parity[i:j], component[i:j], side, threshold, nearest):
-                    out.append(np.stack((np.full(len(rest), node[i + here]), node[i + rest]), axis=1))
-                    held += len(rest)
-                    if held > 1 << 20:
-                        yield linked(np.concatenate(out))
-                        out, held = [np.zeros((0, 2), np.int64)], 0
-                yield linked(np.concatenate(out))
-
-        return run
-
-    def linked(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=-1)), pa.array(pairs.min(axis=1, initial=1 << 62))], ["a", "b"])
-
-    def sets(batches):
-        for rb in batches:
-            _, digests, nodes, centers, salts = (rb.column(k).to_pylist() for k in range(5))
-            out = []
-            for s, digest, node, cs, ss in zip(shingle_sets(rb.column(0), shingle), digests, nodes, centers, salts, strict=True):
-                if xxhash.xxh128_digest(s.tobytes()) == digest:
-                    packed = A.squeeze(s)
-                    out += [(c, k, node, packed) for c, k in zip(cs, ss, strict=True)]
-            for k in range(0, len(out), 500):
-                part = list(zip(*out[k : k + 500], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["center", "salt", "node", "packed"])
-
-    def compare(batches):
-        here, mine = None, None
-        for rb in batches:  # sorted, each center before its nodes
-            out = []
-            for center, salt, node, packed in zip(*(rb.column(k).to_pylist() for k in range(4)), strict=True):
-                found = A.unsqueeze(packed)
-                if node == center:
-                    here, mine = (center, salt), found
-                elif here == (center, salt):
-                    common = len(np.intersect1d(mine, found, assume_unique=True))
-                    if common / (len(mine) + len(found) - common) >= threshold:
-                        out.append((max(node, center), min(node, center)))
-            x = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
-
-    def verified(pairs):
-        """The pairs (a, b) at the threshold, by their exact sets. Sets go where b's set is;
-        if that has many pairs, to one of several places."""
-        places = pairs.join(pairs.groupBy("b").agg(F.ceil(F.count("*") / PLACE).alias("places")), "b")
-        routes = places.selectExpr("a as node", "b as center", "pmod(xxhash64(a), places) as salt").union(places.select("b", "places").distinct().selectExpr("b as node", "b as center", "explode(sequence(0L, places - 1)) as salt"))
-        routes = routes.groupBy("node").agg(F.collect_list(F.struct("center", "salt")).alias("x")).selectExpr("node", "x.center as centers", "x.salt as salts")
-        wanted = routes.join(nodes.selectExpr("node", "digest", "first as doc_id"), "node")
-        sent = chosen.join(wanted, "doc_id").select("text", "digest", "node", "centers", "salts").mapInArrow(sets, "center long, salt long, node long, packed binary")
-        return sent.repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("node") != F.col("center")).mapInArrow(compare, "a long, b long").distinct()
-
-    marked = keep_table(chosen.withColumn("text_key", text_key("text")).mapInArrow(mark, "doc_id long, text_key string, digest binary, size int, parity binary, fine binary, prefix binary"))
-    nodes = keep_table(marked.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("size", "parity", "fine"))).withColumn("node", F.monotonically_increasing_id()))
-    named = marked.select("digest", F.col("doc_id").alias("first"), "prefix").join(nodes.select("digest", "first", "node", "size"), ["digest", "first"])
-    rows = named.select("node", "size", "prefix").mapInArrow(spread, "key long, node long, size int").repartition("key")
-    met = keep_table(rows.mapInArrow(meet, "key long, block long, blocks long, guest long, a long, b long"))
-    signs = nodes.select("node", "size", "parity")
-    few = met.where("block < 0 and a <> b").select("a", "b").distinct()
-    large = met.where("block >= 0").selectExpr("key", "block", "blocks", "guest", "a as node").join(signs, "node")
-    candidates = keep_table(allow(few))
-
-    def apart(found):
-        """Candidates between components, and the cells of large groups with several."""
-        pairs = candidates.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b", "distance")
-        named = large.where("guest = 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        cells = named.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        return pairs, cells.repartition("key", "low", "high")
-
-    spark, tried, most = docs.sparkSession, None, 0
-    found = spark.createDataFrame([], "node long, component long")
-    while True:
-        pairs, cells = apart(found)
-        near = allow(cells.mapInArrow(within(True), "a long, b long").where("a <> b").distinct()).union(pairs)
-        best = near.union(near.select("b", "a", "distance")).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x"))
-        pairs = best.select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
-        asked = keep_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        passed = keep_table(verified(asked))
-        tried = asked if tried is None else tried.union(asked)
-        count = passed.count()
-        found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(passed)), found
-        drop_table(before, passed)
-        most = max(most, count)
-        if 10 * count <= most:
-            break
-    pairs, cells = apart(found)
-    every = cells.mapInArrow(within(False), "a long, b long").where("a <> b").distinct()
-    rest = keep_table(allow(every).union(pairs).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        found = components(found.selectExpr("node as a", "component as b").where("a <> b").union(verified(rest)))
-    drop_table(met, candidates, tried, rest)
-    labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
-    smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    rows = marked.select("doc_id", "text_key", "digest").join(labelled.join(smallest, "component").select("digest", "component", "component_id"), "digest")
-    return rows.select("doc_id", "text_key", "component_id", "component")
-
-
-def text_key(name: str) -> Column:
-    """Tells the texts of rows that share an id apart; null is as empty."""
-    return F.md5(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
+    found = similar_sets(docs, round(100 * threshold), shingle, lambda s: prefix_of(s, frequent, rank, threshold), id_col, text_col)
+    return found.select("doc_id", "text_key", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import op1_toxicity, op2_packing, op3_pii, op4_substring, op5_simhash, op6_suffix, op7_chat, op8_decontam, op9_topk, op10_katz
+from lodeframe.llm import op1_toxicity, op2_packing, op3_pii, op4_substring, op5_simhash, op6_suffix, op7_chat, op8_decontam, op9_topk, op10_katz, op11_parity_join
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontam.query,
     "op9_top_k": op9_topk.query,
     "op10_katz_scores": op10_katz.query,
+    "op11_parity_join": op11_parity_join.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_format": op7_chat.ORACLE,
     "op8_decontaminate": op8_decontam.ORACLE,
     "op9_top_k": op9_topk.ORACLE,
+    "op11_parity_join": op11_parity_join.ORACLE,
 }

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodeframe.llm.op5_simhash import components, fine_distance, fine_parities, fingerprint, forest, group_pairs, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, parities, prefix_of, segments_for, similar_documents
+from lodeframe.llm.components import components
+from lodeframe.llm.op5_simhash import fingerprint, forest, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, prefix_of, segments_for, similar_documents
+from lodeframe.llm.similar import fine_distance, fine_parities, group_pairs, parities
 
 
 def plain_fingerprint(text, n=3):
