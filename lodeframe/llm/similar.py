@@ -282,21 +282,27 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         best = near.union(near.select("b", "a", "distance")).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x"))
         pairs = best.select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
         asked = keep_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if not asked.limit(1).count():
+            drop_table(asked)
+            break
         passed = keep_table(verified(asked))
         tried = asked if tried is None else tried.union(asked)
         count = passed.count()
-        found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(passed)), found
-        drop_table(before, passed)
+        if count:
+            found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(passed)), found
+            drop_table(before)
+        drop_table(passed)
         most = max(most, count)
         if 10 * count <= most:
             break
     pairs, cells = apart(found)
     every = cells.mapInArrow(within(False), "a long, b long").where("a <> b").distinct()
-    rest = keep_table(allow(every).union(pairs).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = allow(every).union(pairs).select("a", "b").distinct()
+    rest = keep_table(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(verified(rest))), found
         drop_table(before)
-    drop_table(met, candidates, tried, rest)
+    drop_table(met, candidates, rest, *([] if tried is None else [tried]))
     labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     rows = marked.select("doc_id", "text_key", "size", "digest").join(labelled.join(smallest, "component").select("digest", "component", "component_id"), "digest")
