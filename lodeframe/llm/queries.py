@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import op1_toxicity, op2_packing, op3_pii, op4_substring, op5_simhash, op6_suffix, op7_chat, op8_decontam, op9_topk, op10_katz, op11_parity_join, op12_prefix_trie
+from lodeframe.llm import op1_toxicity, op2_packing, op3_pii, op4_substring, op5_simhash, op6_suffix, op7_chat, op8_decontam, op9_topk, op10_katz, op11_parity_join, op12_prefix_trie, op13_spelling
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_katz_scores": op10_katz.query,
     "op11_parity_join": op11_parity_join.query,
     "op12_prefix_trie": op12_prefix_trie.query,
+    "op13_spelling_forms": op13_spelling.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_top_k": op9_topk.ORACLE,
     "op11_parity_join": op11_parity_join.ORACLE,
     "op12_prefix_trie": op12_prefix_trie.ORACLE,
+    "op13_spelling_forms": op13_spelling.ORACLE,
 }
