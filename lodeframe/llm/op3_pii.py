@@ -29,6 +29,8 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +162,7 @@ class Region:
         if letters and not email:
             return None  # cannot be any of the kinds
         parts = t.split(".")
-        four = len(parts) == 4 and all(p.isdigit() for p in parts)
+        four = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
         phone, card = bool(_PHONISH.fullmatch(t)), bool(_CARDISH.fullmatch(t))
         if not (email or four or phone or card):
             return None
@@ -278,10 +280,11 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[list[tuple[int, int]
     base = base_spans(text)
     every = [list(x) for x in base]
     taken = sorted(s for x in base for s in x)
-    ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0)
+    starts = [a for a, _ in taken]
+    ends = list(accumulate((b for _, b in taken), max))
     for lo, hi in regions(text):
         for a, b, kind in Region(text[lo:hi]).decode(weights):
-            k = int(np.searchsorted([s for s, _ in taken], lo + b, "left"))
+            k = bisect_left(starts, lo + b)
             if not k or ends[k - 1] <= lo + a:
                 every[kind].append((lo + a, lo + b))
     return base, [sorted(x) for x in every]

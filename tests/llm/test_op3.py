@@ -132,3 +132,22 @@ def test_added_spans(spark, weights):
     one = spark.createDataFrame([(1, "k7" * 20_000 + " " + "4" * 20_000 + " a@b.cd")], "doc_id long, text string")
     assert scan(one, weights).first().n_email == 1
     assert render(base_spans("a@b.c 1.2.3.4")) == "email:0:5,ip:6:13" and KINDS[3] == "phone"
+
+
+@pytest.mark.parametrize("text", ["ip 11.22.²3.44 x", "call 11.22.3².44 now", "12.34.①5.67", "ip ١٢.٣٤.٥٦.٧٨", "card ４111 1111 1111 1111", "+1 ² 555 123 4567", "1.2.3.²"])
+def test_digits_that_are_not_ascii(weights, text):
+    """Superscript, circled, Arabic and full-width digits are no digits of any kind."""
+    base, every = all_spans(text, weights)
+    assert base == [sorted(x) for x in plain(text)]
+    for found in every:
+        assert all(text[a:b].isascii() for a, b in found)
+
+
+def test_long_texts_take_linear_time(weights):
+    seconds = []
+    for n in (1000, 8000):
+        text = "mail a.b@c.de or (269) 555-3296 " * n
+        began = time.perf_counter()
+        assert len(all_spans(text, weights)[1][0]) == n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 8 * 2.5 * seconds[0]
