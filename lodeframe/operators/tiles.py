@@ -30,6 +30,11 @@ def tolerance(zoom: int) -> float:
     return next(metres for below, metres in TOLERANCES if zoom < below)
 
 
+def section_tolerance(zoom: int) -> float:
+    """Of section lines: half a unit of a tile of 256, but not below half a metre (fixed values)."""
+    return max(0.5, 156543.034 / (1 << zoom) * 0.5)
+
+
 def projected(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Web-Mercator metres."""
     return lon / 180 * HALF, F.log(F.tan(F.radians(45 + lat / 2))) / math.pi * HALF
@@ -63,13 +68,13 @@ def simplified(vertices: DataFrame, key: str, order: str, x: str, y: str, metres
     return vertices
 
 
-def line_tiles(vertices: DataFrame, key: str, order: str, x: str, y: str, zoom: int) -> DataFrame:
+def line_tiles(vertices: DataFrame, key: str, order: str, x: str, y: str, zoom: int, metres: float | None = None) -> DataFrame:
     """z, tile_x, tile_y, key, segments, metres: what of each line lies in each tile and its
-    buffer, once simplified for the zoom. A segment meets the tiles of its bounding box and is
+    buffer, once simplified by `metres` or for the zoom. A segment meets the tiles of its bounding box and is
     cut to each by the range of its length that lies between the tile's sides."""
     side, edge = 2 * HALF / (1 << zoom), BUFFER / EXTENT
     w = Window.partitionBy(key).orderBy(order)
-    plain = simplified(vertices, key, order, x, y, tolerance(zoom)).select(key, order, ((F.col(x) + HALF) / side).alias("u"), ((HALF - F.col(y)) / side).alias("v"))
+    plain = simplified(vertices, key, order, x, y, tolerance(zoom) if metres is None else metres).select(key, order, ((F.col(x) + HALF) / side).alias("u"), ((HALF - F.col(y)) / side).alias("v"))
     seg = plain.withColumns({"u1": F.lead("u").over(w), "v1": F.lead("v").over(w)}).where("u1 is not null")
     span = lambda a, b: F.sequence(F.floor(F.least(a, b) - edge).cast("int"), F.floor(F.greatest(a, b) + edge).cast("int"))
     seg = seg.withColumn("tile_x", F.explode(span("u", "u1"))).withColumn("tile_y", F.explode(span("v", "v1")))
@@ -81,5 +86,5 @@ def line_tiles(vertices: DataFrame, key: str, order: str, x: str, y: str, zoom:
         last.append(F.coalesce(F.greatest(*ends), F.lit(1.0)))
     share = F.least(*last) - F.greatest(*first)
     made = seg.withColumn("share", share).where("share > 0")
-    metres = F.hypot(F.col("u1") - F.col("u"), F.col("v1") - F.col("v")) * side * F.col("share")
-    return made.groupBy(F.lit(zoom).alias("z"), "tile_x", "tile_y", key).agg(F.count("*").alias("segments"), F.sum(metres).alias("metres"))
+    shown = F.hypot(F.col("u1") - F.col("u"), F.col("v1") - F.col("v")) * side * F.col("share")
+    return made.groupBy(F.lit(zoom).alias("z"), "tile_x", "tile_y", key).agg(F.count("*").alias("segments"), F.sum(shown).alias("metres"))
