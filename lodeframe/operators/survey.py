@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.functions.geo import directions
+from lodeframe.functions.geo import directions, true_orientation
 
 
 def latest_stations(stations: DataFrame, updated: str) -> DataFrame:
@@ -47,3 +47,37 @@ def interpolate(path: DataFrame, samples: DataFrame, width: float = 50.0) -> Dat
     hit = places.join(seg, ["collar_id", "bin"]).where("at >= depth and at <= depth1").select("collar_id", "at", "depth", *at)
     first = hit.groupBy("collar_id", "at").agg(F.min(F.struct("depth", "at_x", "at_y", "at_z")).alias("p")).select("collar_id", "at", "p.at_x", "p.at_y", "p.at_z")
     return samples.join(first, ["collar_id", "at"], "left")
+
+
+def as_of(rows: DataFrame, states: DataFrame, by: str, at: str, columns: list[str], width: float = 100.0) -> DataFrame:
+    """rows with the columns of the last of `states` at or before their place (null: none, or a
+    null place). Both have `by` and `at`; of several states at one place the largest by the
+    columns, in order, counts. One sort of rows and states together in bins of `width`, and one
+    of the bins' last states, carried from bin to bin; no range is joined."""
+    last = F.max(F.struct(at, *columns))
+    states = states.where(F.col(at).isNotNull()).groupBy(by, at).agg(last.alias("__s")).select(by, at, "__s", F.floor(F.col(at) / width).alias("__bin"))
+    marked = rows.withColumn("__bin", F.floor(F.col(at) / width))
+    placed = marked.where(F.col(at).isNotNull() & F.col(by).isNotNull())
+    every = placed.select(by, at, "__bin", F.struct(*rows.columns).alias("__r"), F.lit(None).cast(states.schema["__s"].dataType).alias("__s")).unionByName(states.withColumn("__r", F.lit(None).cast(rows.schema)))
+    w = Window.partitionBy(by, "__bin").orderBy(F.col(at), F.col("__s").isNull())
+    inner = every.withColumn("__own", F.last("__s", ignorenulls=True).over(w)).where("__r is not null")
+    bins = states.groupBy(by, "__bin").agg(F.max("__s").alias("__s")).unionByName(placed.select(by, "__bin").distinct().withColumn("__s", F.lit(None).cast(states.schema["__s"].dataType)))
+    before = Window.partitionBy(by).orderBy("__bin").rangeBetween(Window.unboundedPreceding, -1)
+    carried = bins.withColumn("__before", F.last("__s", ignorenulls=True).over(before)).where("__s is null").select(by, "__bin", "__before")
+    met = inner.join(carried, [by, "__bin"], "left").withColumn("__s", F.coalesce("__own", "__before"))
+    return met.select("__r.*", *(F.col(f"__s.{c}").alias(c) for c in columns)).unionByName(marked.where(F.col(at).isNull() | F.col(by).isNull()).select(*rows.columns, *(F.lit(None).cast(states.schema["__s"].dataType[c].dataType).alias(c) for c in columns)))
+
+
+def derived(structures: DataFrame, collars: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """structures with true_dip and true_dip_dir, to three digits, filled in where either is
+    null and alpha, beta and the hole's orientation are known. The orientation is the collar's
+    or, with stations (depth, azimuth, dip), that of the last one at or above the depth, and the
+    collar's above the first. collars: collar_id, azimuth, dip, once each."""
+    known = structures.drop("azimuth", "dip") if stations is None else as_of(structures.drop("azimuth", "dip"), stations, "collar_id", "depth", ["azimuth", "dip"])
+    hole = collars.select("collar_id", F.col("azimuth").alias("__a"), F.col("dip").alias("__d"))
+    met = known.join(hole, "collar_id", "left")
+    turn, fall = (F.col("__a"), F.col("__d")) if stations is None else (F.coalesce("azimuth", "__a"), F.coalesce("dip", "__d"))
+    dip, way = true_orientation(F.col("alpha"), F.col("beta"), turn, fall)
+    ready = (F.col("true_dip").isNull() | F.col("true_dip_dir").isNull()) & F.col("alpha").isNotNull() & F.col("beta").isNotNull() & turn.isNotNull() & fall.isNotNull()
+    filled = met.withColumns({"__dip": F.when(ready, F.round(dip, 3)), "__way": F.when(ready, F.round(way, 3))})
+    return filled.withColumns({"true_dip": F.coalesce("__dip", "true_dip"), "true_dip_dir": F.coalesce("__way", "true_dip_dir")}).select(*structures.columns)

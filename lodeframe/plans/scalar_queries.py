@@ -173,4 +173,3 @@ Q["identifier_classes"] = lambda s, d: stage(s, d, "collar").select(classify.ide
 SQL["identifier_classes"] = ctes("collar") + " select case when collar_id % 2 = 0 then 'HOLE_ID_DASHED,COMMODITY_CODE' else 'COMMODITY_CODE' end as classes, case when collar_id % 2 = 0 then 'PLS-22-' || (collar_id % 90) || ',Au' else 'Au' end as tokens, count(*) as n from collar group by 1, 2"
 Q["confidence_levels"] = lambda s, d: table(s, d, "events").groupBy(classify.confidence(F.col("user_id") % 4, F.col("event_id") % 3 == 0, F.col("event_id") % 7 == 0).alias("level")).agg(F.count("*").alias("n"))
 SQL["confidence_levels"] = "select case when event_id % 7 = 0 then 'Low' when user_id % 4 >= 2 then case when event_id % 3 = 0 then 'Medium' else 'High' end when user_id % 4 = 1 then 'Medium' else 'Low' end as level, count(*) as n from events group by 1"
-Q["fuzzy_names"] = lambda s, d: classify.best_match(table(s, d, "nation").select("n_nationkey", F.lower("n_name").alias("name")), "name", ["nation 1", "nation_12", "land 7"], 60.0)

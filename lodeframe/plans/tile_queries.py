@@ -60,18 +60,18 @@ select {ZOOM} as z, tile_x, tile_y, collar_id, count(*) as segments, round(sum(s
 
 
 # Section lines of a project, in three vertices.
-_SECTION = "project_id, concat('section ', hole_id) as section_name, azimuth as azimuth_deg, total_depth * 10 as length_m, collar_id % 50 as buffer_m"
+_SECTION = ["project_id", "concat('section ', hole_id) as section_name", "azimuth as azimuth_deg", "total_depth * 10 as length_m", "collar_id % 50 as buffer_m"]
 
 
 def _sections(s, d):
-    rows = stage(s, d, "collar").where("project_id = 3").selectExpr("collar_id", "easting * 10 as x", "northing * 10 as y", *_SECTION.split(", "))
+    rows = stage(s, d, "collar").where("project_id = 3").selectExpr("collar_id", "easting * 10 as x", "northing * 10 as y", *_SECTION)
     ends = rows.selectExpr("collar_id", "explode(array(struct(0 as k, x, y), struct(1 as k, x + 2 * length_m as x, y + buffer_m * 40 as y), struct(2 as k, x + 3 * length_m as x, y - length_m as y))) as p")
     shown = tiles.line_tiles(ends.select("collar_id", "p.k", "p.x", "p.y"), "collar_id", "k", "x", "y", ZOOM, tiles.section_tolerance(ZOOM))
     return shown.join(rows.select("collar_id", "section_name", "azimuth_deg", "length_m", "buffer_m"), "collar_id").withColumn("metres", F.round("metres", 3))
 
 
 Q["tile_section_lines"] = _sections
-SQL["tile_section_lines"] = ctes("collar") + f""", r as (select collar_id, easting * 10 as x, northing * 10 as y, {_SECTION} from collar where project_id = 3
+SQL["tile_section_lines"] = ctes("collar") + f""", r as (select collar_id, easting * 10 as x, northing * 10 as y, {', '.join(_SECTION)} from collar where project_id = 3
 ), p as (select *, x + 2 * length_m as x1, y + buffer_m * 40 as y1, x + 3 * length_m as x2, y - length_m as y2 from r
 ), k as (select *, abs((x2 - x) * (y1 - y) - (y2 - y) * (x1 - x)) / sqrt((x2 - x) ** 2 + (y2 - y) ** 2) > {tiles.section_tolerance(ZOOM)!r} as bent from p
 ), s as (select collar_id, x, y, case when bent then x1 else x2 end as xe, case when bent then y1 else y2 end as ye from k union all select collar_id, x1, y1, x2, y2 from k where bent
