@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.sources.shared import keep_table
+
 
 def chunks(docs: DataFrame, text: str, size: int = 1500, overlap: int = 200, prefix: int = 0, keep_stepping: bool = True) -> DataFrame:
     """Windows of a text: `size` characters less a prefix, stepping by the rest of the
@@ -41,18 +44,112 @@ def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "query_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, sparse score. Texts are split once; of their terms only those of the
-    queries are counted."""
-    asked = terms(queries, query_key, text).select(query_key, "term")
-    split = docs.select(key, F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
+def impacts(docs: DataFrame, asked: DataFrame, key: str, text: str, k1: float, b: float) -> DataFrame:
+    """term, doc_id, part: what a term of the queries adds to a document's BM25 score."""
+    split = docs.select(F.col(key).cast("long").alias("doc_id"), F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
     row = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl")).first()  # two numbers
     n, mean = row["n"], row["avgdl"] or 1.0
-    found = split.select(key, F.size("words").alias("dl"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    found = split.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = keep_table(found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    return found.join(df, "term").join(asked, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    return found.join(df, "term").select("term", "doc_id", part.alias("part"))
+
+
+def best_sums(starts: np.ndarray, docs: np.ndarray, parts: np.ndarray, lists: np.ndarray, most: np.ndarray, count: int, k: int, floor: float, slack: float, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Documents (numbers below `count`) and sums of those that may be among the k largest, at
+    least `floor`. lists: the terms' posting lists, `most` the largest part in each. Lists are
+    read from the largest maximum on. Once what is left can't lift an unseen document to the
+    threshold, only documents that may still reach it are looked up. seen: gets the number of
+    postings read."""
+    order = lists[np.argsort(-most[lists], kind="stable")]
+    rest = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)  # at most, from each list on
+    total = np.zeros(count)
+    chosen = None
+    for i, t in enumerate(order.tolist()):
+        a, b = starts[t], starts[t + 1]
+        if chosen is None:
+            if rest[i] < floor - slack:
+                chosen = np.flatnonzero(total > 0)
+            else:
+                total[docs[a:b]] += parts[a:b]
+                if seen is not None:
+                    seen.append(b - a)
+                if i % 8 == 7 and count > k:
+                    floor = max(floor, float(np.partition(total, count - k)[count - k]))
+                continue
+        chosen = chosen[total[chosen] + rest[i] >= floor - slack]
+        at = np.searchsorted(docs[a:b], chosen)
+        at[at == b - a] = 0
+        hit = docs[a:b][at] == chosen
+        total[chosen[hit]] += parts[a:b][at[hit]]
+        if seen is not None:
+            seen.append(len(chosen))
+    chosen = np.flatnonzero(total > 0) if chosen is None else chosen
+    return chosen[total[chosen] >= floor - slack], total[chosen[total[chosen] >= floor - slack]]
+
+
+def sparse_best(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query_key: str = "query_id", text: str = "text", k1: float = 1.2, b: float = 0.75, digits: int = 6, query_rows: int = 4096, postings: int = 1 << 21) -> DataFrame:
+    """query_key, doc_id, score (BM25, rounded), rank of each query's `k` best documents; ties
+    to the smaller id. Postings of the queries' terms are dealt by document into shards, queries
+    into groups; a tile of both hands on the k best of each query, so that no pair of a query
+    and a document is written but those. A query's k-th best in the first shard is a threshold
+    in all others: lists whose maxima can't reach it are not read."""
+    asked = keep_table(terms(queries, query_key, text).select(F.col(query_key).alias("query_id"), "term"))
+    held = keep_table(impacts(docs, asked, key, text, k1, b))
+    sizes = asked.agg(F.count_distinct("query_id").alias("q")).first()["q"], held.count()
+    groups, shards = max(1, -(-sizes[0] // query_rows)), max(1, -(-sizes[1] // postings), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).cast("int")
+    among = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind = dict(asked.dtypes)["query_id"]
+    slack = 2 * 10.0**-digits
+
+    def tile(left, right):
+        out = []
+        if left.num_rows and right.num_rows:
+            words = right["term"].combine_chunks().dictionary_encode()
+            code, parts = words.indices.to_numpy(), right["part"].to_numpy()
+            ids, doc = np.unique(right["doc_id"].to_numpy(), return_inverse=True)
+            order = np.lexsort((doc, code))
+            code, doc, parts = code[order], doc[order], parts[order]
+            starts = np.searchsorted(code, np.arange(len(words.dictionary) + 1))
+            most = np.maximum.reduceat(parts, starts[:-1])
+            at = pc.index_in(left["term"].combine_chunks(), words.dictionary)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            which = at.fill_null(-1).to_numpy()[known]
+            query = left["query_id"].combine_chunks().dictionary_encode()
+            row = query.indices.to_numpy()
+            floors = np.full(len(query.dictionary), -np.inf)
+            floors[row] = left["floor"].to_numpy()
+            row = row[known]
+            sort = np.argsort(row, kind="stable")
+            row, which = row[sort], which[sort]
+            cuts = np.searchsorted(row, np.arange(len(query.dictionary) + 1))
+            for q in range(len(query.dictionary)):
+                lists = which[cuts[q] : cuts[q + 1]]
+                if not len(lists):
+                    continue
+                found, total = best_sums(starts, doc, parts, lists, most, len(ids), k, floors[q], slack)
+                total = np.round(total, digits)
+                best = np.lexsort((found, -total))[:k]
+                out.append((np.full(len(best), q), ids[found[best]], total[best]))
+        if not out:
+            return pa.table({"query_id": left["query_id"].slice(0, 0), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        q, d, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query_id": query.dictionary.take(pa.array(q)), "doc_id": d, "score": s})
+
+    def best(first: bool, floors: DataFrame) -> DataFrame:
+        of_shard = (F.col("s") == 0) if first else (F.col("s") > 0)
+        known = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        left = known.select("query_id", "term", "floor", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("g"), among(shards).alias("s")).where(of_shard)
+        right = held.select("term", "doc_id", "part", shard.alias("s")).where(of_shard).select("*", among(groups).alias("g"))
+        return left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInArrow(tile, f"query_id {kind}, doc_id long, score double")
+
+    none = asked.select("query_id", F.lit(0.0).alias("floor")).limit(0)
+    found = keep_table(best(True, none))
+    floors = found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "floor")
+    return ranked(found.unionByName(best(False, floors)).withColumnRenamed("query_id", query_key), [query_key], "score", "doc_id", k)
 
 
 def dense_top(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", rows: int = 16_384, digits: int = 6) -> DataFrame:

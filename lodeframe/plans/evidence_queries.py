@@ -36,14 +36,14 @@ select doc_id, cast(len(list_distinct(w)) as integer) as vocabulary, round(len(l
 
 # ranking
 _asked = lambda s, d: table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-_sparse = lambda s, d: retrieval.bm25(table(s, d, "documents").select("doc_id", "text"), _asked(s, d))
+_sparse = lambda s, d, k: retrieval.sparse_best(table(s, d, "documents").select("doc_id", "text"), _asked(s, d), k)
 BM25 = r"""with w as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents
 ), t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from w) group by 1, 2
 ), q as (select distinct item_id as query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from benchmark
 ), df as (select term, count(*) as df from t group by 1), st as (select count(*) as n, avg(len(w)) as avgdl from w
 ), bm as (select query_id, t.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w.w) / avgdl))) as score
   from q join t using (term) join df using (term) join w on w.doc_id = t.doc_id, st group by 1, 2)"""
-Q["sparse_top"] = lambda s, d: retrieval.ranked(_sparse(s, d).withColumn("score", _r(F.col("score"))), ["query_id"], "score", "doc_id", 20)
+Q["sparse_top"] = lambda s, d: _sparse(s, d, 20)
 SQL["sparse_top"] = BM25 + " select * from (select query_id, doc_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as integer) as rank from bm) where rank <= 20"
 
 
@@ -55,11 +55,11 @@ DENSE = """de as (select query_id, doc_id, score, cast(row_number() over (partit
   select a.vec_id as query_id, b.vec_id as doc_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id))"""
 Q["dense_top"] = lambda s, d: _dense(s, d, 10)
 SQL["dense_top"] = "with " + DENSE + " select * from de where rank <= 10"
-Q["hybrid_fusion"] = lambda s, d: retrieval.fuse([retrieval.ranked(_sparse(s, d).withColumn("score", _r(F.col("score"))), ["query_id"], "score", "doc_id", 100), _dense(s, d, 100)], ["query_id", "doc_id"]).withColumn("rrf", _r(F.col("rrf"), 8))
+Q["hybrid_fusion"] = lambda s, d: retrieval.fuse([_sparse(s, d, 100), _dense(s, d, 100)], ["query_id", "doc_id"]).withColumn("rrf", _r(F.col("rrf"), 8))
 SQL["hybrid_fusion"] = BM25 + ", " + DENSE + """, sp as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from bm
 ), u as (select query_id, doc_id, rank from sp where rank <= 100 union all select query_id, doc_id, rank from de where rank <= 100)
 select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 8) as rrf from u group by 1, 2"""
-Q["diverse_evidence"] = lambda s, d: retrieval.mmr(retrieval.ranked(_sparse(s, d).withColumn("score", _r(F.col("score"))), ["query_id"], "score", "doc_id", 20).join(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "query_id", "doc_id", 5)
+Q["diverse_evidence"] = lambda s, d: retrieval.mmr(_sparse(s, d, 20).join(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "query_id", "doc_id", 5)
 _evidence = lambda s, d: stage(s, d, "usage")
 Q["round_robin"] = lambda s, d: retrieval.round_robin(_evidence(s, d), "user_id", "event_type", [F.desc("cost"), F.col("event_id")], ["purchase", "view"], 12).select("user_id", "event_id", "position")
 SQL["round_robin"] = ctes("usage") + """, t as (select *, row_number() over (partition by user_id, event_type order by cost desc, event_id) as turn, case event_type when 'purchase' then 1 when 'view' then 2 else 3 end as f from usage
