@@ -46,11 +46,15 @@ def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def impacts(docs: DataFrame, asked: DataFrame, key: str, text: str, k1: float, b: float) -> DataFrame:
     """term, doc_id, part: what a term of the queries adds to a document's BM25 score."""
-    split = docs.select(F.col(key).cast("long").alias("doc_id"), F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
-    row = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl")).first()  # two numbers
-    n, mean = row["n"], row["avgdl"] or 1.0
-    found = split.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    found = keep_table(found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")))
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    split = docs.select(F.col(key).cast("long").alias("doc_id"), words.alias("words"))
+    wanted = asked.select("term").unionByName(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    # the empty term stands for the document, so that one pass over the texts also counts them
+    found = split.select("doc_id", F.size("words").alias("dl"), F.explode(F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+    found = keep_table(found.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")))
+    row = found.where("term = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("dl")).alias("words"), F.sum(F.when(F.col("dl").isNotNull(), F.col("tf"))).alias("texts")).first()  # three numbers
+    n, mean = row["n"] or 0, (row["words"] or 0) / (row["texts"] or 1) or 1.0
+    found = found.where("term <> ''")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
@@ -177,10 +181,12 @@ def dense_top(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id",
             for at in range(0, len(ids), 512):
                 score = np.round(a[at : at + 512] @ b.T, digits)
                 score[(ids[at : at + 512, None] == other[None, :]) | np.isnan(score)] = -np.inf
-                for q, line in zip(ids[at : at + 512], score, strict=True):
-                    best = np.argsort(-line, kind="stable")[:k]
-                    best = best[line[best] > -np.inf]
-                    out.append((np.full(len(best), q), other[best], line[best]))
+                least = np.partition(score, -k, axis=1)[:, -k] if len(other) > k else np.full(len(score), -np.inf)
+                row, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                sort = np.lexsort((col, -score[row, col], row))
+                row, col = row[sort], col[sort]
+                first = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+                out.append((ids[at + row[first]], other[col[first]], score[row[first], col[first]]))
         q, d, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query_id": q, "doc_id": d, "score": s})
 
