@@ -61,15 +61,14 @@ def spelled(text: Column, spellings: dict[str, list[str]]) -> Column:
     return F.coalesce(*[F.when(plain.isin(*ways), F.lit(name)) for name, ways in spellings.items()])
 
 
-def decimal_commas(raw: DataFrame, sample: int = 200) -> list[str]:
-    """Columns of text whose sampled cells are all whole numbers or numbers with a decimal
-    comma, at least one of these, and none with a point."""
-    head = raw.limit(sample)
+def decimal_commas(raw: DataFrame) -> list[str]:
+    """Columns of text whose cells are all whole numbers or numbers with a decimal comma, at
+    least one of these, and none with a point. One aggregate over all rows decides."""
     cells = {c: F.trim(F.col(f"`{c}`")) for c, kind in raw.dtypes if kind == "string"}
     if not cells:
         return []
     comma = lambda x: x.rlike(r"^-?\d+,\d+$")
-    made = head.agg(*[(F.coalesce(F.bool_and((x == "") | comma(x) | x.rlike(r"^-?\d+$")) & F.bool_or(comma(x)), F.lit(False))).alias(f"c{k}") for k, x in enumerate(cells.values())]).first()
+    made = raw.agg(*[(F.coalesce(F.bool_and((x == "") | comma(x) | x.rlike(r"^-?\d+$")) & F.bool_or(comma(x)), F.lit(False))).alias(f"c{k}") for k, x in enumerate(cells.values())]).first()
     return [c for k, c in enumerate(cells) if made[k]]
 
 
