@@ -149,3 +149,13 @@ def from_utm(easting: Column, northing: Column, zone: int) -> tuple[Column, Colu
     c = F.asin(F.sin(x) / F.cosh(e))
     lat = c + sum((d * F.sin(2 * j * c) for j, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
     return 6 * zone - 183 + F.degrees(F.atan2(F.sinh(e), F.cos(x))), F.degrees(lat)
+
+
+def hex_parent(q: Column, r: Column) -> tuple[Column, Column]:
+    """The axial key of the larger hexagon (of seven) that a hexagon belongs to. Parents' centres
+    are the hexagons 2a - b, a + 3b; each other hexagon touches exactly one of these. With the
+    place among the seven known from q + 5r modulo 7, all is whole numbers."""
+    place = F.pmod(q + 5 * r, F.lit(7))
+    step = lambda of: F.element_at(F.array(*map(F.lit, of)), (place + 1).cast("int"))
+    a, b = q - step([0, 1, 0, 1, -1, 0, -1]), r - step([0, 0, -1, -1, 1, 1, 0])
+    return ((3 * a + b) / 7).cast("long"), ((2 * b - a) / 7).cast("long")

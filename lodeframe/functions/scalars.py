@@ -27,6 +27,8 @@ def collapsed(c: Column) -> Column:
 
 
 def lookup(values: dict[str, str], c: Column) -> Column:
+    if not values:
+        return F.lit(None).cast("string")
     return F.element_at(F.create_map(*map(F.lit, chain(*values.items()))), c)
 
 
@@ -111,7 +113,7 @@ def any_date(c: Column, formats: list[str] = DATE_FORMATS) -> Column:
 
 
 def delimited(c: Column, mark: str = ",") -> Column:
-    return F.filter(F.transform(F.split(c, mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def yes_no(c: Column) -> Column:

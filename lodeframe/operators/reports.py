@@ -172,3 +172,25 @@ def bumped(versions: DataFrame, commits: DataFrame, key: list[str]) -> DataFrame
     """Version counters after commits: one more for each that succeeded."""
     done = commits.where("succeeded").groupBy(*key).agg(F.count("*").alias("__n"))
     return versions.join(done, key, "full").select(*key, (F.coalesce("version", F.lit(0)) + F.coalesce("__n", F.lit(0))).cast("long").alias("version"))
+
+
+def window_deltas(rows: DataFrame, ts: str, days: int, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """by, starts (the first day of a window of `days`, counted from 1970-01-01), the measures,
+    and how each differs from the window before, where a missing one counts as 0."""
+    number = F.floor(F.unix_seconds(ts) / (86_400 * days))
+    per = rows.where(F.col(ts).isNotNull()).groupBy(*by, number.alias("__k")).agg(*(c.alias(n) for n, c in measures.items()))
+    w = Window.partitionBy(*by).orderBy("__k")
+    adjoins = F.lag("__k").over(w) == F.col("__k") - 1
+    deltas = [(F.col(n) - F.when(adjoins, F.lag(n).over(w)).otherwise(0)).alias(f"{n}_delta") for n in measures]
+    starts = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("__k") * days).cast("int")).cast("string")
+    return per.select(*by, starts.alias("starts"), *measures, *deltas)
+
+
+def recent(rows: DataFrame, ts: str, minutes: int, by: list[str], cost: str, now: Column | None = None) -> DataFrame:
+    """n and spent of each group in the last minutes up to `now` (the latest row, if not given),
+    where anything was spent."""
+    if now is None:
+        latest = rows.agg(F.max(ts).alias("__now"))  # one row
+        rows, now = rows.crossJoin(F.broadcast(latest)), F.col("__now")
+    inside = (F.col(ts) > now - F.make_interval(mins=F.lit(minutes))) & (F.col(ts) <= now)
+    return rows.where(inside).groupBy(*by).agg(F.count("*").alias("n"), F.sum(cost).alias("spent")).where("spent > 0")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.functions.geo import hex_cell, hex_parent
+
 
 def near(a: DataFrame, b: DataFrame, metres: float, x: str = "easting", y: str = "northing") -> DataFrame:
     """Rows of a and b within a distance; columns are prefixed a_ and b_. b is listed in the
@@ -35,3 +37,22 @@ def every_nth(points: DataFrame, by: list[str], order: list[str], cap: int) -> D
     made = points.withColumns({"__n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(*order)) - 1})
     step = F.greatest(F.ceil(F.col("__n") / cap), F.lit(1))
     return made.where(F.col("__k") % step == 0).drop("__n", "__k")
+
+
+def hex_levels(points: DataFrame, size: float, levels: int, counts: dict[str, Column], x: str = "easting", y: str = "northing") -> DataFrame:
+    """level (0: hexagons of `size` from centre to corner), cell and the counts (sums of rows:
+    counts and sums alone add up), at every level from one pass over the points. A coarser
+    hexagon is seven of the level below, so its counts are theirs added up. Points without a
+    place are in no cell. size: above 0; levels: 1 to 15."""
+    if size <= 0 or not 1 <= levels <= 15:
+        raise ValueError(f"size {size}, levels {levels}")
+    key = F.split(hex_cell(F.col(x), F.col(y), size), ":")
+    fine = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key[0].cast("long").alias("__q"), key[1].cast("long").alias("__r")).agg(*(c.alias(n) for n, c in counts.items()))
+    q, r, every = F.col("__q"), F.col("__r"), []
+    named = fine
+    for level in range(levels):
+        if level:
+            named = named.withColumns(dict(zip((f"__q{level}", f"__r{level}"), hex_parent(q, r), strict=True)))
+            q, r = F.col(f"__q{level}"), F.col(f"__r{level}")
+        every.append(F.struct(F.lit(level).alias("level"), F.concat_ws(":", q, r).alias("cell")))
+    return named.select(F.explode(F.array(*every)).alias("c"), *counts).groupBy("c.level", "c.cell").agg(*(F.sum(n).alias(n) for n in counts))
