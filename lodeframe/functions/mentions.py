@@ -129,11 +129,12 @@ def read_attitudes(text: str) -> list[tuple]:
     measurement. What a surer pattern has read no other reads. A bare pair needs the word of a
     structure near it. Dips go to the right of the strike, or to the side of the quadrant."""
     out: list[tuple] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # apart from each other, in order
     for rule, pattern in ATTITUDES:
         for m in re.finditer(pattern, text, re.IGNORECASE | re.DOTALL):
             a, b = m.span()
-            if any(a < end and start < b for start, end in taken):
+            k = bisect_left(taken, (b,))  # the last one that begins before the end
+            if k and taken[k - 1][1] > a:
                 continue
             said = m.groupdict()
             first, second = float(said.get("strike") or said.get("alpha")), float(said.get("dip") or said.get("beta"))
@@ -153,7 +154,7 @@ def read_attitudes(text: str) -> list[tuple]:
                 side = QUADRANTS.get((said["quad"] or "").lower())
                 left = side is not None and (side - first) % 360 > 180
                 out.append((kind, None, None, second, (first - 90 if left else first + 90) % 360, m[0].strip()))
-            taken.append((a, b))
+            taken.insert(k, (a, b))
     return out
 
 
@@ -172,6 +173,7 @@ def read_coordinates(text: str) -> list[tuple]:
     data = sorted(((m.start() + m.end()) / 2, re.sub(r"\s+", "", m[0]).upper()) for m in re.finditer(DATUM, text, re.IGNORECASE))
     centres = [c for c, _ in data]
     out: list[tuple] = []
+    seen: set[str] = set()
     for kind, pattern in COORDINATES:
         for m in re.finditer(pattern, text, re.IGNORECASE):
             g, place = m.groups(), (None,) * 6
@@ -179,7 +181,7 @@ def read_coordinates(text: str) -> list[tuple]:
                 zone, east, north = int(g[0]), float(g[2]), float(g[3])
                 if not (1 <= zone <= 60 and 1e5 <= east <= 9e5 and north <= 1e7):
                     continue
-                if kind == "utm_terse" and (not re.search(TERSE_CONTEXT, text[max(0, m.start() - NEAR_CONTEXT) : m.end() + NEAR_CONTEXT], re.IGNORECASE) or any(o[1] == m[0] for o in out)):
+                if kind == "utm_terse" and (not re.search(TERSE_CONTEXT, text[max(0, m.start() - NEAR_CONTEXT) : m.end() + NEAR_CONTEXT], re.IGNORECASE) or m[0] in seen):
                     continue
                 place = (None, None, zone, g[1].upper(), east, north)
             else:
@@ -191,6 +193,7 @@ def read_coordinates(text: str) -> list[tuple]:
                 if abs(lat) > 90 or abs(lon) > 180:
                     continue
                 place = (lat, lon, None, None, None, None)
+            seen.add(m[0])
             middle = (m.start() + m.end()) / 2
             k = bisect_left(centres, middle)
             near = min(data[max(0, k - 1) : k + 1], key=lambda d: abs(d[0] - middle), default=None)

@@ -79,15 +79,15 @@ def curve_intervals(logs: DataFrame, curve: str, limits: list[tuple[float, str]]
     w = Window.partitionBy("collar_id").orderBy("depth", "value")
     made = points.withColumn("label", label).withColumn("__new", (~F.col("label").eqNullSafe(F.lag("label").over(w))).cast("int"))
     made = made.withColumn("band", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bands = made.groupBy("collar_id", "band", "label").agg(F.min("depth").alias("lo"), F.max("depth").alias("hi")).groupBy("collar_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "label"))).alias("b"))
-
-    def fold(out, x):
-        last = F.element_at(out, -1)
-        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["lo"].alias("lo"), x["hi"].alias("hi"), last["label"].alias("label"))))
-        return F.when((F.size(out) > 0) & ((x["hi"] - x["lo"] < least) | (last["label"] == x["label"])), joined).otherwise(F.concat(out, F.array(x)))
-
-    start = F.expr("cast(array() as array<struct<lo: double, hi: double, label: string>>)")
-    return bands.select("collar_id", F.inline(F.aggregate("b", start, fold)))
+    bands = made.groupBy("collar_id", "band", "label").agg(F.min("depth").alias("lo"), F.max("depth").alias("hi"))
+    # a hole's first band stands; of the others thin ones only lengthen what is before them
+    w = Window.partitionBy("collar_id").orderBy("lo", "hi", "label")
+    stands = (F.row_number().over(w) == 1) | (F.col("hi") - F.col("lo") >= least)
+    bands = bands.withColumn("kept", F.when(stands, F.col("label")))
+    before = F.last("kept", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bands = bands.withColumn("__new", (F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(before)).cast("int"))
+    bands = bands.withColumn("group", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return bands.groupBy("collar_id", "group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.when(F.col("__new") == 1, F.col("kept"))).alias("label")).drop("group")
 
 
 def graph_frames(collars: DataFrame, assays: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import classify, mentions
 from lodeframe.operators import ingest, targets
-from lodeframe.plans.stage import ctes, stage, table
+from lodeframe.plans.stage import ctes, stage, table, varied
 from lodeframe.sources import readers
 
 Q, SQL = {}, {}
@@ -47,9 +47,9 @@ _NAMED = [
     ("The Qualified Persons John Smith, P.Eng. and Dr. Ann Lee, QP", [("person", 0, "John Smith"), ("person", 1, "Ann Lee")]),
     ("nothing here", []),
 ]
-Q["text_names"] = lambda s, d: mentions.names(s.createDataFrame([(k, t) for k, (t, _) in enumerate(_NAMED)], "id int, t string"), ["id"], "t")
+Q["text_names"] = lambda s, d: mentions.names(varied(s, d, "orders", "o_orderkey", [x[:1] for x in _NAMED], "t string"), ["o_orderkey"], "t")
 _quoted = lambda n: n.replace("'", "''")
-SQL["text_names"] = "select * from (values " + ", ".join(f"({k}, '{kind}', {at}, '{_quoted(n)}')" for k, (_, found) in enumerate(_NAMED) for kind, at, n in found) + ") v(id, kind, place, name)"
+SQL["text_names"] = "select o_orderkey, kind, place, name from orders join (values " + ", ".join(f"({k}, '{kind}', {at}, '{_quoted(n)}')" for k, (_, found) in enumerate(_NAMED) for kind, at, n in found) + f") v(k, kind, place, name) on o_orderkey % {len(_NAMED)} = k"
 _mentioned = lambda s, d: table(s, d, "orders").selectExpr("o_custkey as c_custkey", "o_orderkey as place", "case when o_orderkey % 4 = 0 then 'laboratory' else 'contractor' end as kind", "concat('N', cast(o_orderkey as string)) as name")
 Q["filled_names"] = lambda s, d: ingest.filled(table(s, d, "customer").selectExpr("c_custkey", "case when c_custkey % 3 = 0 then 'Known' when c_custkey % 3 = 1 then ' ' end as contractor", "cast(null as string) as lab"), _mentioned(s, d), "c_custkey", {"contractor": "contractor", "lab": "laboratory"})
 SQL["filled_names"] = """select c_custkey, case when c_custkey % 3 = 0 then 'Known' else (select 'N' || min(o_orderkey) from orders where o_custkey = c_custkey and o_orderkey % 4 <> 0) end as contractor, (select 'N' || min(o_orderkey) from orders where o_custkey = c_custkey and o_orderkey % 4 = 0) as lab from customer"""
@@ -65,8 +65,8 @@ select a || ' ' || b as q, n, case when h and s + o + g + p = 0 then 'factual_lo
 
 _DOMAINS = [("filename", r"\bassay\b", "geochemistry", "core", 0.45, "filename:assay"), ("filename", r"\bgeochem(?:istry)?\b", "geochemistry", None, 0.3, "filename:geochem"), ("filename", r"\bgravity[\s_-]*survey\b", "geophysics", "gravity", 0.5, "filename:gravity"), ("extension", ".las", "geophysics", None, 0.35, "ext:las"), ("extension", ".dxf", "geology", None, 0.15, "ext:dxf"), ("content", r"\bQualified Person\b", "reports", None, 0.2, "content:qp"), ("content", r"NI[\s-]*43[\s-]*101", "reports", "ni43", 0.35, "content:ni43")]
 _FILES = [("PLS_assay_geochem.csv", "", "geochemistry:core:0.75:filename:assay,filename:geochem"), ("a-gravity-survey.LAS", "by a qualified person, NI 43-101", "geophysics:gravity:0.85:ext:las,filename:gravity;reports:ni43:0.55:content:ni43,content:qp"), ("x.dxf", "a qualified person", ""), ("geochem.las", None, "geophysics::0.35:ext:las;geochemistry::0.3:filename:geochem")]
-Q["domain_tags"] = lambda s, d: s.createDataFrame([(k, f, t) for k, (f, t, _) in enumerate(_FILES)], "k int, f string, t string").select("k", F.array_join(F.transform(mentions.domains(F.col("f"), F.col("t"), _DOMAINS), lambda x: F.concat_ws(":", x["domain"], F.coalesce(x["sub_type"], F.lit("")), x["confidence"].cast("string"), F.array_join(x["labels"], ","))), ";").alias("tags"))
-SQL["domain_tags"] = "select * from (values " + ", ".join(f"({k}, '{w}')" for k, (*_, w) in enumerate(_FILES)) + ") v(k, tags)"
+Q["domain_tags"] = lambda s, d: varied(s, d, "documents", "doc_id", [x[:2] for x in _FILES], "f string, t string").select("doc_id", F.array_join(F.transform(mentions.domains(F.col("f"), F.col("t"), _DOMAINS), lambda x: F.concat_ws(":", x["domain"], F.coalesce(x["sub_type"], F.lit("")), x["confidence"].cast("string"), F.array_join(x["labels"], ","))), ";").alias("tags"))
+SQL["domain_tags"] = "select doc_id, tags from documents join (values " + ", ".join(f"({k}, '{w}')" for k, (*_, w) in enumerate(_FILES)) + f") v(k, tags) on doc_id % {len(_FILES)} = k"
 
 # steps from landed rows
 Q["survey_lines"] = lambda s, d: ingest.survey_lines(stage(s, d, "collar"), "project_id", "collar_id", "easting", "northing", ["elevation"], 7)

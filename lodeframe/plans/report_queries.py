@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import charts, classify
 from lodeframe.operators import quality, reports
-from lodeframe.plans.stage import ctes, stage, table
+from lodeframe.plans.stage import ctes, stage, table, varied
 
 Q, SQL = {}, {}
 _r = lambda c, n=4: F.round(c, n)
@@ -147,19 +147,19 @@ SQL["authority_order"] = ctes("usage") + ", r as (select user_id, event_id, cast
 Q["floor_trim"] = lambda s, d: reports.trimmed(stage(s, d, "usage"), "user_id", "event_type", [F.desc("cost"), F.col("event_id")], "cost", 30000, 1).select("user_id", "event_id")
 SQL["floor_trim"] = ctes("usage") + """, a as (select *, row_number() over (partition by user_id, event_type order by cost desc, event_id) = 1 as f from usage
 ), b as (select *, sum(case when f then cost else 0 end) over (partition by user_id) + sum(case when f then 0 else cost end) over (partition by user_id order by cost desc, event_id rows unbounded preceding) as t from a) select user_id, event_id from b where f or t <= 30000"""
-Q["authority_patterns"] = lambda s, d: s.createDataFrame([(k, t) for k, t in enumerate(AUTHORITY_SAMPLES)], "k int, t string").select("t", classify.authority_rank(F.col("t")).alias("rank"))
+Q["authority_patterns"] = lambda s, d: varied(s, d, "orders", "o_orderkey", [(t,) for t in AUTHORITY_SAMPLES], "t string").select("o_orderkey", classify.authority_rank(F.col("t")).alias("rank"))
 AUTHORITY_SAMPLES = {
     "ni43-101": 1, "Technical-Report": 1, "feasibility study": 1, "PFS 2019": 1, "the PEA": 1, "resource estimate": 1, "reserve statement": 1, "JORC table": 1, "crirsco": 1,
     "assessment report": 2, "annual filing": 2, "Fact sheet": 2, "43-101F1": 2, "government disclosure": 2, "SEDAR": 2, "press release": 3, "investor deck": 3, "corporate presentation": 3, "news-release": 3,
     "historical report": 4, "archived report": 4, "legacy data": 4, "internal memo": 5, "email": 5, "field note": 5, "uncited": 5, "map": 3,
 }
-SQL["authority_patterns"] = "select * from (values " + ", ".join(f"('{t}', {r})" for t, r in AUTHORITY_SAMPLES.items()) + ") v(t, rank)"
+SQL["authority_patterns"] = "select o_orderkey, rank from orders join (values " + ", ".join(f"({k}, {r})" for k, r in enumerate(AUTHORITY_SAMPLES.values())) + f") v(k, rank) on o_orderkey % {len(AUTHORITY_SAMPLES)} = k"
 IDENTIFIER_SAMPLES = {
     "see PLS-22-08": "HOLE_ID_DASHED", "2024-DDH-001": "HOLE_ID_DASHED", "DDH0023": "HOLE_ID_COMPACT,SAMPLE_ID_ALPHA", "MS240301": "SAMPLE_ID_ALPHA", "AU-240301": "SAMPLE_ID_DASHED",
     "sheet 74I12": "NTS_TILE", "104B08": "NTS_TILE", "U3O8 grade": "COMMODITY_CODE", "in 2022-04-15": "", "Cub Au": "COMMODITY_CODE",
 }
-Q["identifier_patterns"] = lambda s, d: s.createDataFrame([(t,) for t in IDENTIFIER_SAMPLES], "t string").select("t", F.array_join(classify.identifiers(F.col("t"))["classes"], ",").alias("classes"))
-SQL["identifier_patterns"] = "select * from (values " + ", ".join(f"('{t}', '{c}')" for t, c in IDENTIFIER_SAMPLES.items()) + ") v(t, classes)"
+Q["identifier_patterns"] = lambda s, d: varied(s, d, "orders", "o_orderkey", [(t,) for t in IDENTIFIER_SAMPLES], "t string").select("o_orderkey", F.array_join(classify.identifiers(F.col("t"))["classes"], ",").alias("classes"))
+SQL["identifier_patterns"] = "select o_orderkey, classes from orders join (values " + ", ".join(f"({k}, '{c}')" for k, c in enumerate(IDENTIFIER_SAMPLES.values())) + f") v(k, classes) on o_orderkey % {len(IDENTIFIER_SAMPLES)} = k"
 
 # checks and gates
 _judged = lambda s, d: stage(s, d, "assay").select("collar_id", "sample_id", F.when(F.col("sample_id") % 2 == 0, "Au").otherwise("Pt").alias("element"), F.col("value_ppm"), F.when(F.col("sample_id") % 7 == 0, "FAIL").when(F.col("sample_id") % 7 > 1, " Ok").alias("qaqc_flag"), (F.col("sample_id") % 17 != 0).alias("crm_pass"), (F.col("sample_id") % 19 != 0).alias("blank_pass"), (F.col("sample_id") % 23 != 0).alias("duplicate_pass"), (F.col("sample_id") % 5 == 0).alias("over_detection"), (F.col("sample_id") % 3 == 0).alias("under_detection"))
@@ -234,8 +234,8 @@ DOCUMENT_SAMPLES = [
     ("a.pdf", "x" * 300 + " The Assessment work performed here", "Assessment Report", 0.70, "body"), ("b.pdf", "x" * 300 + " Forward-looking statements\nand securities", "Press Release", 0.70, "body"),
     ("project_fs2.pdf", "nothing", "Unknown", 0.0, "default"), ("pea-2.pdf", "Memorandum", "PEA", 0.95, "filename"), (None, "A memorandum", "Internal Memo", 0.85, "title"), ("field_notes3.txt", None, "Field Note", 0.95, "filename"),
 ]
-Q["document_classes"] = lambda s, d: s.createDataFrame([(k, f, t) for k, (f, t, *_) in enumerate(DOCUMENT_SAMPLES)], "k int, f string, t string").select("k", classify.document_class(F.col("f"), F.col("t")).alias("x")).select("k", "x.*")
-SQL["document_classes"] = "select * from (values " + ", ".join(f"({k}, '{c}', {p}::double, '{w}')" for k, (*_, c, p, w) in enumerate(DOCUMENT_SAMPLES)) + ") v(k, document_class, confidence, signal)"
+Q["document_classes"] = lambda s, d: varied(s, d, "documents", "doc_id", [x[:2] for x in DOCUMENT_SAMPLES], "f string, t string").select("doc_id", classify.document_class(F.col("f"), F.col("t")).alias("x")).select("doc_id", "x.*")
+SQL["document_classes"] = "select doc_id, document_class, confidence, signal from documents join (values " + ", ".join(f"({k}, '{c}', {p}::double, '{w}')" for k, (*_, c, p, w) in enumerate(DOCUMENT_SAMPLES)) + f") v(k, document_class, confidence, signal) on doc_id % {len(DOCUMENT_SAMPLES)} = k"
 _TOPICS = [("viz", ["plot", "fence-diagram"], ["show me a"]), ("spatial", ["hole", "within"], ["cross section"]), ("computation", ["grade"], ["cut off grade"])]
 _asked = lambda: F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ["Plot the", "Show me a", "Is the", "Draw a fence-diagram of"])), (F.col("o_orderkey") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ["holes", "hole", "grades", "grade", "Cross section"])), (F.col("o_orderkey") % 5 + 1).cast("int")))
 Q["query_topics"] = lambda s, d: table(s, d, "orders").select(_asked().alias("q")).groupBy("q").agg(F.count("*").alias("n")).withColumn("topic", classify.topic(F.col("q"), _TOPICS))

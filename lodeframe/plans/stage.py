@@ -4,6 +4,7 @@ read alike, so that each query has an oracle over the same rows."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Name: (source table, columns).
 TABLES: dict[str, tuple[str, list[str]]] = {
@@ -83,3 +84,9 @@ def ctes(*names: str) -> str:
         source, columns = TABLES[n]
         made.append(f"{n} as (select {', '.join(c.replace(' as string', ' as varchar') for c in columns)} from {source})")
     return "with " + ",\n".join(made)
+
+
+def varied(spark: SparkSession, sf_dir: str, source: str, key: str, samples: list[tuple], schema: str) -> DataFrame:
+    """key and the sample that its remainder picks, for every row of a table."""
+    picked = spark.createDataFrame([(k, *x) for k, x in enumerate(samples)], f"k long, {schema}")
+    return table(spark, sf_dir, source).select(key, (F.col(key) % len(samples)).alias("k")).join(F.broadcast(picked), "k")  # a few samples

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +37,15 @@ def replace_scope(df: DataFrame, path: str, scope: list[str]) -> None:
 
 
 def export_jsonl(tables: dict[str, DataFrame], path: str, workspace: str) -> None:
-    """Gzipped lines: a manifest, then tagged rows of every table."""
+    """Gzipped lines: a manifest, then tagged rows of every table. The files are ranges of one
+    order that the manifest begins, so it is the first line of the first file."""
     spark = next(iter(tables.values())).sparkSession
-    lines = spark.createDataFrame([(0, f'{{"manifest": {{"workspace": "{workspace}", "tables": {sorted(tables)!r}}}}}'.replace("'", '"'))], "part int, value string")
+    manifest = json.dumps({"manifest": {"workspace": workspace, "tables": sorted(tables)}})
+    lines = spark.createDataFrame([("", manifest)], "name string, value string")
     for name, df in sorted(tables.items()):
-        lines = lines.unionByName(df.select(F.lit(1).alias("part"), F.to_json(F.struct(F.lit(name).alias("table"), F.struct("*").alias("row")), {"ignoreNullFields": "false"}).alias("value")))
-    lines.select("value").write.mode("overwrite").text(path, compression="gzip")
+        lines = lines.unionByName(df.select(F.lit(name).alias("name"), F.to_json(F.struct(F.lit(name).alias("table"), F.struct("*").alias("row")), {"ignoreNullFields": "false"}).alias("value")))
+    order = ["name", F.xxhash64("value")]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path, compression="gzip")
 
 
 def restore_jsonl(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:

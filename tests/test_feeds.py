@@ -61,3 +61,46 @@ def test_windows(spark):
     assert [tuple(r) for r in reports.recent(df, "ts", 60, ["g"], "cost").collect()] == [(1, 1, 9.0)]
     assert [tuple(r) for r in reports.recent(df, "ts", 60 * 24, ["g"], "cost", F.lit(day(2))).collect()] == [(1, 2, 3.0)]
     assert reports.recent(df.limit(0), "ts", 60, ["g"], "cost").collect() == []
+
+
+def test_thin_bands_join_those_before(spark):
+    from lodeframe.operators import ingest
+
+    depth = [0.0, 0.2, 1.0, 2.0, 2.1, 3.0, 4.0, 5.0, 5.1, 9.0]
+    value = [10.0, 90.0, 90.0, 10.0, 90.0, 90.0, 10.0, 10.0, 90.0, 90.0]
+    logs = spark.createDataFrame([(1, {"DEPT": depth, "GR": value}), (2, {"DEPT": [1.0], "GR": [5.0]}), (3, {"DEPT": [1.0, 1.1, 1.2, 3.0], "GR": [5.0, 90.0, 5.0, 5.0]})], "collar_id int, curves map<string,array<double>>")
+
+    def fold(points):
+        bands, out = [], []
+        for d, v in points:
+            label = "clean" if v < 50 else "shale"
+            if bands and bands[-1][2] == label:
+                bands[-1][1] = d
+            else:
+                bands.append([d, d, label])
+        for lo, hi, label in bands:
+            if out and (hi - lo < 0.5 or out[-1][2] == label):
+                out[-1][1] = hi
+            else:
+                out.append([lo, hi, label])
+        return [tuple(b) for b in out]
+
+    got: dict = {}
+    for r in ingest.curve_intervals(logs, "GR", [(50.0, "clean")], "shale").orderBy("collar_id", "lo").collect():
+        got.setdefault(r.collar_id, []).append((r.lo, r.hi, r.label))
+    assert got == {1: fold(zip(depth, value, strict=True)), 2: [(1.0, 1.0, "clean")], 3: fold([(1.0, 5.0), (1.1, 90.0), (1.2, 5.0), (3.0, 5.0)])}
+
+
+def test_manifest_comes_first(spark, tmp_path):
+    import gzip
+    import json
+
+    from lodeframe.sources import sinks
+
+    df = spark.range(500).selectExpr("id", "cast(id as string) as t").repartition(4)
+    sinks.export_jsonl({"a": df, "b": df}, str(tmp_path / "x"), "it's \"w\"")
+    parts = sorted((tmp_path / "x").glob("part-*"))
+    lines = [json.loads(x) for p in parts for x in gzip.open(p, "rt")]
+    assert lines[0] == {"manifest": {"workspace": "it's \"w\"", "tables": ["a", "b"]}}
+    assert len(lines) == 1001 and not any("manifest" in x for x in lines[1:])
+    assert sinks.restore_jsonl(spark, str(tmp_path / "x"), "b", "id long, t string").agg({"id": "sum"}).first()[0] == sum(range(500))
