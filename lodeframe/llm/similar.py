@@ -246,7 +246,9 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         if that has many pairs, to one of several places."""
         places = pairs.join(pairs.groupBy("b").agg(F.ceil(F.count("*") / PLACE).alias("places")), "b")
         routes = places.selectExpr("a as node", "b as center", "pmod(xxhash64(a), places) as salt").union(places.select("b", "places").distinct().selectExpr("b as node", "b as center", "explode(sequence(0L, places - 1)) as salt"))
-        wanted = routes.select("node").distinct().join(nodes.selectExpr("node", "digest", "first as doc_id"), "node")
+        # written, so that its size is known: ids go by broadcast where they are few, and texts stay in place
+        wanted = keep_table(routes.select("node").distinct().join(nodes.selectExpr("node", "digest", "first as doc_id"), "node"))
+        made.append(wanted)
         packed = chosen.join(wanted, "doc_id").select("text", "digest", "node").mapInArrow(sets, "node long, packed binary").dropDuplicates(["node"])
         sent = routes.join(packed, "node").select("center", "salt", "node", "packed")
         parts = max(least, pairs.count() // PLACE)
@@ -260,20 +262,22 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     placed = rows.repartition(max(least, count // 8 // PART_ROWS), "key").withColumn("at", F.row_number().over(group.orderBy("size", "node")) - 1).withColumn("many", F.count("*").over(group))
     met = keep_table(placed.where("many > 1").select("key", "node", "size", "at", "many").mapInArrow(meet, "key long, block long, blocks long, a long, b long"))
     signs = nodes.select("node", "size", "parity")
-    large = met.where("block >= 0").selectExpr("key", "block", "blocks", "a as node").join(signs, "node")
+    large = met.where("block >= 0").selectExpr("key", "block", "blocks", "a as node")
     candidates = keep_table(allow(met.where("block < 0").select("a", "b").distinct()))
 
     def apart(found):
         """Candidates between components, and the cells of large groups with several."""
         pairs = candidates.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b", "distance")
         named = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y").select("key", "rows")
-        inside = named.join(mixed, "key")
-        total = inside.agg(F.sum("blocks")).first()[0] or 0
+        mixed = keep_table(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"), F.max("blocks").alias("of")).where("x <> y").select("key", "rows", "of"))
+        made.append(mixed)
+        total = mixed.agg(F.sum(F.col("rows") * F.col("of"))).first()[0] or 0
+        inside = large.join(mixed.select("key"), "key").join(signs, "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         cells = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         order = ["key", "low", "high", "size", "node"]
         return pairs, cells.repartition(max(least, total // PART_ROWS), "key", "low", "high").sortWithinPartitions(*order).select("key", "low", "high", "block", "node", "size", "component", "parity")
 
+    made: list[DataFrame] = []  # tables of a round
     tried, most = None, 0
     found = spark.createDataFrame([], "node long, component long")
     while True:
@@ -291,7 +295,8 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         if count:
             found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(passed)), found
             drop_table(before)
-        drop_table(passed)
+        drop_table(passed, *made)
+        made.clear()
         most = max(most, count)
         if 10 * count <= most:
             break
@@ -302,7 +307,7 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     if rest.limit(1).count():
         found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(verified(rest))), found
         drop_table(before)
-    drop_table(met, candidates, rest, *([] if tried is None else [tried]))
+    drop_table(met, candidates, rest, *made, *([] if tried is None else [tried]))
     labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     rows = marked.select("doc_id", "text_key", "size", "digest").join(labelled.join(smallest, "component").select("digest", "component", "component_id"), "digest")
