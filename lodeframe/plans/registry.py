@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.plans import evidence_queries, feed_queries, gold_queries, ingest_queries, match_queries, mention_queries, polygon_queries, report_queries, scalar_queries, stream_queries, tile_queries
+from lodeframe.plans import evidence_queries, export_queries, feed_queries, gold_queries, ingest_queries, match_queries, mention_queries, polygon_queries, report_queries, scalar_queries, stream_queries, tile_queries
 
-_MODULES = (gold_queries, scalar_queries, evidence_queries, ingest_queries, stream_queries, report_queries, tile_queries, polygon_queries, match_queries, feed_queries, mention_queries)
+_MODULES = (gold_queries, scalar_queries, evidence_queries, ingest_queries, stream_queries, report_queries, tile_queries, polygon_queries, match_queries, feed_queries, export_queries, mention_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,10 +60,52 @@ def archive(df: DataFrame, day: str, cutoff: str, cold: str) -> DataFrame:
     return df.where(F.col(day) >= cutoff)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
+# Columns of each flat export, in order.
+EXPORTS: dict[str, list[str]] = {
+    "collars": ["collar_id", "hole_id", "easting", "northing", "elevation", "total_depth", "hole_type", "azimuth", "dip", "drill_date", "status"],
+    "assays": ["assay_id", "sample_id", "collar_id", "hole_id", "from_depth", "to_depth", "assay_element", "assay_value", "assay_unit", "method_code", "detection_limit", "below_detection", "qc_flag"],
+    "samples": ["sample_id", "collar_id", "hole_id", "from_depth", "to_depth", "sample_type", "lab_id", "qaqc_type"],
+    "lithology": ["id", "collar_id", "hole_id", "from_depth", "to_depth", "rock_code", "rock_code_confidence", "rock_name", "description", "colour", "grain_size", "logged_by", "logged_date"],
+    "geochemistry": ["geochem_id", "collar_id", "hole_id", "from_depth", "to_depth", "sample_id", "sample_type", "sio2_wt_pct", "al2o3_wt_pct", "fe2o3_wt_pct", "mgo_wt_pct", "cao_wt_pct", "na2o_wt_pct", "k2o_wt_pct", "mg_number", "cia", "eu_anomaly"],
+}
+
+
+def export_rows(rows: DataFrame, kind: str, filters: dict[str, Any] | None = None, extra: list[str] | None = None) -> DataFrame:
+    """The columns of an export, all as text (null: empty), after the filters: column to a value
+    that it has to equal, or `column_min` and `column_max` to bounds that it may reach. Columns
+    that the rows lack are empty; `extra` come after the others; others are left out."""
+    for name, value in (filters or {}).items():
+        if value is None or value == "":
+            continue
+        if name.endswith("_min"):
+            rows = rows.where(F.col(name.removesuffix("_min")) >= value)
+        elif name.endswith("_max"):
+            rows = rows.where(F.col(name.removesuffix("_max")) <= value)
+        else:
+            rows = rows.where(F.col(name) == value)
+    there = set(rows.columns)
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in there else F.lit("")
+    return rows.select(*[said(c).alias(c) for c in [*EXPORTS[kind], *(extra or [])]])
+
+
+def expanded(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """rows with numbers read out of a JSON object for each of the fields it may hold."""
+    return rows.withColumns({c: F.get_json_object(column, f"$.{c}").try_cast("double") for c in fields})
+
+
+def export_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """df as CSV files with headers; with an order, the files are its ranges."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
+    """A folder of CSV files for each table."""
+    for name, df in tables.items():
+        export_csv(df, f"{path}/{name}")
+
+
 def export_splits(df: DataFrame, path: str) -> None:
     """JSON lines in one folder per value of `split`."""
     df.write.mode("overwrite").partitionBy("split").json(path)
