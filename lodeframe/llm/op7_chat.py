@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeframe.llm.shared import spare
+
 TURNS = "array<struct<role: string, text: string>>"
 HEAD, BETWEEN, TAIL = "### ", ": ", "</turn>"
 #: In the order of escaping.
@@ -104,7 +106,7 @@ def unescape(text: Column) -> Column:
 
 def formatted(df: DataFrame) -> DataFrame:
     """df, with turns: adds formatted and loss_mask, array<struct<start, end>>."""
-    blank = lambda x: F.coalesce(x, F.lit(""))
+    blank, name = lambda x: F.coalesce(x, F.lit("")), spare("parts", df)
     parts = F.transform(
         "turns",
         lambda t: F.struct(
@@ -114,7 +116,7 @@ def formatted(df: DataFrame) -> DataFrame:
         ),
     )
     mask = F.aggregate(
-        "__parts",
+        name,
         F.expr("named_struct('at', 0L, 'mask', cast(array() as array<struct<start: bigint, end: bigint>>))"),
         lambda a, p: F.struct(
             (a["at"] + F.length(p["head"]) + F.length(p["body"]) + len(TAIL)).cast("long").alias("at"),
@@ -122,9 +124,9 @@ def formatted(df: DataFrame) -> DataFrame:
         ),
         lambda a: a["mask"],
     )
-    text = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "")
-    made = df.withColumn("__parts", parts)
-    return made.withColumn("formatted", F.when(F.col("turns").isNotNull(), text)).withColumn("loss_mask", F.when(F.col("turns").isNotNull(), mask)).drop("__parts")
+    text = F.array_join(F.transform(name, lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "")
+    made = df.withColumn(name, parts)
+    return made.withColumn("formatted", F.when(F.col("turns").isNotNull(), text)).withColumn("loss_mask", F.when(F.col("turns").isNotNull(), mask)).drop(name)
 
 
 def parsed(text: Column) -> Column:
@@ -155,14 +157,28 @@ def format_table(df: DataFrame, keep: list[str]) -> DataFrame:
     raise ValueError(f"no layout has the fields of {record}")
 
 
+ADDED = ("layout", "turns", "formatted", "loss_mask")
+
+
 def format_json(df: DataFrame, keep: list[str], record_col: str = "record") -> DataFrame:
-    """df: JSON records, each in its own layout."""
-    made = df.select(*keep, json_fingerprint(F.col(record_col)).alias("__print"), F.from_json(record_col, JSON_SCHEMA).alias("__r")).select("*", "__r.*")
+    """df: JSON records, each in its own layout. Columns to keep may have any names; one named
+    like an added column gets underscores."""
+    kept = "kept_row"
+    while kept in JSON_SCHEMA:
+        kept += "_"
+    made = df.select(F.struct(*keep).alias(kept), json_fingerprint(F.col(record_col)).alias(f"{kept}_print"), F.from_json(record_col, JSON_SCHEMA).alias(f"{kept}_read")).select(kept, f"{kept}_print", f"{kept}_read.*")
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for name, paths, mapping in LAYOUTS:
-        hit = F.col("__print") == fingerprint(paths)
+        hit = F.col(f"{kept}_print") == fingerprint(paths)
         layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, F.expr(mapping).cast(TURNS)).otherwise(turns)
-    return formatted(made.select(*keep, layout.alias("layout"), turns.alias("turns")))
+    found = formatted(made.select(kept, layout.alias("layout"), turns.alias("turns")))
+    named: dict[str, str] = {}
+    for c in keep:
+        new = c
+        while new.lower() in (*ADDED, *(x.lower() for x in named.values())) or new != c and new in keep:
+            new += "_"
+        named[c] = new
+    return found.select(*[F.col(kept)[c].alias(n) for c, n in named.items()], *ADDED)
 
 
 def turn_rows(df: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -101,3 +101,13 @@ def test_top_k(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
     few = top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert [x["rank"] for x in few] == [1, 2]
+
+
+def test_kept_columns_with_clashing_names(spark):
+    rows = [(1, json.dumps({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yes"}]}), "p", "l", "x", "y"), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, record string, prompt string, layout string, parts string, kept_row string")
+    got = chat.format_json(df, ["id", "prompt", "layout", "parts", "kept_row"])
+    assert got.columns == ["id", "prompt", "layout_", "parts", "kept_row", "layout", "turns", "formatted", "loss_mask"]
+    one, two = got.orderBy("id").collect()
+    assert (one.prompt, one.layout_, one.parts, one.kept_row) == ("p", "l", "x", "y") and [t.text for t in one.turns] == ["hi", "yes"]
+    assert two.layout is None and two.formatted is None
