@@ -52,6 +52,19 @@ def shingle_sets(texts: pa.Array, shingle: int):
             yield np.unique(A.window_hashes(values, range(size), np.arange(i, j - size + 1)))
 
 
+def short_set(shingles: np.ndarray) -> bytes:
+    """A set by so many leading bits of its hashes that two sets of this size share an element
+    by chance once in 2**20 pairs; the number of bits comes first."""
+    bits = min(64, 20 + 2 * len(shingles).bit_length())
+    return bytes([bits]) + A.squeeze(np.unique(shingles >> np.uint64(64 - bits)))
+
+
+def same_bits(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two short sets in as many bits as both have."""
+    bits = min(x[0], y[0])
+    return tuple(np.unique(A.unsqueeze(s[1:]) >> np.uint64(s[0] - bits)) for s in (x, y))
+
+
 def least_common(threshold: float, x, y):
     """The least number of shingles that sets of these sizes share at the threshold."""
     return np.ceil(threshold / (1 + threshold) * (x + y) - 1e-9)
@@ -221,9 +234,14 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=-1)), pa.array(pairs.min(axis=1, initial=1 << 62))], ["a", "b"])
 
     def sets(batches):
+        sent: set[int] = set()  # a task sends a node once, however often its row is repeated
         for rb in batches:
             digests, nodes = (rb.column(k).to_pylist() for k in (1, 2))
-            found = [(node, A.squeeze(s)) for s, digest, node in zip(shingle_sets(rb.column(0), shingle), digests, nodes, strict=True) if xxhash.xxh128_digest(s.tobytes()) == digest]
+            found = []
+            for s, digest, node in zip(shingle_sets(rb.column(0), shingle), digests, nodes, strict=True):
+                if node not in sent and xxhash.xxh128_digest(s.tobytes()) == digest:
+                    sent.add(node)
+                    found.append((node, short_set(s)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.binary()))], ["node", "packed"])
 
     def compare(batches):
@@ -231,12 +249,13 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         for rb in batches:  # sorted, each center before its nodes
             out = []
             for k, (center, salt, node) in enumerate(zip(*(rb.column(k).to_pylist() for k in range(3)), strict=True)):
-                found = A.unsqueeze(rb.column(3)[k].as_py())
+                found = rb.column(3)[k].as_py()
                 if node == center:
                     here, mine = (center, salt), found
                 elif here == (center, salt):
-                    common = len(np.intersect1d(mine, found, assume_unique=True))
-                    if 100 * common >= percent * (len(mine) + len(found) - common):
+                    x, y = same_bits(mine, found)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
                         out.append((max(node, center), min(node, center)))
             x = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
@@ -249,7 +268,7 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         # written, so that its size is known: ids go by broadcast where they are few, and texts stay in place
         wanted = keep_table(routes.select("node").distinct().join(nodes.selectExpr("node", "digest", "first as doc_id"), "node"))
         made.append(wanted)
-        packed = chosen.join(wanted, "doc_id").select("text", "digest", "node").mapInArrow(sets, "node long, packed binary").dropDuplicates(["node"])
+        packed = chosen.join(wanted, "doc_id").select("text", "digest", "node").mapInArrow(sets, "node long, packed binary")
         sent = routes.join(packed, "node").select("center", "salt", "node", "packed")
         parts = max(least, pairs.count() // PLACE)
         return sent.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", F.col("node") != F.col("center")).mapInArrow(compare, "a long, b long").distinct()

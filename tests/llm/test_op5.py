@@ -7,7 +7,7 @@ import xxhash
 
 from lodeframe.llm.components import components
 from lodeframe.llm.op5_simhash import fingerprint, forest, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, prefix_of, segments_for, similar_documents
-from lodeframe.llm.similar import fine_distance, fine_parities, group_pairs, parities
+from lodeframe.llm.similar import fine_distance, fine_parities, group_pairs, parities, same_bits, short_set
 
 
 def plain_fingerprint(text, n=3):
@@ -229,3 +229,14 @@ def test_similar_documents_by_kind_of_edit(spark):
     sets, linked = brute_force(rows)
     assert len(linked) == 30
     assert components_of(spark, rows) == sorted(closure(sets, linked).items())
+
+
+def test_short_sets_keep_what_is_common():
+    r = np.random.default_rng(8)
+    for n, m in ((1, 1), (3, 4), (500, 520), (1000, 1100), (20_000, 17_000)):
+        x = np.unique(r.integers(0, 2**64, n, np.uint64))
+        y = np.unique(np.concatenate((x[: n // 2 + 1], r.integers(0, 2**64, m, np.uint64))))
+        a, b = same_bits(short_set(x), short_set(y))
+        assert (len(a), len(b), len(np.intersect1d(a, b))) == (len(x), len(y), len(np.intersect1d(x, y)))
+        assert len(short_set(x)) < 6.5 * n + 40
+    assert len(same_bits(short_set(x[:0]), short_set(y))[0]) == 0
