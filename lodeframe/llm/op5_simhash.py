@@ -57,7 +57,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-shingle].tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: those set in more than half of the hashes."""
     octets = hashes.view(np.uint8).reshape(-1, 8).astype(np.int64)
     octets += np.arange(0, 2048, 256)
     sets = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS
@@ -232,7 +236,10 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     """Components of documents whose sets of word shingles have a Jaccard similarity of at
     least `threshold` (in whole percent), or are reached by such links. No pair is missed.
 
-    With the shingles of all sets in one order, two sets at the threshold share a shingle
+    Sets meet by their SimHash fingerprints first: `link` finds those that differ in three bits
+    at most by chains of segments, and what it links is tested by the exact sets (`similar`). At
+    a similarity of 0.8 fingerprints differ in ten bits on average, so an exact way follows for
+    the pairs that are still apart: with the shingles of all sets in one order, two sets at the threshold share a shingle
     among the first n - threshold * n + 1 of each (prefix filtering), so these are the keys
     under which sets meet (`similar`); shingles that are frequent in a sample come last in the
     order.
@@ -255,7 +262,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     frequent = often["shingle"].to_numpy(np.int64).view(np.uint64)
     rank = -np.arange(len(frequent))
     rank, frequent = rank[np.argsort(frequent)], np.sort(frequent)
-    found = similar_sets(docs, round(100 * threshold), shingle, lambda s: prefix_of(s, frequent, rank, threshold), id_col, text_col)
+    found = similar_sets(docs, round(100 * threshold), shingle, lambda s: prefix_of(s, frequent, rank, threshold), id_col, text_col, majority, link)
     return found.select("doc_id", "text_key", "component_id", "component")
 
 

@@ -2,6 +2,7 @@
 
 An operator names the keys under which sets meet, so that no pair at the threshold escapes
 (rarest shingles in one order, or segments of parity sketches); this module does the rest.
+It may also name fingerprints and what links them: sets meet by these first.
 Equal sets are one node. A small group of nodes under a key gives all its pairs. In a large
 one each node is paired with the first of its block, and then, in rounds, with its most alike
 partner of another component, among those that sizes and parity sketches allow; what the
@@ -97,6 +98,14 @@ def may_reach(threshold: float, sx, sy, different) -> np.ndarray:
     return np.bitwise_count(different).sum(axis=-1, dtype=np.int64) <= most
 
 
+def sizes_allow(threshold: float, sx: np.ndarray, sy: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that differ in `apart` shingles at least may be that
+    similar. The smaller one has to hold all they share: the parities of a short set, to which
+    those of a long one are folded, say nothing of what only the long one has."""
+    common = least_common(threshold, sx, sy)
+    return (common <= np.minimum(sx, sy)) & (apart <= sx + sy - 2 * common)
+
+
 def small_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
     """Pairs of nodes under equal neighbouring keys whose sizes allow the threshold."""
     found = [np.zeros((0, 2), np.int64)]
@@ -129,12 +138,14 @@ def group_pairs(size: np.ndarray, parity: np.ndarray, component: np.ndarray, sid
             yield here, rest
 
 
-def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[[np.ndarray], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[[np.ndarray], np.ndarray], id_col: str = "doc_id", text_col: str = "text", print_of: Callable[[np.ndarray], int] | None = None, link_prints: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A row each for (doc_id, text_key, size, component_id, component): how many shingles the
     text has, the smallest doc_id reachable by links of `percent` or more, and a number that
     tells the components of rows apart that share their smallest id.
 
-    keys_of: the keys (64 bits) of a sorted set of shingle hashes. Null text: empty; texts
+    keys_of: the keys (64 bits) of a sorted set of shingle hashes. print_of, link_prints: a
+    fingerprint (64 bits) of such a set, and links (a, b) for a table of view, fp and node: sets
+    meet by them first, and under keys where they are still apart. Null text: empty; texts
     without words are equal. Null id: the row takes no part. Rows that repeat an id and text
     are one. Very long texts: whole. Ties: a similarity of exactly `percent` links."""
     chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
@@ -143,15 +154,17 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
 
     def mark(batches):
         for rb in batches:
-            digests, sizes, signs, fines, keys = [], [], [], [], []
+            digests, sizes, signs, fines, keys, prints = [], [], [], [], [], []
             for s in shingle_sets(rb.column(1), shingle):
                 digests.append(xxhash.xxh128_digest(s.tobytes()))
                 sizes.append(len(s))
                 signs.append(parities(s))
                 fines.append(fine_parities(s))
                 keys.append(keys_of(s).tobytes())
+                prints.append(print_of(s) if print_of else 0)
             columns = [pa.array(x, t) for x, t in ((digests, pa.binary()), (sizes, pa.int32()), (signs, pa.binary()), (fines, pa.binary()), (keys, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), *columns], ["doc_id", "text_key", "digest", "size", "parity", "fine", "keys"])
+            columns.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), *columns], ["doc_id", "text_key", "digest", "size", "parity", "fine", "keys", "fp"])
 
     def spread(batches):
         for rb in batches:
@@ -189,10 +202,8 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     def allowed(batches):
         for rb in batches:
             sx, x, sy, y = (rb.column(k).to_pylist() for k in range(2, 6))
-            most = np.array(sx, np.int64) + np.array(sy, np.int64)
-            most = most - 2 * least_common(threshold, most, 0)
             apart = np.array([fine_distance(p, q) for p, q in zip(x, y, strict=True)], np.int64)
-            good = pa.array(apart <= most)
+            good = pa.array(sizes_allow(threshold, np.array(sx, np.int64), np.array(sy, np.int64), apart))
             yield pa.RecordBatch.from_arrays([x.filter(good) for x in (rb.column(0), rb.column(1), pa.array(apart))], ["a", "b", "distance"])
 
     def allow(pairs):
@@ -273,8 +284,8 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         parts = max(least, pairs.count() // PLACE)
         return sent.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", F.col("node") != F.col("center")).mapInArrow(compare, "a long, b long").distinct()
 
-    marked = keep_table(chosen.withColumn("text_key", text_key("text")).mapInArrow(mark, "doc_id long, text_key string, digest binary, size int, parity binary, fine binary, keys binary").withColumn("row", F.monotonically_increasing_id()))
-    nodes = keep_table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("x"), *(F.first(c).alias(c) for c in ("size", "parity", "fine"))).select("digest", "x.row", F.col("x.doc_id").alias("first"), "size", "parity", "fine", F.monotonically_increasing_id().alias("node")))
+    marked = keep_table(chosen.withColumn("text_key", text_key("text")).mapInArrow(mark, "doc_id long, text_key string, digest binary, size int, parity binary, fine binary, keys binary, fp long").withColumn("row", F.monotonically_increasing_id()))
+    nodes = keep_table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("x"), *(F.first(c).alias(c) for c in ("size", "parity", "fine", "fp"))).select("digest", "x.row", F.col("x.doc_id").alias("first"), "size", "parity", "fine", "fp", F.monotonically_increasing_id().alias("node")))
     rows = marked.select("row", "keys").join(nodes.select("row", "node", "size"), "row").select("node", "size", "keys").mapInArrow(spread, "key long, node long, size int")
     count = marked.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     group = Window.partitionBy("key")
@@ -296,9 +307,26 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         order = ["key", "low", "high", "size", "node"]
         return pairs, cells.repartition(max(least, total // PART_ROWS), "key", "low", "high").sortWithinPartitions(*order).select("key", "low", "high", "block", "node", "size", "component", "parity")
 
+    def joined(found, asked):
+        """The components with the links among the pairs asked about, and how many these are."""
+        passed = keep_table(verified(asked))
+        count = passed.count()
+        if count:
+            found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(passed)), found
+            drop_table(before)
+        drop_table(passed, *made)
+        made.clear()
+        return found, count
+
     made: list[DataFrame] = []  # tables of a round
     tried, most = None, 0
     found = spark.createDataFrame([], "node long, component long")
+    if print_of:
+        prints = keep_table(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+        same = nodes.select("fp", "node").join(prints.toDF("fp", "b"), "fp").where("node <> b").selectExpr("node as a", "b")
+        tried = keep_table(allow(link_prints(prints.withColumn("view", F.lit(0))).union(same)).select("a", "b"))
+        found, _ = joined(found, tried)
+        drop_table(prints)
     while True:
         pairs, cells = apart(found)
         near = allow(cells.mapInArrow(within(True), "a long, b long").where("a <> b").distinct()).union(pairs)
@@ -308,14 +336,8 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         if not asked.limit(1).count():
             drop_table(asked)
             break
-        passed = keep_table(verified(asked))
         tried = asked if tried is None else tried.union(asked)
-        count = passed.count()
-        if count:
-            found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(passed)), found
-            drop_table(before)
-        drop_table(passed, *made)
-        made.clear()
+        found, count = joined(found, asked)
         most = max(most, count)
         if 10 * count <= most:
             break

@@ -2,12 +2,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from lodeframe.llm import op5_simhash
 from lodeframe.llm.components import components
 from lodeframe.llm.op5_simhash import fingerprint, forest, in_chain_budgets, link, links_of, masks, near_duplicates, one_of_each, prefix_of, segments_for, similar_documents
-from lodeframe.llm.similar import fine_distance, fine_parities, group_pairs, parities, same_bits, short_set
+from lodeframe.llm.similar import fine_distance, fine_parities, group_pairs, parities, same_bits, shingle_sets, short_set, sizes_allow
 
 
 def plain_fingerprint(text, n=3):
@@ -240,3 +242,30 @@ def test_short_sets_keep_what_is_common():
         assert (len(a), len(b), len(np.intersect1d(a, b))) == (len(x), len(y), len(np.intersect1d(x, y)))
         assert len(short_set(x)) < 6.5 * n + 40
     assert len(same_bits(short_set(x[:0]), short_set(y))[0]) == 0
+
+
+def test_similar_documents_meet_by_their_fingerprints(spark, monkeypatch):
+    """Without any key, those in three bits of each other still meet, and exact sets decide."""
+    r = random.Random(21)
+    words, rows = [f"w{k}" for k in range(3000)], []
+    for g in range(40):
+        t = r.choices(words, k=300)
+        rows += [(2 * g, " ".join(t)), (2 * g + 1, " ".join([*t[:100], "x", *t[101:]]))]
+    rows += [(100, "a b c d e f"), (101, "a b c d e g")]  # a third in common
+    prints = [op5_simhash.majority(s) for s in shingle_sets(pa.array([t for _, t in rows]), 5)]
+    near = [(2 * g + 1, 2 * g) for g in range(40) if (prints[2 * g] ^ prints[2 * g + 1]).bit_count() <= 3]
+    assert len(near) > 5
+    monkeypatch.setattr(op5_simhash, "prefix_of", lambda s, *_: s[:0])
+    got = dict(components_of(spark, rows))
+    assert all(got[a] == got[b] for a, b in near)
+    assert got[100] != got[101]
+
+
+def test_short_and_long_sets_are_not_alike():
+    """The short one's 512 bits differ from the folded long one's in less than sizes allow."""
+    r = np.random.default_rng(9)
+    x, y = (np.unique(r.integers(0, 2**64, n, np.uint64)) for n in (100, 10_000))
+    apart = np.array([fine_distance(fine_parities(x), fine_parities(y))])
+    assert apart[0] <= (100 + 10_000) / 9
+    assert not sizes_allow(0.8, np.array([100]), np.array([10_000]), apart)[0]
+    assert sizes_allow(0.8, np.array([80, 8000]), np.array([100, 10_000]), np.array([20, 2000])).all()
