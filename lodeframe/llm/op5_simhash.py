@@ -236,10 +236,10 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     """Components of documents whose sets of word shingles have a Jaccard similarity of at
     least `threshold` (in whole percent), or are reached by such links. No pair is missed.
 
-    Sets meet by their SimHash fingerprints first: `link` finds those that differ in three bits
+    Sets meet by their SimHash fingerprints: `link` finds those that differ in three bits
     at most by chains of segments, and what it links is tested by the exact sets (`similar`). At
-    a similarity of 0.8 fingerprints differ in ten bits on average, so an exact way follows for
-    the pairs that are still apart: with the shingles of all sets in one order, two sets at the threshold share a shingle
+    a similarity of 0.8 fingerprints differ in ten bits on average, so there is an exact way for
+    the other pairs: with the shingles of all sets in one order, two sets at the threshold share a shingle
     among the first n - threshold * n + 1 of each (prefix filtering), so these are the keys
     under which sets meet (`similar`); shingles that are frequent in a sample come last in the
     order.

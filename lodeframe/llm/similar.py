@@ -2,7 +2,7 @@
 
 An operator names the keys under which sets meet, so that no pair at the threshold escapes
 (rarest shingles in one order, or segments of parity sketches); this module does the rest.
-It may also name fingerprints and what links them: sets meet by these first.
+It may also name fingerprints and what links them: sets meet by these too.
 Equal sets are one node. A small group of nodes under a key gives all its pairs. In a large
 one each node is paired with the first of its block, and then, in rounds, with its most alike
 partner of another component, among those that sizes and parity sketches allow; what the
@@ -144,8 +144,8 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     tells the components of rows apart that share their smallest id.
 
     keys_of: the keys (64 bits) of a sorted set of shingle hashes. print_of, link_prints: a
-    fingerprint (64 bits) of such a set, and links (a, b) for a table of view, fp and node: sets
-    meet by them first, and under keys where they are still apart. Null text: empty; texts
+    fingerprint (64 bits) of such a set, and links (a, b) for a table of view, fp and node: in
+    the first round sets meet by them too, later those still apart under keys alone. Null text: empty; texts
     without words are equal. Null id: the row takes no part. Rows that repeat an id and text
     are one. Very long texts: whole. Ties: a similarity of exactly `percent` links."""
     chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
@@ -321,17 +321,19 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     made: list[DataFrame] = []  # tables of a round
     tried, most = None, 0
     found = spark.createDataFrame([], "node long, component long")
+    alike = None
     if print_of:
         prints = keep_table(nodes.groupBy("fp").agg(F.min("node").alias("node")))
         same = nodes.select("fp", "node").join(prints.toDF("fp", "b"), "fp").where("node <> b").selectExpr("node as a", "b")
-        tried = keep_table(allow(link_prints(prints.withColumn("view", F.lit(0))).union(same)).select("a", "b"))
-        found, _ = joined(found, tried)
+        alike = keep_table(allow(link_prints(prints.withColumn("view", F.lit(0))).union(same)).select("a", "b"))
         drop_table(prints)
     while True:
         pairs, cells = apart(found)
         near = allow(cells.mapInArrow(within(True), "a long, b long").where("a <> b").distinct()).union(pairs)
         best = near.union(near.select("b", "a", "distance")).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x"))
         pairs = best.select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
+        if tried is None and alike:  # in one round with these, so that texts move once for both
+            pairs = pairs.union(alike).distinct()
         asked = keep_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if not asked.limit(1).count():
             drop_table(asked)
@@ -348,7 +350,7 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     if rest.limit(1).count():
         found, before = components(found.selectExpr("node as a", "component as b").where("a <> b").union(verified(rest))), found
         drop_table(before)
-    drop_table(met, candidates, rest, *made, *([] if tried is None else [tried]))
+    drop_table(met, candidates, rest, *made, *(x for x in (tried, alike) if x))
     labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     rows = marked.select("doc_id", "text_key", "size", "digest").join(labelled.join(smallest, "component").select("digest", "component", "component_id"), "digest")
