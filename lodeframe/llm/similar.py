@@ -10,7 +10,8 @@ exact sets pass joins components, so that a group of copies costs about a pair a
 round. When a round joins few, the allowed pairs that are still apart are tested.
 
 Rows reach tasks sorted by group and are read batch by batch; a task holds a batch, a small
-group or a cell of two blocks.
+group or a cell of two blocks. Texts are read once and never move: each set is written, in few
+bits, and from there goes to where it is compared.
 """
 
 from __future__ import annotations
@@ -154,17 +155,18 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
 
     def mark(batches):
         for rb in batches:
-            digests, sizes, signs, fines, keys, prints = [], [], [], [], [], []
+            digests, sizes, signs, fines, keys, packed, prints = [], [], [], [], [], [], []
             for s in shingle_sets(rb.column(1), shingle):
                 digests.append(xxhash.xxh128_digest(s.tobytes()))
                 sizes.append(len(s))
                 signs.append(parities(s))
                 fines.append(fine_parities(s))
                 keys.append(keys_of(s).tobytes())
+                packed.append(short_set(s))
                 prints.append(print_of(s) if print_of else 0)
-            columns = [pa.array(x, t) for x, t in ((digests, pa.binary()), (sizes, pa.int32()), (signs, pa.binary()), (fines, pa.binary()), (keys, pa.binary()))]
+            columns = [pa.array(x, t) for x, t in ((digests, pa.binary()), (sizes, pa.int32()), (signs, pa.binary()), (fines, pa.binary()), (keys, pa.binary()), (packed, pa.binary()))]
             columns.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), *columns], ["doc_id", "text_key", "digest", "size", "parity", "fine", "keys", "fp"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(2), *columns], ["doc_id", "text_key", "digest", "size", "parity", "fine", "keys", "packed", "fp"])
 
     def spread(batches):
         for rb in batches:
@@ -244,17 +246,6 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     def linked(pairs):
         return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1, initial=-1)), pa.array(pairs.min(axis=1, initial=1 << 62))], ["a", "b"])
 
-    def sets(batches):
-        sent: set[int] = set()  # a task sends a node once, however often its row is repeated
-        for rb in batches:
-            digests, nodes = (rb.column(k).to_pylist() for k in (1, 2))
-            found = []
-            for s, digest, node in zip(shingle_sets(rb.column(0), shingle), digests, nodes, strict=True):
-                if node not in sent and xxhash.xxh128_digest(s.tobytes()) == digest:
-                    sent.add(node)
-                    found.append((node, short_set(s)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.binary()))], ["node", "packed"])
-
     def compare(batches):
         here, mine = None, None
         for rb in batches:  # sorted, each center before its nodes
@@ -276,17 +267,16 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         if that has many pairs, to one of several places."""
         places = pairs.join(pairs.groupBy("b").agg(F.ceil(F.count("*") / PLACE).alias("places")), "b")
         routes = places.selectExpr("a as node", "b as center", "pmod(xxhash64(a), places) as salt").union(places.select("b", "places").distinct().selectExpr("b as node", "b as center", "explode(sequence(0L, places - 1)) as salt"))
-        # written, so that its size is known: ids go by broadcast where they are few, and texts stay in place
-        wanted = keep_table(routes.select("node").distinct().join(nodes.selectExpr("node", "digest", "first as doc_id"), "node"))
-        made.append(wanted)
-        packed = chosen.join(wanted, "doc_id").select("text", "digest", "node").mapInArrow(sets, "node long, packed binary")
-        sent = routes.join(packed, "node").select("center", "salt", "node", "packed")
+        # written, so that its size is known: it goes by broadcast where it is small, and sets move once
+        routes = keep_table(routes)
+        made.append(routes)
+        sent = marked.select(F.col("row").alias("node"), "packed").join(routes, "node").select("center", "salt", "node", "packed")
         parts = max(least, pairs.count() // PLACE)
         return sent.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", F.col("node") != F.col("center")).mapInArrow(compare, "a long, b long").distinct()
 
-    marked = keep_table(chosen.withColumn("text_key", text_key("text")).mapInArrow(mark, "doc_id long, text_key string, digest binary, size int, parity binary, fine binary, keys binary, fp long").withColumn("row", F.monotonically_increasing_id()))
-    nodes = keep_table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("x"), *(F.first(c).alias(c) for c in ("size", "parity", "fine", "fp"))).select("digest", "x.row", F.col("x.doc_id").alias("first"), "size", "parity", "fine", "fp", F.monotonically_increasing_id().alias("node")))
-    rows = marked.select("row", "keys").join(nodes.select("row", "node", "size"), "row").select("node", "size", "keys").mapInArrow(spread, "key long, node long, size int")
+    marked = keep_table(chosen.withColumn("text_key", text_key("text")).mapInArrow(mark, "doc_id long, text_key string, digest binary, size int, parity binary, fine binary, keys binary, packed binary, fp long").withColumn("row", F.monotonically_increasing_id()))
+    nodes = keep_table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("x"), *(F.first(c).alias(c) for c in ("size", "parity", "fine", "fp"))).select("digest", F.col("x.row").alias("node"), F.col("x.doc_id").alias("first"), "size", "parity", "fine", "fp"))
+    rows = marked.select(F.col("row").alias("node"), "keys").join(nodes.select("node", "size"), "node").select("node", "size", "keys").mapInArrow(spread, "key long, node long, size int")
     count = marked.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     group = Window.partitionBy("key")
     placed = rows.repartition(max(least, count // 8 // PART_ROWS), "key").withColumn("at", F.row_number().over(group.orderBy("size", "node")) - 1).withColumn("many", F.count("*").over(group))
@@ -354,7 +344,9 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     labelled = nodes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     rows = marked.select("doc_id", "text_key", "size", "digest").join(labelled.join(smallest, "component").select("digest", "component", "component_id"), "digest")
-    return rows.select("doc_id", "text_key", "size", "component_id", "component")
+    result = keep_table(rows.select("doc_id", "text_key", "size", "component_id", "component"))
+    drop_table(marked, nodes, found)
+    return result
 
 
 def text_key(name: str) -> Column:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodeframe.llm.op11_parity_join import differences, edges, similar_ngrams, sketch, sketch_keys
 
@@ -86,3 +87,25 @@ def test_repeats_and_empty_table(spark):
     got = similar_ngrams(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(tuple(x) for x in got.collect()) == [(1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert similar_ngrams(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def written_by_shuffles(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_stay_where_they_are(spark):
+    """Also where ids are too many to be broadcast: sets move, which are small here."""
+    docs = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), k -> concat_ws('', transform(sequence(1, 8), j -> sha2(concat_ws(':', id div 2, k, j, if(k = 60, id, 0)), 256))))) as text")
+    size = docs.agg(F.sum(F.length("text"))).first()[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written_by_shuffles(spark)
+        got = {r.doc_id: r.component_id for r in similar_ngrams(docs).collect()}
+        moved = written_by_shuffles(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got == {k: k - k % 2 for k in range(400)}
+    assert moved < size / 10, (moved, size)
