@@ -49,6 +49,16 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(keys) >> _DROP, np.concatenate(docs)
 
 
+def distinct(keys: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of each document, sorted, one document after the other, and how many
+    each has."""
+    order = np.lexsort((keys, doc))
+    keys, doc = keys[order], doc[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    return keys[new], np.bincount(doc[new], minlength=docs).astype(np.int64)
+
+
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets."""
     raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
@@ -84,20 +94,24 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
     texts = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "label")
 
     def extract(batches):
-        found, y = [], []
+        found, counts, y = [], [], []  # arrays of a slice, not of a document: many small ones leave memory in pieces
         for rb in batches:
             buf, offs = joined(rb.column(1))
             for first, last in A.slices(offs):
                 keys, doc = features(buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
-                order = np.argsort(doc, kind="stable")
-                bounds = np.searchsorted(doc[order], np.arange(last - first + 1))
-                found += [np.unique(keys[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                kept, count = distinct(keys, doc, last - first)
+                found.append(kept)
+                counts.append(count)
             y += rb.column(2).to_pylist()
         if not found:
             return
         every = np.append(BIAS, np.unique(np.concatenate(found)))
-        places = [np.append(0, 1 + np.searchsorted(every[1:], f)).astype(np.int32) for f in found]
-        blobs = [A.squeeze(every), np.concatenate(places).tobytes(), np.array([len(x) for x in places], np.int64).tobytes(), np.array(y, float).tobytes()]
+        places = []
+        while found:
+            at = np.searchsorted(every[1:], found.pop(0)).astype(np.int32) + np.int32(1)
+            count = counts[len(places)]
+            places.append(np.insert(at, np.cumsum(count) - count, np.int32(0)))  # the bias comes first in each
+        blobs = [A.squeeze(every), np.concatenate(places).tobytes(), (np.concatenate(counts) + 1).tobytes(), np.array(y, float).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["keys", "places", "sizes", "labels"])
 
     dealt = small_batches(texts).repartition(shards, "id").sortWithinPartitions("id", "label", "text")
@@ -108,15 +122,16 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
 
         def train(batches):
             for rb in batches:
-                for one in rb.to_pylist():
-                    every = A.unsqueeze(one["keys"])
-                    docs = np.split(np.frombuffer(one["places"], np.int32), np.cumsum(np.frombuffer(one["sizes"], np.int64))[:-1])
+                for row in range(rb.num_rows):
+                    packed, places, sizes, y = (rb.column(k)[row].as_buffer() for k in range(4))  # not copied
+                    every = A.unsqueeze(packed)
+                    docs = np.split(np.frombuffer(places, np.int32), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
                     z, n = np.zeros(len(every)), np.zeros(len(every))
                     known = A.find(start[0], every)
                     z[known[known >= 0]], n[known[known >= 0]] = start[1][known >= 0], start[2][known >= 0]
                     for _ in range(PASSES):
-                        ftrl_pass(docs, np.frombuffer(one["labels"]), z, n)
-                    kept = np.flatnonzero(weights(z, n))
+                        ftrl_pass(docs, np.frombuffer(y), z, n)
+                    kept = np.flatnonzero(np.abs(z) > L1)  # where the weight isn't zero
                     yield pa.RecordBatch.from_arrays([pa.array(every[kept].astype(np.int64)), pa.array(z[kept]), pa.array(n[kept])], ["key", "z", "n"])
 
         # the model, not data: few coordinates pass L1

@@ -69,6 +69,14 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     return items.select("item_id", "size", need.alias("need"), F.explode(F.slice(F.array_sort("hashes"), F.lit(1), keep)).alias("hash"))
 
 
+def probes(hashed: DataFrame, size: int) -> DataFrame:
+    """hashed: doc_id, h (array of word hashes). (doc_id, n, hash) of every run of `size` words;
+    n: how many the document has. The array itself doesn't go along with each of its runs, and no
+    condition makes the words be found twice: of too few words there are no runs."""
+    counted = hashed.select("doc_id", (F.size("h") - size + 1).alias("n"), "h")
+    return counted.select("doc_id", "n", F.explode(shingle_hashes("h", size)).alias("hash"))
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, containment of every pair that reaches the threshold."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
@@ -93,8 +101,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     hashed = texts.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     found = None
     for k in sizes:
-        probes = hashed.where(F.size("h") >= k).select("doc_id", (F.size("h") - k + 1).alias("n"), F.explode(shingle_hashes("h", k)).alias("hash"))
-        hits = probes.join(send_sketch(sketch.where(F.col("size") == k).select("item_id", "need", "hash")), "hash").where("n >= need").select("doc_id", "item_id")
+        hits = probes(hashed, k).join(send_sketch(sketch.where(F.col("size") == k).select("item_id", "need", "hash")), "hash").where("n >= need").select("doc_id", "item_id")
         found = hits if found is None else found.unionByName(hits)
     wanted = keep_table(found.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")))
     # whole texts move only if the documents with a candidate are too many to send around
@@ -110,9 +117,10 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that contain an item. Rows with a null id stay."""
-    bad = contained(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    """docs without those that contain an item. Rows with a null id stay. Texts stay in place
+    unless the ids that go are too many to send around."""
+    bad = keep_table(contained(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(_sender(bad.count(), 10 * BROADCAST_ROWS)(bad), id_col, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

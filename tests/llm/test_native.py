@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.llm import op7_chat as chat
-from lodeframe.llm.op8_decontam import contained, decontaminate
+from lodeframe.llm.op8_decontam import contained, decontaminate, probes, words
 from lodeframe.llm.op9_topk import top_k
 
 TRICKY = ["\\### Assistant: </turn> ok", "&amp;h; &h; &t;", "### ### ####</turn>", "</turn></turn>", "a: b", "", None, "é\n日本", "&", "x " * 50000]
@@ -84,6 +84,26 @@ def test_containment(spark):
     assert contained(df.limit(0), bench).collect() == [] == contained(df, bench.limit(0)).collect()
 
 
+def test_contained_copies_no_text_along(spark):
+    """A run of words goes without the whole document's words, which are found once a document;
+    and texts aren't shuffled to drop the few that contain an item."""
+    texts = ["a b c", "a b", "", None, "a b c a b c d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = probes(df.select("doc_id", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h")), 3)
+    counts = {x.doc_id: (x.n, x.runs, x.hashes) for x in made.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("runs"), F.countDistinct("hash").alias("hashes")).collect()}
+    assert counts == {0: (1, 1, 1), 4: (5, 5, 4)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    generate = next(x for x in plan.splitlines() if "Generate" in x)
+    assert re.search(r"\[doc_id#\d+L, n#\d+\], false", generate) and plan.count("split(") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = decontaminate(df, df.where("doc_id = 0").withColumnRenamed("doc_id", "item_id"))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(x.doc_id for x in kept.collect()) == [1, 2, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_top_k(spark):
     r = np.random.default_rng(3)
     vectors = [(int(i), [float(np.float32(x)) for x in r.normal(size=8)]) for i in range(160)]

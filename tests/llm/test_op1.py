@@ -112,3 +112,16 @@ def test_empty(spark):
     none = fit(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert [r.toxic_score for r in score_texts(docs, none).collect()] == [0.0]
     assert score_texts(docs.limit(0), none).collect() == []
+
+
+def test_distinct_keys_of_documents():
+    """A slice's features in one array, not one a document, and the coordinates handed on."""
+    r = np.random.default_rng(1)
+    doc, keys = r.integers(0, 40, 9000), r.integers(0, 300, 9000).astype(np.uint64)
+    doc[doc == 7] = 8
+    kept, count = op1_toxicity.distinct(keys, doc, 40)
+    assert len(count) == 40 and count[7] == 0
+    for d, mine in enumerate(np.split(kept, np.cumsum(count)[:-1])):
+        assert np.array_equal(mine, np.unique(keys[doc == d]))
+    z = np.append(r.normal(0, 4, 1000), [4.0, -4.0, np.nextafter(4, 5), 0.0])
+    assert np.array_equal(np.flatnonzero(weights(z, z * z)), np.flatnonzero(np.abs(z) > op1_toxicity.L1))
