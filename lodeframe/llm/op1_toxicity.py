@@ -105,7 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
             y += rb.column(2).to_pylist()
         if not found:
             return
-        every = np.append(BIAS, np.unique(np.concatenate(found)))
+        every = np.concatenate(([BIAS], *found))
+        every.sort()  # in place; the bias, zero, stays first
+        new = np.ones(len(every), bool)
+        new[2:] = every[2:] != every[1:-1]
+        every = every[new]
         places = []
         while found:
             at = np.searchsorted(every[1:], found.pop(0)).astype(np.int32) + np.int32(1)
