@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import arrays as A
 from lodeframe.llm.blocks import small_batches
-from lodeframe.llm.shared import about, keep_table, spare
+from lodeframe.llm.shared import about, keep_table, spare, tidy
 
 MAX_ROWS, SHARD_ROWS, ROUNDS, PASSES = 40_000, 2_000, 3, 3
 #: Rate, rate offset, L1, L2, per coordinate.
@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blobs], ["keys", "places", "sizes", "labels"])
 
     dealt = small_batches(texts).repartition(shards, "id").sortWithinPartitions("id", "label", "text")
-    rows = keep_table(dealt.mapInArrow(extract, "keys binary, places binary, sizes binary, labels binary"))
+    # not compressed: codecs keep buffers of a row's size, 16 MB, outside the heap
+    rows = keep_table(dealt.mapInArrow(tidy(extract), "keys binary, places binary, sizes binary, labels binary"), compression="none")
     keys, z, n = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
     for _ in range(ROUNDS):
         start = (keys, z, n)
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
                     yield pa.RecordBatch.from_arrays([pa.array(every[kept].astype(np.int64)), pa.array(z[kept]), pa.array(n[kept])], ["key", "z", "n"])
 
         # the model, not data: few coordinates pass L1
-        found = rows.mapInArrow(train, "key long, z double, n double").groupBy("key").agg(F.sum("z").alias("z"), F.avg("n").alias("n")).toPandas().sort_values("key")
+        found = rows.mapInArrow(tidy(train), "key long, z double, n double").groupBy("key").agg(F.sum("z").alias("z"), F.avg("n").alias("n")).toPandas().sort_values("key")
         keys, z, n = found["key"].to_numpy().astype(np.uint64), found["z"].to_numpy(float), found["n"].to_numpy(float)
         passed = keys
 
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", i
                 yield pa.RecordBatch.from_arrays([pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())], ["flags"])
 
         # a bit for each shard and coordinate of the model
-        flags = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(keys)) for r in rows.select("keys").mapInArrow(seen, "flags binary").collect()]
+        flags = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(keys)) for r in rows.select("keys").mapInArrow(tidy(seen), "flags binary").collect()]
         z /= np.maximum(1, np.sum(flags, axis=0, dtype=np.int64)) if flags else 1
         kept = np.abs(z) > L1
         keys, z, n = keys[kept], z[kept], n[kept]
@@ -176,7 +177,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col:
             p = 1 / (1 + np.exp(-np.clip(total, -500, 500))) if len(keys) else np.zeros(rb.num_rows)
             yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(p)], [*rb.schema.names[:-1], name])
 
-    return small_batches(docs).withColumn(whole, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return small_batches(docs).withColumn(whole, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(tidy(run), schema)
 
 
 def fold(modulus: int, remainder: int, col: str) -> Column:

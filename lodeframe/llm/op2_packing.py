@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm.blocks import small_batches
-from lodeframe.llm.shared import keep_table, spare
+from lodeframe.llm.shared import keep_table, remembered, spare, tidy
 
 SIZE, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 #: The same vocabulary as ranks, for a library that encodes short strings faster.
@@ -45,10 +45,9 @@ LARGE, GROUPS = 8, 64
 #: Parts of the configurations that are tried.
 SHARES = (1.0, 0.5, 0.25, 0.1, 0.02)
 #: Chunks whose ids a worker remembers, and characters it encodes at once.
-CACHE, AT_ONCE = 600_000, 2_000_000
+CACHE, AT_ONCE = 200_000, 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_ENCODERS: dict[str, tuple] = {}
 #: Where no two white space characters meet, the tokenizer's own split begins a new word at
 #: each space and around each line feed, so chunks can be encoded apart.
 _MEET = re.compile(r"\s\s")
@@ -61,7 +60,8 @@ def encoder(name: str):
     Texts are cut into chunks that the tokenizer would split anyway, and a worker remembers
     the ids of common ones. New chunks without a special token's brackets are encoded by
     the twin vocabulary, whose merges and so ids are the same; all else by the tokenizer."""
-    if name not in _ENCODERS:
+
+    def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -73,8 +73,9 @@ def encoder(name: str):
             with open(public_tokenizers.path(TWINS[name]), "rb") as f:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             short = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _ENCODERS[name] = (tokenizer, short, {})
-    tokenizer, short, known = _ENCODERS[name]
+        return tokenizer, short, {}
+
+    tokenizer, short, known = remembered(f"encoder {name}", load)
 
     def ids_of(chunk: str) -> bytes:
         if short is None or "<|" in chunk:
@@ -128,7 +129,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: s
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     chosen = small_batches(docs).select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return chosen.mapInArrow(run, PIECES)
+    return chosen.mapInArrow(tidy(run), PIECES)
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -290,7 +291,7 @@ def pack(found: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])], [*names, "sequence_id", "offset"])
 
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*names, (F.col(rank) + F.col(before)).cast("long").alias(rank)).mapInArrow(run, schema)
+    return ranked.select(*names, (F.col(rank) + F.col(before)).cast("long").alias(rank)).mapInArrow(tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm.blocks import small_batches
-from lodeframe.llm.shared import about
+from lodeframe.llm.shared import about, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: A segment has so many units and digits at most: none of the kinds is longer.
@@ -313,7 +313,7 @@ def scan(docs: DataFrame, weights: np.ndarray | None = None, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([rb.column(0), *counts, pa.array([render(b) for b, _ in found], pa.string()), pa.array([render(e) for _, e in found], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
 
     chosen = small_batches(docs).select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return chosen.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return chosen.mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def masked(text: str, spans: list[list[tuple[int, int]]]) -> str:
@@ -338,7 +338,7 @@ def redact(docs: DataFrame, weights: np.ndarray | None = None, text_col: str = "
             columns[k] = pa.array([t if t is None else masked(t, all_spans(t, w)[1]) for t in rb.column(k).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

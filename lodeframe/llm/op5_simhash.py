@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm import arrays as A
 from lodeframe.llm.blocks import small_batches
 from lodeframe.llm.components import components
-from lodeframe.llm.shared import keep_table, spare
+from lodeframe.llm.shared import keep_table, spare, tidy
 from lodeframe.llm.similar import shingle_sets, similar_sets, text_key
 
 SEED = 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     chosen = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    return chosen.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def ring(segments: int) -> list[int]:
@@ -199,7 +199,7 @@ def link(distinct: DataFrame, budget: int = 3, segments: int | None = None, limi
             x = np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x.max(axis=1)), pa.array(x.min(axis=1))], ["a", "b"])
 
-    return expanded.repartition(parts, "kind", "key").mapInArrow(run, "a long, b long").distinct()
+    return expanded.repartition(parts, "kind", "key").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _signed(mask: int) -> int:
@@ -258,7 +258,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
                 yield pa.RecordBatch.from_arrays([found[k : k + (1 << 16)]], ["shingle"])
 
     texts = chosen.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").distinct()
-    often = texts.mapInArrow(each, "shingle long").groupBy("shingle").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(100_000).toPandas()  # a bounded list
+    often = texts.mapInArrow(tidy(each), "shingle long").groupBy("shingle").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(100_000).toPandas()  # a bounded list
     frequent = often["shingle"].to_numpy(np.int64).view(np.uint64)
     rank = -np.arange(len(frequent))
     rank, frequent = rank[np.argsort(frequent)], np.sort(frequent)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm import arrays as A
 from lodeframe.llm.blocks import small_batches
 from lodeframe.llm.components import components
-from lodeframe.llm.shared import drop_table, keep_table
+from lodeframe.llm.shared import drop_table, keep_table, tidy
 
 #: Rows of a partition, on average at most.
 PART_ROWS = 1_000_000
@@ -211,7 +211,7 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
     def allow(pairs):
         """The pairs that fine parities allow, and their distance."""
         fine = nodes.select("node", "size", "fine")
-        return pairs.join(fine.toDF("a", "sx", "x"), "a").join(fine.toDF("b", "sy", "y"), "b").select("a", "b", "sx", "x", "sy", "y").mapInArrow(allowed, "a long, b long, distance long")
+        return pairs.join(fine.toDF("a", "sx", "x"), "a").join(fine.toDF("b", "sy", "y"), "b").select("a", "b", "sx", "x", "sy", "y").mapInArrow(tidy(allowed), "a long, b long, distance long")
 
     def within(nearest):
         def run(batches):
@@ -272,15 +272,15 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         made.append(routes)
         sent = marked.select(F.col("row").alias("node"), "packed").join(routes, "node").select("center", "salt", "node", "packed")
         parts = max(least, pairs.count() // PLACE)
-        return sent.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", F.col("node") != F.col("center")).mapInArrow(compare, "a long, b long").distinct()
+        return sent.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", F.col("node") != F.col("center")).mapInArrow(tidy(compare), "a long, b long").distinct()
 
-    marked = keep_table(chosen.withColumn("text_key", text_key("text")).mapInArrow(mark, "doc_id long, text_key string, digest binary, size int, parity binary, fine binary, keys binary, packed binary, fp long").withColumn("row", F.monotonically_increasing_id()))
+    marked = keep_table(chosen.withColumn("text_key", text_key("text")).mapInArrow(tidy(mark), "doc_id long, text_key string, digest binary, size int, parity binary, fine binary, keys binary, packed binary, fp long").withColumn("row", F.monotonically_increasing_id()))
     nodes = keep_table(marked.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("x"), *(F.first(c).alias(c) for c in ("size", "parity", "fine", "fp"))).select("digest", F.col("x.row").alias("node"), F.col("x.doc_id").alias("first"), "size", "parity", "fine", "fp"))
-    rows = marked.select(F.col("row").alias("node"), "keys").join(nodes.select("node", "size"), "node").select("node", "size", "keys").mapInArrow(spread, "key long, node long, size int")
+    rows = marked.select(F.col("row").alias("node"), "keys").join(nodes.select("node", "size"), "node").select("node", "size", "keys").mapInArrow(tidy(spread), "key long, node long, size int")
     count = marked.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     group = Window.partitionBy("key")
     placed = rows.repartition(max(least, count // 8 // PART_ROWS), "key").withColumn("at", F.row_number().over(group.orderBy("size", "node")) - 1).withColumn("many", F.count("*").over(group))
-    met = keep_table(placed.where("many > 1").select("key", "node", "size", "at", "many").mapInArrow(meet, "key long, block long, blocks long, a long, b long"))
+    met = keep_table(placed.where("many > 1").select("key", "node", "size", "at", "many").mapInArrow(tidy(meet), "key long, block long, blocks long, a long, b long"))
     signs = nodes.select("node", "size", "parity")
     large = met.where("block >= 0").selectExpr("key", "block", "blocks", "a as node")
     candidates = keep_table(allow(met.where("block < 0").select("a", "b").distinct()))
@@ -310,7 +310,7 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
 
     made: list[DataFrame] = []  # tables of a round
     tried, most = None, 0
-    found = spark.createDataFrame([], "node long, component long")
+    found = spark.range(0).selectExpr("id as node", "id as component")  # without Python: that of an RDD has workers of its own
     alike = None
     if print_of:
         prints = keep_table(nodes.groupBy("fp").agg(F.min("node").alias("node")))
@@ -319,7 +319,7 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         drop_table(prints)
     while True:
         pairs, cells = apart(found)
-        near = allow(cells.mapInArrow(within(True), "a long, b long").where("a <> b").distinct()).union(pairs)
+        near = allow(cells.mapInArrow(tidy(within(True)), "a long, b long").where("a <> b").distinct()).union(pairs)
         best = near.union(near.select("b", "a", "distance")).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("x"))
         pairs = best.select(F.greatest("a", "x.b").alias("a"), F.least("a", "x.b").alias("b")).distinct()
         if tried is None and alike:  # in one round with these, so that texts move once for both
@@ -334,7 +334,7 @@ def similar_sets(docs: DataFrame, percent: int, shingle: int, keys_of: Callable[
         if 10 * count <= most:
             break
     pairs, cells = apart(found)
-    every = cells.mapInArrow(within(False), "a long, b long").where("a <> b").distinct()
+    every = cells.mapInArrow(tidy(within(False)), "a long, b long").where("a <> b").distinct()
     rest = allow(every).union(pairs).select("a", "b").distinct()
     rest = keep_table(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
