@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from lodeframe.sources.shared import keep_table
 
 
+def steady_sum(x: Column) -> Column:
+    """A sum of doubles that doesn't depend on the order of rows: multiples of 2**-32 add up
+    without error up to 2**21, and what is left of each is too small to show."""
+    step = F.lit(2.0**32)
+    high = F.rint(x * step) / step
+    return F.sum(high) + F.sum(x - high)
+
+
 def signed_score(factors: DataFrame, key: str, value: str, weight: str) -> DataFrame:
-    """Values cut to [-1, 1], weighted over the sum of absolute weights, cut again."""
+    """Values cut to [-1, 1], weighted over the sum of absolute weights, cut again. Equal
+    factors have equal scores, in whatever order their rows come."""
     v = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(value)))
-    raw = F.sum(v * F.col(weight)) / F.nullif(F.sum(F.abs(weight)), F.lit(0.0))
+    raw = steady_sum(v * F.col(weight)) / F.nullif(steady_sum(F.abs(weight)), F.lit(0.0))
     return factors.groupBy(key).agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(raw, F.lit(0.0)))).alias("score"))
 
 

@@ -207,3 +207,11 @@ def test_ledger_chain_in_order(spark):
     assert got[1, 1][0] is None and got[1, 2][0] == got[1, 1][1] and got[1, 3][0] == got[1, 2][1]
     assert got[2, 1] == (None, hashlib.sha256(b"|1|").hexdigest()) and got[None, 1][0] is None
     assert quality.verify_chain(quality.chain(df, "w", ["k"], ["k", "v"]), "w", ["k"], ["k", "v"]).count() == 0
+
+
+def test_signed_score_in_any_order(spark):
+    """0.1 + 0.2 + 0.3 isn't 0.3 + 0.2 + 0.1 in doubles."""
+    rows = [("a", v, 1.0) for v in (0.1, 0.2, 0.3)] + [("b", v, 1.0) for v in (0.3, 0.2, 0.1)]
+    got = {r.k: r.score for r in targets.signed_score(spark.createDataFrame(rows, "k string, v double, w double").coalesce(1), "k", "v", "w").collect()}
+    assert got["a"] == got["b"] == pytest.approx(0.2)
+    assert targets.signed_score(spark.createDataFrame([("c", 0.5, None), ("d", 5.0, -2.0)], "k string, v double, w double"), "k", "v", "w").orderBy("k").collect() == [("c", 0.0), ("d", -1.0)]
