@@ -9,8 +9,7 @@ Cells come from the edges alone. An edge is cut at the sides of each column of c
 rows it passes, it adds the area between itself and the far end of the cell; in every row
 before, the whole width it spans. Summed along the column with the rings' turns as signs,
 that is the covered area of every cell, holes left out, and rows between two events are inside
-cells. Nothing is tested cell by cell, and a join by cells is an equality: only pairs that meet
-in a cell with an edge take an exact test.
+cells. Nothing is tested cell by cell. Joins of points and polygons are those of `meeting`.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeframe.operators import meeting
 from lodeframe.operators.tiles import BUFFER, EXTENT, HALF, simplified, tolerance
 
 TINY = 1e-9
@@ -114,36 +114,7 @@ def polygon_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, size: floa
     """a_key, b_key, contains, within of the polygons of a and b that intersect, edges included.
     contains: no part of b is outside a (its corners are in a, no edges cross, and no corner of
     a is inside b). Keys have different names and tell polygons apart."""
-    ea, eb = (in_cells(edges(p, k), size) for p, k in ((a, a_key), (b, b_key)))
-    cells = [coverage(e, k).select(k, "cx", "cy", (F.col("edges") == 0).alias(s)) for e, k, s in ((ea, a_key, "sa"), (eb, b_key, "sb"))]
-    met = cells[0].join(cells[1], ["cx", "cy"]).groupBy(a_key, b_key).agg(F.bool_or(F.col("sa") | F.col("sb")).alias("sure"))
-    listed = []
-    for e, k, s in ((ea, a_key, "a"), (eb, b_key, "b")):
-        cut = pieces(e, 0.0)
-        rows = F.explode(F.sequence(F.floor(F.least("va", "vb")), F.floor(F.greatest("va", "vb")))).alias("cy")
-        listed.append(cut.select(k, "cx", rows, *(F.col(c).alias(f"{s}{c}") for c in ("x0", "y0", "x1", "y1"))))
-    pair = listed[0].join(listed[1], ["cx", "cy"])
-    side = lambda p, q, n: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{q}y{n}") - F.col(f"{p}y0")) - (F.col(f"{p}y1") - F.col(f"{p}y0")) * (F.col(f"{q}x{n}") - F.col(f"{p}x0"))
-    s = [F.sign(side(p, q, n)) for p, q in ("ab", "ba") for n in (0, 1)]
-    boxes = F.lit(True)
-    for c in "xy":
-        boxes = boxes & (F.greatest(f"a{c}0", f"a{c}1") >= F.least(f"b{c}0", f"b{c}1")) & (F.greatest(f"b{c}0", f"b{c}1") >= F.least(f"a{c}0", f"a{c}1"))
-    crossed = pair.where(boxes).groupBy(a_key, b_key).agg(F.bool_or((s[0] * s[1] < 0) & (s[2] * s[3] < 0)).alias("cross"), F.bool_or((s[0] * s[1] <= 0) & (s[2] * s[3] <= 0)).alias("touch"))
-
-    def corners(e, k, other, other_key):
-        """Corners of one side in polygons of the other: how many, and how many not on edges."""
-        named = e.select(k, F.concat_ws(":", k, "ring", "i").alias("corner"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-        inside = points_in(named, other, "corner", other_key, size)
-        return named.select("corner", k).join(inside, "corner").groupBy(k, other_key).agg(F.count("*").alias("n"), F.count_if(~F.col("on_edge")).alias("strict"))
-
-    total_a, total_b = (e.groupBy(k).agg(F.count("*").alias(n)) for e, k, n in ((ea, a_key, "all_a"), (eb, b_key, "all_b")))
-    in_a = corners(eb, b_key, a, a_key).select(a_key, b_key, F.col("n").alias("b_in"), F.col("strict").alias("b_strict"))
-    in_b = corners(ea, a_key, b, b_key).select(a_key, b_key, F.col("n").alias("a_in"), F.col("strict").alias("a_strict"))
-    keys = [a_key, b_key]
-    made = met.join(crossed, keys, "left").join(in_a, keys, "left").join(in_b, keys, "left").join(total_a, a_key).join(total_b, b_key)
-    made = made.na.fill(0, ["b_in", "b_strict", "a_in", "a_strict"]).na.fill(False, ["cross", "touch"])
-    made = made.where("sure or touch or b_in > 0 or a_in > 0")
-    return made.select(*keys, F.expr("not cross and b_in = all_b and a_strict = 0").alias("contains"), F.expr("not cross and a_in = all_a and b_strict = 0").alias("within"))
+    return meeting.polygon_pairs(meeting.outlines(a, a_key, size), meeting.outlines(b, b_key, size), a_key, b_key, size)
 
 
 def thinned(polygons: DataFrame, key: str, zoom: int) -> DataFrame:

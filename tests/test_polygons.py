@@ -2,8 +2,11 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lodeframe.operators import meeting as M
 from lodeframe.operators import polygons as P
 from lodeframe.operators.tiles import BUFFER, EXTENT, HALF
 
@@ -128,3 +131,65 @@ def test_tiles_and_thinning(spark):
     for r in P.polygon_tiles(spark.createDataFrame([(9, [[(-3 * side, -3 * side), (3 * side, -3 * side), (3 * side, 3 * side), (-3 * side, 3 * side)]], 1, "s", 2000, "t", 3)], rows.schema), "seismic", "id", 8).collect():
         counts[r.whole] += 1
     assert counts[True] == 16
+
+
+def related(a, b):
+    """(contains, within) of two lists of rings that intersect, edge by edge."""
+    edge = lambda rings: [(*p, *q) for r in rings for p, q in zip(r, r[1:] + r[:1], strict=True)]
+    side = lambda e, x, y: (e[2] - e[0]) * (y - e[1]) - (e[3] - e[1]) * (x - e[0])
+    sign = lambda v: (v > 0) - (v < 0)
+    ea, eb, cross, touch = edge(a), edge(b), False, False
+    for e in ea:
+        for f in eb:
+            s, t = (sign(side(g, h[0], h[1])) * sign(side(g, h[2], h[3])) for g, h in ((e, f), (f, e)))
+            box = all(max(e[k], e[k + 2]) >= min(f[k], f[k + 2]) and max(f[k], f[k + 2]) >= min(e[k], e[k + 2]) for k in (0, 1))
+            cross, touch = cross or (s < 0 and t < 0), touch or (s <= 0 and t <= 0 and box)
+
+    def corners(es, fs):
+        n = strict = 0
+        for x, y, *_ in es:
+            odd = sum((f[1] > y) != (f[3] > y) and sign(side(f, x, y)) == sign(f[3] - f[1]) for f in fs) % 2
+            on = any(side(f, x, y) == 0 and min(f[0], f[2]) <= x <= max(f[0], f[2]) and min(f[1], f[3]) <= y <= max(f[1], f[3]) for f in fs)
+            n, strict = n + (odd or on), strict + (odd and not on)
+        return n, strict
+
+    (n_a, strict_a), (n_b, strict_b) = corners(ea, eb), corners(eb, ea)
+    return (not cross and n_b == len(eb) and not strict_a, not cross and n_a == len(ea) and not strict_b) if touch or n_a or n_b else None
+
+
+def mixed(r, n):
+    """Polygons of many sizes, some with a hole, some with corners on whole numbers."""
+    made = []
+    for k in range(n):
+        x, y, radius = r.uniform(-30, 30), r.uniform(-30, 30), r.choice([0.2, 1, 6, 40])
+        rings = [star(r, x, y, radius, r.choice([3, 5, 9, 17])), star(r, x, y, radius / 5, 5)][: 1 + k % 2]
+        made.append([[(round(p), round(q)) if k % 3 == 0 and radius > 5 else (p, q) for p, q in ring] for ring in rings])
+    return made
+
+
+def test_pairs_of_many_sizes(spark):
+    r = random.Random(3)
+    a, b = mixed(r, 40), mixed(r, 60)
+    da = spark.createDataFrame([(k, [[tuple(map(float, p)) for p in ring] for ring in rings]) for k, rings in enumerate(a)], SCHEMA)
+    db = spark.createDataFrame([(str(k), [[tuple(map(float, p)) for p in ring] for ring in rings]) for k, rings in enumerate(b)], SCHEMA.replace("id int", "oid string"))
+    got = [(x.id, int(x.oid), x.contains, x.within) for x in P.polygon_pairs(da, db, "id", "oid", 0.5).collect()]
+    want = [(i, j, *w) for i, p in enumerate(a) for j, q in enumerate(b) if (w := related(p, q))]
+    assert sorted(got) == sorted(want) and len(want) > 200
+
+
+def shapes(polygons):
+    c = np.array([sum(map(len, rings)) for rings in polygons], np.int32)
+    x, y = np.array([p for rings in polygons for ring in rings for p in ring], float).T
+    steps = np.array([s for rings in polygons for ring in rings for s in [1] * (len(ring) - 1) + [1 - len(ring)]], np.int32)
+    return M.Shapes([(pa.array(range(len(polygons))), *(v.tobytes() for v in (c, x, y, steps)))])
+
+
+@pytest.mark.parametrize("wide", [1, 100, 1 << 16])
+def test_relations_in_steps(monkeypatch, wide):
+    """Polygons of many corners are compared slice by slice."""
+    monkeypatch.setattr(M, "WIDE", wide)
+    r = random.Random(8)
+    a, b = mixed(r, 12), mixed(r, 12)
+    i, j = (v.ravel() for v in np.indices((12, 12)))
+    got = sorted(zip(*(np.concatenate(c).tolist() for c in zip(*M.relations(shapes(a), shapes(b), i, j), strict=True)), strict=True))
+    assert got == [(i, j, *w) for i, p in enumerate(a) for j, q in enumerate(b) if (w := related(p, q))]
