@@ -94,20 +94,7 @@ def points_in(points: DataFrame, polygons: DataFrame, point_key: str, key: str,
     """point_key, key, on_edge of points inside a polygon or on its edge (holes are outside,
     their edges are edges). size: of a cell; about that of a small polygon is best. Points
     without a place match nothing."""
-    found = in_cells(edges(polygons, key), size)
-    cells = coverage(found, key).select(key, "cx", "cy", (F.col("edges") == 0).alias("sure"))
-    placed = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(point_key).alias("pk"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
-    placed = placed.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
-    met = placed.join(cells, ["cx", "cy"])
-    by_row = found.withColumn("cy", F.explode(F.sequence(F.floor(F.least("v0", "v1")), F.floor(F.greatest("v0", "v1"))))).select(key, "cy", "x0", "y0", "x1", "y1")
-    tested = met.where("not sure").join(by_row, [key, "cy"])
-    cross = (F.col("x1") - F.col("x0")) * (F.col("py") - F.col("y0")) - (F.col("y1") - F.col("y0")) * (F.col("px") - F.col("x0"))
-    on = (cross == 0) & F.col("px").between(F.least("x0", "x1"), F.greatest("x0", "x1")) & F.col("py").between(F.least("y0", "y1"), F.greatest("y0", "y1"))
-    up = F.col("y1") > F.col("y0")
-    right = ((F.col("y0") > F.col("py")) != (F.col("y1") > F.col("py"))) & F.when(up, cross > 0).otherwise(cross < 0)  # the edge lies to the right
-    odd = tested.groupBy("pk", key).agg((F.count_if(right) % 2 == 1).alias("inside"), F.bool_or(on).alias("on_edge")).where("inside or on_edge")
-    sure = met.where("sure").select("pk", key, F.lit(False).alias("on_edge"))
-    return sure.unionByName(odd.select("pk", key, "on_edge")).withColumnRenamed("pk", point_key)
+    return meeting.points_in(meeting.places(points, point_key, x, y), meeting.outlines(polygons, key, size), point_key, key, size)
 
 
 def polygon_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, size: float) -> DataFrame:

@@ -193,3 +193,16 @@ def test_relations_in_steps(monkeypatch, wide):
     i, j = (v.ravel() for v in np.indices((12, 12)))
     got = sorted(zip(*(np.concatenate(c).tolist() for c in zip(*M.relations(shapes(a), shapes(b), i, j), strict=True)), strict=True))
     assert got == [(i, j, *w) for i, p in enumerate(a) for j, q in enumerate(b) if (w := related(p, q))]
+
+
+def test_pairs_stay_in_place(spark):
+    """Both joins move each side once and no pair, and broadcast nothing: what a side becomes
+    is larger than its estimate says."""
+    rows = spark.createDataFrame([(1, [SQUARE])], SCHEMA)
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 0.5), (None, 9.0, 9.0), (4, float("nan"), 1.0)], "pid int, x double, y double")
+    found = P.points_in(points, rows, "pid", "id", 1.0)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, False), (2, 1, False)]
+    for df in (found, P.polygon_pairs(rows, rows.withColumnRenamed("id", "oid"), "id", "oid", 1.0)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert "Broadcast" not in plan and plan.count("Exchange ") == 2
+
