@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeframe.functions import classify, geo, scalars
-from lodeframe.operators import gold, graph, ingest, intervals, quality, reports, retrieval, sampling, survey, targets, tiles
+from lodeframe.operators import gold, graph, ingest, intervals, quality, reports, retrieval, sampling, spatial, survey, targets, tiles
 from lodeframe.plans import spec
 
 
@@ -215,3 +215,17 @@ def test_signed_score_in_any_order(spark):
     got = {r.k: r.score for r in targets.signed_score(spark.createDataFrame(rows, "k string, v double, w double").coalesce(1), "k", "v", "w").collect()}
     assert got["a"] == got["b"] == pytest.approx(0.2)
     assert targets.signed_score(spark.createDataFrame([("c", 0.5, None), ("d", 5.0, -2.0)], "k string, v double, w double"), "k", "v", "w").orderBy("k").collect() == [("c", 0.0), ("d", -1.0)]
+
+
+def test_near_by_place(spark):
+    """Rows of one place are joined as lists: few rows meet, whatever their pairs."""
+    n = spatial.LISTED + 5
+    a = spark.createDataFrame([(1, "a", 0.0, 0.0), (None, "b", 0.0, 0.0), (3, "c", -59.0, 0.0), (4, "d", None, 0.0), (5, "e", 500.0, float("nan"))], "k int, s string, easting double, northing double")
+    b = spark.range(n).selectExpr("id as j", "cast(if(id < 3, 60.5, 0) as double) as easting", "0D as northing")
+    found = spatial.near(a, b, 60.0)
+    assert found.columns == ["a_k", "a_s", "a_easting", "a_northing", "b_j", "b_easting", "b_northing", "distance"]
+    assert sorted(tuple(r) for r in found.groupBy("a_s", "distance").count().collect()) == [("a", 0.0, n - 3), ("b", 0.0, n - 3), ("c", 59.0, n - 3)]
+    assert {(r.a_k, r.b_j) for r in found.where("b_j > 4095").collect()} == {(k, j) for k in (1, None, 3) for j in range(4096, n)}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line or "collect_list" in line]
+    assert len(joins) == 3 and spatial.near(b.select("easting", "northing"), a, 60.0).count() == 3 * (n - 3)
+
